@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonloom.llm import boosted_rules, line_dedup, mixing
+from carbonloom.llm import boosted_rules, line_dedup, mixing, pii, pu_quality, tree_bpe
 from carbonloom.llm.common import read
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pu_quality.score(spark, docs, read(spark, sf_dir, "labels")).drop("text")
+
+
+def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tree_bpe.encode(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", (F.octet_length("bpe_ids") / 4).cast("long").alias("n_tokens"), F.sha2("bpe_ids", 256).alias("ids_sha256"), F.sha2("bpe_decoded", 256).alias("decoded_sha256"))
+
+
+def _joined_spans(spans: Column) -> Column:
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])), ",")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find(spark, docs)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    both = F.array_sort(F.concat("base", "found"))
+    return out.select("doc_id", *counts, F.sha2(_joined_spans(F.col("base")), 256).alias("base_sha256"), _joined_spans(both).alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_shared_lines(spark, docs, min_docs=10, batches=4)
@@ -27,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge(spark, docs, read(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op8_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op8_mixing, op10_quality_rules)}
 
 #: DuckDB SQL. A key is a line stripped of ASCII white space with A-Z lower-cased.
 _LINES = """
