@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonloom.llm import boosted_rules, line_dedup, mixing, pii, pu_quality, tree_bpe
+import corpus_pipeline
+from carbonloom.llm import boosted_rules, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe
 from carbonloom.llm.common import read
 
 
@@ -40,6 +41,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(spark, read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), bound=0.9, probes=4)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=75)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix(spark, docs, weights=(5.0, 2.0, 1.0), budget=1.5, most=2.0)
@@ -47,12 +61,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["line"], n["sentence"], n["license"])), ",").alias("notices"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return boosted_rules.judge(spark, docs, read(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op8_mixing, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, pipeline)
+}
 
 #: DuckDB SQL. A key is a line stripped of ASCII white space with A-Z lower-cased.
 _LINES = """
