@@ -78,15 +78,15 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0,
     sources = table(targets(stats.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("size")), weights, budget, most), "mix-sources")
     by_source = sources.join(tilts(sources, stats).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), F.col("size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.coalesce(F.round(F.least(F.exp("tilt"), F.lit(most)), 9), F.lit(0.0)).alias("mix_rate"))
 
-    # where each slice begins in its source's order, from counts of slices
-    slices = narrow.where("mix_size > 0").groupBy("source", "mix_class", "mix_slice").agg(F.count("*").alias("docs"))
+    # where each slice begins in its source's order, from counts of slices; documents without words hold no place
+    slices = narrow.groupBy("source", "mix_class", "mix_slice").agg(F.count(F.when(F.col("mix_size") > 0, 1)).alias("docs"))
     order = Window.partitionBy("source").orderBy("mix_class", "mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("before", F.coalesce(F.sum("docs").over(order), F.lit(0)))
-    slices = slices.join(by_source, F.col("source").eqNullSafe(F.col("of"))).select(F.col("of").alias("s"), F.col("mix_class").alias("c"), F.col("mix_slice").alias("p"), "before")
+    slices = slices.join(by_source, F.col("source").eqNullSafe(F.col("of"))).select(F.col("of").alias("s"), F.col("mix_class").alias("c"), F.col("mix_slice").alias("p"), "before", "mix_source_size", "mix_target", "mix_rate")
+    slices = table(slices, "mix-slices")
     rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_slice").orderBy("mix_hash", "doc_id"))
-    ranked = narrow.withColumn("rank", rank).join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_class") == F.col("c")) & (F.col("mix_slice") == F.col("p")), "left")
-    ranked = ranked.join(by_source, F.col("source").eqNullSafe(F.col("of")), "left")
-    i = F.coalesce(F.col("before"), F.lit(0)) + F.col("rank")
+    ranked = narrow.withColumn("rank", rank).join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_class") == F.col("c")) & (F.col("mix_slice") == F.col("p")))
+    i = F.col("before") + F.col("rank")
     steps = F.floor(i * F.col("mix_rate") + 0.5) - F.floor((i - 1) * F.col("mix_rate") + 0.5)
     copies = F.when((F.col("mix_size") > 0), steps).otherwise(0).cast("int")
     return ranked.select("doc_id", F.col("source").alias("source"), "mix_size", "mix_source_size", "mix_target", F.when(F.col("mix_size") > 0, F.col("mix_rate")).otherwise(0.0).alias("mix_rate"), copies.alias("mix_copies"))
