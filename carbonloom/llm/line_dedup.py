@@ -90,7 +90,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10,
     runs = LineRuns(min_docs)
     for k in range(batches):
         runs.add(hashes.where(F.col("batch") == k))
-    hits = hashes.join(runs.frequent(), "h", "left_semi").groupBy("line_doc").agg(F.collect_set("h").alias("line_hits"))
+    hits = hashes.join(table(runs.frequent(), "frequent-lines"), "h", "left_semi").groupBy("line_doc").agg(F.collect_set("h").alias("line_hits"))
     joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["line_doc"]), "left").drop("line_doc")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
