@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from carbonloom.queries import ledger
+    from carbonloom.queries import ledger, matcher
 
-    return (ledger,)
+    return (ledger, matcher)
 
 
 def all_queries() -> dict:
