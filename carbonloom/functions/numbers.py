@@ -59,8 +59,8 @@ def safe_float(text: Column) -> Column:
 
 
 def cn_date(text: Column) -> Column:
-    """2024年1月5日 to 2024-01-05; anything else unchanged."""
-    p = r"(\d{4})年(\d{1,2})月(\d{1,2})日?"
+    """The first date such as 2024年1月5日, 2024/1/5 or 2024-1-5 as 2024-01-05; without one unchanged."""
+    p = r"(\d{4})[年/\-](\d{1,2})[月/\-](\d{1,2})日?"
     iso = F.concat_ws("-", F.regexp_extract(text, p, 1), F.lpad(F.regexp_extract(text, p, 2), 2, "0"), F.lpad(F.regexp_extract(text, p, 3), 2, "0"))
     return F.when(text.rlike(p), iso).otherwise(text)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from carbonloom.queries import ledger, matcher
+    from carbonloom.queries import ledger, matcher, text
 
-    return (ledger, matcher)
+    return (ledger, matcher, text)
 
 
 def all_queries() -> dict:
