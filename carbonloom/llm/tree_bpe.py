@@ -10,7 +10,7 @@ windows count units first and, within a long unit (no white space for hundreds o
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -69,6 +69,18 @@ class Encoder(dict):
                 data = ids.tobytes()
                 self.update((u, data[4 * a + 4 : 4 * b]) for u, a, b in zip(g, edges[:-1], edges[1:], strict=True))
 
+    def nodes(self, texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
+        """Ids of the units of each text; units are learnt for about `most` bytes of texts at once, so that they fit."""
+        some, size = [], 0
+        for k, x in enumerate(texts):
+            some.append(x)
+            size += len(x)
+            if size >= most or k + 1 == len(texts):
+                self.learn(some)
+                for t in (y.decode("utf-8", "replace") for y in some):
+                    yield self.node(t, 0, len(t))
+                some, size = [], 0
+
     # tokens within a unit
 
     def plain(self, text: str) -> Tokens:
@@ -190,9 +202,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     long = F.coalesce(F.char_length("text") > PART, F.lit(False))
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = encoder(path), binary_lists(batch, "text")
-        own.learn(texts)
-        ids = [own.encode(x.decode("utf-8", "replace")) for x in texts]
+        own = encoder(path)
+        ids = [b"".join(units) for units in own.nodes(binary_lists(batch, "text"))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "bpe_ids", "bpe_decoded"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,9 +211,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "text_key", "parts", "part", "text"])
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = encoder(path), binary_lists(batch, "text")
-        own.learn(texts)
-        found = [own.node(t, 0, len(t)) for t in (x.decode("utf-8", "replace") for x in texts)]
+        found = list(encoder(path).nodes(binary_lists(batch, "text")))
         counts = [np.array([len(u) // 4 for u in units], "<u4").tobytes() for units in found]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([b"".join(u) for u in found], pa.binary()), pa.array(counts, pa.binary())], [*batch.schema.names, "ids", "counts"])
 
@@ -219,6 +228,3 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     parts = map_batches(cuts.repartition("doc_id", "text_key", "part"), part, "doc_id long, text_key long, parts int, part int, text string, ids binary, counts binary")
     return short.unionByName(parts.groupBy("doc_id", "text_key", "parts").applyInArrow(join, "doc_id long, bpe_ids binary, bpe_decoded binary"))
 
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
