@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from carbonloom.llm.common import components, map_batches, table
 
+#: The cosine that no two centres reach.
+APART = 0.7
 #: Rows that the centres are fitted on at most, cells at most, distinct vectors that a cell is meant for, rows of a block.
 MOST_FIT, MOST_CELLS, CELL, BLOCK = 20_000, 4096, 1000, 1024
 
@@ -21,7 +23,11 @@ def usable(vector: Column) -> Column:
 
 
 def centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Unit centres by spherical k-means on unit rows: each round averages and scales the rows nearest by cosine."""
+    """Unit centres by spherical k-means on unit rows: each round averages and scales the rows nearest by cosine.
+
+    In the end centres of larger cells take over those close to them. Else a group of near copies, which draws
+    centres by its size, would be cut into cells finer than the links within it.
+    """
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), cells, replace=False)]
     for _ in range(rounds):
@@ -30,7 +36,11 @@ def centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> n
         np.add.at(total, at, sample)
         size = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(size > 1e-9, total / np.maximum(size, 1e-9), c)
-    return c
+    c = c[np.argsort(-np.bincount((sample @ c.T).argmax(axis=1), minlength=cells), kind="stable")]
+    kept = np.zeros(cells, bool)
+    for k in range(cells):
+        kept[k] = not kept.any() or (c[kept] @ c[k]).max() < APART
+    return c[kept]
 
 
 def _unit(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
