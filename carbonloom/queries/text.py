@@ -410,6 +410,19 @@ def s5_zipped_documents(spark, d):
     return _by_invoice(I.from_xml(I.xml_members(zipped)))
 
 
+@register("""SELECT CAST(o_orderkey AS VARCHAR) AS invoice_number, CASE o_orderkey % 3 WHEN 0 THEN 'S' || o_custkey WHEN 1 THEN 'T' END AS seller_name, '纸' AS name, CASE o_orderkey % 3 WHEN 0 THEN o_custkey ELSE 0 END::DOUBLE AS amount FROM orders WHERE o_orderkey % 3 < 2""")
+def s6_api_bodies(spark, d):
+    """S6 bodies with lines, with plain items, and with empty lines before items."""
+    k = F.col("o_orderkey") % 3
+    number = F.col("o_orderkey").cast("string").alias("invoice_number")
+    lined = F.struct(number, F.struct(F.concat(F.lit("S"), "o_custkey").alias("name")).alias("seller"), F.array(F.struct(F.lit("纸 个").alias("name"), F.col("o_custkey").alias("amount"))).alias("lines"), F.array(F.lit("other")).alias("items"))
+    plain = F.struct(number, F.lit("T").alias("seller"), F.array(F.lit("纸")).alias("items"))
+    empty = F.struct(number, F.array().cast("array<string>").alias("lines"), F.array(F.lit("纸")).alias("items"))
+    raw = F.when(k == 0, F.to_json(lined)).when(k == 1, F.to_json(plain)).otherwise(F.to_json(empty))
+    out = I.from_api(spark.read.parquet(f"{d}/orders.parquet").select(raw.alias("raw")))
+    return I.explode_lines(out).select("invoice_number", "seller_name", "name", "amount")
+
+
 @register("SELECT CAST(o_orderkey AS VARCHAR) AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, o_custkey * 1000 + 0.5 AS total_amount, o_custkey * 1000 + 0.5 AS amount, 2.0 AS quantity FROM orders")
 def s7_ocr_results(spark, d):
     t = F.col("o_orderdate")

@@ -126,6 +126,21 @@ def from_xml(texts: DataFrame, raw: str = "raw") -> DataFrame:
     return _with_total(parsed.select(*texts.columns, *picked, best.alias("lines")))
 
 
+def from_api(texts: DataFrame, raw: str = "raw") -> DataFrame:
+    """Request bodies of the ledger path: `lines` wins over `items` even if it is empty; a party that is a plain value is its name; an item that is a plain value is a name with amount 0; names are cleaned."""
+    j = F.from_json(F.col(raw), "invoice_code string, invoice_number string, date string, total_amount string, seller string, buyer string, lines array<string>, items array<string>")
+    party = lambda c: F.coalesce(F.get_json_object(c, "$.name"), F.when(~F.coalesce(c.startswith("{"), F.lit(False)), c))
+    get = lambda x, f: F.get_json_object(x, f"$.{f}")
+
+    def line(x: Column) -> Column:
+        name = F.when(x.startswith("{"), get(x, "name")).otherwise(x)
+        return F.struct(X.clean_name(name).alias("name"), get(x, "tax_classification_code").alias("tax_code"), get(x, "tax_classification_name").alias("tax_name"), N.safe_float(get(x, "quantity")).alias("quantity"), get(x, "unit").alias("unit"), F.coalesce(N.safe_float(get(x, "amount")), F.lit(0.0)).alias("amount"), get(x, "remark").alias("remark"))
+
+    out = texts.withColumn("__j", j)
+    rows = F.coalesce("__j.lines", "__j.items", F.array().cast("array<string>"))
+    return out.select(*texts.columns, "__j.invoice_code", "__j.invoice_number", F.col("__j.date").alias("invoice_date"), F.coalesce(N.safe_float(F.col("__j.total_amount")), F.lit(0.0)).alias("total_amount"), party(F.col("__j.seller")).alias("seller_name"), party(F.col("__j.buyer")).alias("buyer_name"), F.transform(rows, line).alias("lines"))
+
+
 def from_ocr(texts: DataFrame, raw: str = "raw") -> DataFrame:
     """Results of an OCR service: renamed fields, Chinese dates, amounts in CNY; tax rate and tax are dropped."""
     item = "struct<item_name: string, item_number: string, item_unit: string, item_price: string, item_amount: string>"
