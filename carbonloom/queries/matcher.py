@@ -116,7 +116,7 @@ def a3_invoice_summary(spark, d):
     return M.summary(rows, "invoice_id", kg="units").select("invoice_id", *[(F.col(f"scope{k}") / 10000).alias(f"scope{k}") for k in (1, 2, 3)])
 
 
-@register(_MATCHED + " SELECT count(DISTINCT invoice_id) AS invoices, round(sum(emissions) FILTER (WHERE factor_scope = 1), 1) AS scope1, round(sum(emissions) FILTER (WHERE factor_scope = 2), 1) AS scope2, round(sum(emissions), 1) AS total, product_line FROM calc GROUP BY product_line")
+@register(_MATCHED + " SELECT count(DISTINCT invoice_id) AS invoices, round(coalesce(sum(emissions) FILTER (WHERE factor_scope = 1), 0), 1) AS scope1, round(coalesce(sum(emissions) FILTER (WHERE factor_scope = 2), 0), 1) AS scope2, round(sum(emissions), 1) AS total, product_line FROM calc GROUP BY product_line")
 def a4_batch_summary(spark, d):
     rows = calculated(spark, d)
     n = rows.groupBy("product_line").agg(F.countDistinct("invoice_id").alias("invoices"))
