@@ -62,12 +62,35 @@ def text_bytes(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.sum(F.octet_length(df[text])), F.lit(0))
 
 
+#: Graphs of at most so many edges are joined up in one task.
+SMALL_GRAPH = 20_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges (v, m) of one partition."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("v").to_pylist(), batch.column("m").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable, for each id that an edge names.
 
     Alternating large-star and small-star steps; each round is written out, and the rounds needed grow
     with the logarithm of the longest path. Hubs are split by the adaptive skew join: no node's neighbours
-    are gathered in one place. Null ends and loops are ignored.
+    are gathered in one place. A graph that is counted and found small is joined up in one task instead, where
+    the rounds would cost more than the work. Null ends and loops are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m").distinct()
     e = table(e, "edges")
@@ -76,10 +99,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
 
     before = state(e)
+    if before[0] <= SMALL_GRAPH:
+        return e.coalesce(1).mapInArrow(_joined_up, "id long, component long")
     while before[0]:
         both = e.select(F.col("v").alias("u"), F.col("m").alias("w")).union(e.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("least"))
-        large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), F.least("u", "least").alias("m")).distinct()
+        large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), F.least("u", "least").alias("m"))
         least = large.groupBy("v").agg(F.min("m").alias("least"))
         small = large.join(least, "v")
         small = small.select("v", F.col("least").alias("m")).union(small.select(F.col("m").alias("v"), F.col("least").alias("m"))).where("v > m").distinct()

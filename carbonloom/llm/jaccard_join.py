@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carbonloom.llm.common import binary_lists, components, map_batches, table, text_bytes
 from carbonloom.llm.packed import bucket_count, mixed, packed_rows, text_keys, unpack
 
+#: 64-bit words of a text's bits; rounds in which n-grams pair their texts with one of them.
+WORDS_OF_BITS, PIVOT_ROUNDS = 32, 3
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,10 +77,11 @@ def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
 
 
 def link_candidates(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, n, tokens, prefix, places): the texts that share enough n-grams to link at all.
+    """(id, n, tokens, prefix, places, bits): the texts that share enough n-grams to link at all.
 
     tokens: shared n-grams by value; prefix: the shared ones among the first n - ceil(t n) + 1 in order of
     rarity, then value, with their places in that order. N-grams of one text only come first and match nothing.
+    bits: 2048 bits in which each shared n-gram sets one.
     """
     parts = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("tokens", "dfs")).alias("parts"))
     joined = parts.join(classes, ["k1", "k2"]).select("id", "n", "parts")
@@ -93,11 +97,13 @@ def link_candidates(shared: DataFrame, classes: DataFrame, percent: int) -> Data
             rare = np.lexsort((tokens, df))
             own = n - len(tokens)
             length = max(0, n - least + 1 - own)
-            out.append((i, n, np.sort(tokens).tobytes(), tokens[rare[:length]].view("<i8").tolist(), list(range(own, own + length))))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["id", "n", "tokens", "prefix", "places"])
+            bits = np.zeros(64 * WORDS_OF_BITS, np.uint8)
+            bits[tokens % np.uint64(len(bits))] = 1
+            out.append((i, n, np.sort(tokens).tobytes(), tokens[rare[:length]].view("<i8").tolist(), list(range(own, own + length)), np.packbits(bits).view("<i8").tolist()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["id", "n", "tokens", "prefix", "places", "bits"])
 
-    return map_batches(joined, each, "id long, n long, tokens binary, prefix array<long>, places array<int>")
+    return map_batches(joined, each, "id long, n long, tokens binary, prefix array<long>, places array<int>, bits array<long>")
 
 
 def _passing(pairs: DataFrame, percent: int) -> DataFrame:
@@ -111,6 +117,14 @@ def _passing(pairs: DataFrame, percent: int) -> DataFrame:
     return ordered.groupBy("a", "b", "n_a", "n_b").agg(F.max("most").alias("most")).where(F.col("most") >= need).select("a", "b", "n_a", "n_b")
 
 
+def _may_reach(percent: int) -> Column:
+    """Whether bits leave room for the overlap that a pair needs: a bit that only one text has stands for an n-gram that the other lacks."""
+    alone = lambda x, y: sum((F.bit_count(x[k].bitwiseAND(F.bitwise_not(y[k]))) for k in range(1, WORDS_OF_BITS)), F.bit_count(x[0].bitwiseAND(F.bitwise_not(y[0]))))
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    a, b = F.col("bits_a"), F.col("bits_b")
+    return (F.col("n_a") - alone(a, b) >= need) & (F.col("n_b") - alone(b, a) >= need)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, each looked at once."""
     one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
@@ -125,6 +139,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(one, "a").join(two, "b"), each, "a long, b long, good boolean")
 
 
+def _open(prefix: DataFrame, groups: DataFrame | None, name: str) -> DataFrame:
+    """Prefix rows of the n-grams whose texts are not all connected, with their component and the n-gram's largest one."""
+    own = prefix.withColumn("component", F.col("id")) if groups is None else prefix.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = own.groupBy("token", "component").agg(F.count("*").alias("texts"))
+    largest = parts.groupBy("token").agg(F.max(F.struct("texts", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return table(own.join(largest.select("token", F.col("most.component").alias("main")), "token"), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -134,9 +156,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     rows without doc_id (null). Rows that repeat a doc_id and text agree; equal texts are compared once.
     Other columns are not read.
 
-    Two rounds keep groups from making all their pairs. In the first, each prefix n-gram pairs its texts with its
-    smallest one; the second takes pairs of texts that are not connected yet and share a prefix n-gram,
-    without those of the n-gram's largest component among themselves. No pair that could join two components is left out.
+    Groups do not make all their pairs. In some rounds each prefix n-gram pairs its texts with one of them, another one
+    each time; texts that are connected are not paired again. The last round takes all pairs that share a prefix n-gram and
+    are not connected yet, without those of the n-gram's largest component among themselves, as far as the
+    length, positional and bit filters let them pass. No pair that could join two components is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -151,24 +174,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     prefix = sets.select("id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select(F.col("p.prefix").alias("token"), "id", "n", F.col("p.places").alias("place"))
     prefix = table(prefix, "shingle-prefixes")
 
-    pivot = prefix.groupBy("token").agg(F.min(F.struct("id", "n", "place")).alias("p"), F.count("*").alias("texts")).where("texts > 1").select("token", "p.*")
-    pivot = pivot.toDF("token", "a", "n_a", "place_a")
-    first = prefix.join(pivot, "token").withColumnsRenamed({"id": "b", "n": "n_b", "place": "place_b"})
-    first = table(verified(_passing(first, percent), sets.select("id", "tokens"), percent), "pairs-first")
-    groups = components(first.where("good").select("a", "b"))
-    groups = table(groups, "groups-first")
-
-    labelled = prefix.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by_part = labelled.groupBy("token", "component").agg(F.count("*").alias("texts"))
-    largest = by_part.groupBy("token").agg(F.max(F.struct("texts", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("most.component").alias("main"))
-    open_ = table(labelled.join(largest, "token"), "prefixes-open")
-    outside = open_.where("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("component").alias("component_a"))
-    every = open_.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
+    links, groups = None, None
+    for k in range(PIVOT_ROUNDS):
+        open_ = _open(prefix, groups, f"prefixes-open{k}")
+        pivot = open_.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "component"), F.struct(F.xxhash64(F.lit(k), "id"), "id")).alias("p")).select("token", "p.*")
+        pivot = pivot.toDF("token", "a", "n_a", "place_a", "component_a")
+        pairs = open_.withColumnsRenamed({"id": "b", "n": "n_b", "place": "place_b", "component": "component_b"}).join(pivot, "token").where("component_a <> component_b")
+        pairs = _passing(pairs, percent)
+        if links is not None:
+            pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        found = table(verified(pairs, sets.select("id", "tokens"), percent), f"pairs{k}")
+        links = found if links is None else links.unionByName(found)
+        if found.where("good").isEmpty():
+            break
+        groups = table(components(links.where("good").select("a", "b")), f"groups{k}")
+
+    open_ = _open(prefix, groups, "prefixes-open").join(sets.select("id", "bits"), "id")
+    part = lambda side: {c: f"{c}_{side}" for c in ("n", "place", "component", "bits")} | {"id": side}
+    outside, every = open_.where("component <> main").withColumnsRenamed(part("a")).drop("main"), open_.withColumnsRenamed(part("b")).drop("main")
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    second = outside.join(every, (outside["token"] == every["token"]) & (F.col("component_a") != F.col("component_b")) & size)
-    second = _passing(second, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = first.unionByName(verified(second, sets.select("id", "tokens"), percent)).where("good").select("a", "b")
-    final = components(links).select(F.col("id").alias("class_id"), "component")
+    room = 1 + F.least(F.col("n_a") - F.col("place_a") - 1, F.col("n_b") - F.col("place_b") - 1) >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    rest = outside.join(every, (outside["token"] == every["token"]) & (F.col("component_a") != F.col("component_b")) & size & room & _may_reach(percent))
+    rest = _passing(rest, percent).join(links.select("a", "b"), ["a", "b"], "left_anti")
+    last = table(verified(rest, sets.select("id", "tokens"), percent).where("good"), "pairs-last")
+    if groups is None or not last.isEmpty():
+        groups = components(links.where("good").unionByName(last).select("a", "b"))
+    final = groups.select(F.col("id").alias("class_id"), "component")
     of_class = classes.join(final, classes["id"] == final["class_id"], "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = sizes.join(table(of_class, "shingle-groups"), ["k1", "k2"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -26,12 +26,9 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(filled).alias("k1"), F.xxhash64(F.lit(7), filled).alias("k2")]
 
 
-def bucket_count(total_bytes: int, each: int = 32 << 20, least: int = 16) -> int:
-    """A power of two, so that a bucket has the hashes of about `each` bytes of text."""
-    n = least
-    while n * each < total_bytes:
-        n *= 2
-    return n
+def bucket_count(total_bytes: int, each: int = 28 << 20, least: int = 16) -> int:
+    """So many that a bucket has the hashes of about `each` bytes of text."""
+    return max(least, -(-total_bytes // each))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
