@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import plain
 
-from carbonloom.llm import jaccard_join, line_dedup, mixing, near_vectors, queries, suffix_dedup
+from carbonloom.llm import common, jaccard_join, line_dedup, mixing, near_vectors, queries, suffix_dedup
 from carbonloom.llm.common import components
 from tests.llm.conftest import text_of
 
@@ -28,7 +28,9 @@ def roots(pairs, ids):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     random.seed(2)
     pairs = [(random.randint(0, 400), random.randint(0, 400)) for _ in range(300)] + [(k, k + 1) for k in range(500, 560)] + [(900, k) for k in range(901, 960)] + [(5, 5)]
     got = {r.id: r.component for r in components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long")).collect()}
@@ -76,11 +78,12 @@ def test_repeats_of_odd_rows(spark, odd, odd_rows):
     assert suffix_dedup.remove_repeats(spark, odd.limit(0)).count() == 0
 
 
-def test_repeats_of_mixed_passages(spark):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_repeats_of_mixed_passages(spark, most):
     random.seed(8)
     pool = ["".join(random.choice(random.choice(["ab", "a", "abc é\n", "xyz"])) for _ in range(random.randint(30, 200))) for _ in range(8)]
     rows = [(k, "".join(random.choice(pool)[random.randint(0, 20) : random.randint(20, 200)] for _ in range(random.randint(0, 6)))) for k in range(60)]
-    got = suffix_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = suffix_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), most).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain_repeats(rows)
 
 
@@ -90,7 +93,7 @@ def test_two_stage_order_is_the_suffix_order():
         data = [bytes(random.choice(b"ab\x00z") for _ in range(random.randint(50, 120))) for _ in range(3)]
         text = b"".join(x + b"\0" for x in data)
         begin = np.cumsum([0] + [len(x) + 1 for x in data])[:3]
-        docs, starts, counts = suffix_dedup.repeated_windows(np.array([1, 2, 3]), np.zeros(3, int), np.array([len(x) - 49 for x in data]), data)
+        docs, starts, counts, _ = suffix_dedup.repeated_windows(np.array([1, 2, 3]), np.zeros(3, int), np.array([len(x) - 49 for x in data]), data)
         want = {(k + 1, p) for k in range(3) for p in range(len(data[k]) - 49) if any(data[k][p : p + 50] in data[j] for j in range(k))}
         assert {(d, s + n) for d, s, c in zip(docs, starts, counts, strict=True) for n in range(c)} == want and len(text) > begin[-1]
 
