@@ -171,13 +171,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
     classes = table(classes, "shingle-classes")
     sets = table(link_candidates(shared_shingles(rows.where("doc_id is not null"), words), classes, percent), "shingle-sets")
-    prefix = sets.select("id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select(F.col("p.prefix").alias("token"), "id", "n", F.col("p.places").alias("place"))
+    prefix = sets.select("id", "n", F.posexplode(F.arrays_zip("prefix", "places")).alias("nth", "p")).select(F.col("p.prefix").alias("token"), "id", "n", F.col("p.places").alias("place"), "nth")
     prefix = table(prefix, "shingle-prefixes")
 
     links, groups = None, None
     for k in range(PIVOT_ROUNDS):
         open_ = _open(prefix, groups, f"prefixes-open{k}")
-        pivot = open_.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "component"), F.struct(F.xxhash64(F.lit(k), "id"), "id")).alias("p")).select("token", "p.*")
+        pivot = open_.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "component"), F.struct(F.xxhash64(F.lit(k), F.col("token") % (1 + 3 * min(k, 1)), "id"), "id")).alias("p")).select("token", "p.*")
         pivot = pivot.toDF("token", "a", "n_a", "place_a", "component_a")
         pairs = open_.withColumnsRenamed({"id": "b", "n": "n_b", "place": "place_b", "component": "component_b"}).join(pivot, "token").where("component_a <> component_b")
         pairs = _passing(pairs, percent)
@@ -189,12 +189,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             break
         groups = table(components(links.where("good").select("a", "b")), f"groups{k}")
 
-    open_ = _open(prefix, groups, "prefixes-open").join(sets.select("id", "bits"), "id")
-    part = lambda side: {c: f"{c}_{side}" for c in ("n", "place", "component", "bits")} | {"id": side}
+    open_ = _open(prefix, groups, "prefixes-open").join(sets.select("id", "bits", "prefix"), "id")
+    part = lambda side: {c: f"{c}_{side}" for c in ("n", "place", "nth", "component", "bits", "prefix")} | {"id": side}
     outside, every = open_.where("component <> main").withColumnsRenamed(part("a")).drop("main"), open_.withColumnsRenamed(part("b")).drop("main")
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     room = 1 + F.least(F.col("n_a") - F.col("place_a") - 1, F.col("n_b") - F.col("place_b") - 1) >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    rest = outside.join(every, (outside["token"] == every["token"]) & (F.col("component_a") != F.col("component_b")) & size & room & _may_reach(percent))
+    # a pair comes with its first common n-gram only
+    earlier = F.arrays_overlap(F.slice("prefix_a", 1, F.col("nth_a")), F.slice("prefix_b", 1, F.col("nth_b")))
+    rest = outside.join(every, (outside["token"] == every["token"]) & (F.col("component_a") != F.col("component_b")) & size & room & _may_reach(percent) & ~earlier)
     rest = _passing(rest, percent).join(links.select("a", "b"), ["a", "b"], "left_anti")
     last = table(verified(rest, sets.select("id", "tokens"), percent).where("good"), "pairs-last")
     if groups is None or not last.isEmpty():
