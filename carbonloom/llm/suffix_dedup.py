@@ -133,8 +133,9 @@ def common_prefixes(order: np.ndarray, words: np.ndarray) -> np.ndarray:
     return same
 
 
-def repeated_windows(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, count): runs of windows that also start in a document of smaller id, among segments of a bucket.
+def repeated_windows(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, count, open): runs of windows that also start in a document of smaller id, among segments of a bucket,
+    and whether a segment has other windows.
 
     A segment has its document, the place of its first window, its number of windows and its bytes.
     """
@@ -159,18 +160,20 @@ def repeated_windows(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray,
     np.add.at(edge, stop + 1, -1)
     order = suffix_order(chars, np.cumsum(edge[:-1]) > 0, words)
     order = order[valid[order]]
+    none = np.zeros(0, np.int64)
     if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, np.ones(len(sizes), bool)
     segment = np.repeat(np.arange(len(sizes)), sizes)
     owner = docs[segment[order]]
     heads = np.flatnonzero(common_prefixes(order, words) < WINDOW)
     least = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.concatenate([heads, [len(order)]])))
     hit = np.sort(order[owner > least])
+    open_ = np.bincount(segment[hit], minlength=len(sizes)) < windows
     if not len(hit):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, open_
     cut = np.concatenate([[0], np.flatnonzero(hit[1:] != hit[:-1] + 1) + 1])
     at = segment[hit[cut]]
-    return docs[at], starts[at] + hit[cut] - begin[at], np.diff(np.concatenate([cut, [len(hit)]]))
+    return docs[at], starts[at] + hit[cut] - begin[at], np.diff(np.concatenate([cut, [len(hit)]])), open_
 
 
 def _by_doc(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -181,8 +184,9 @@ def _by_doc(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Tabl
     return pa.table({"id": docs[cut[:-1]].astype(np.int64) if len(docs) else pa.array([], pa.int64()), "starts": pa.array([starts[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
-def shared_segments(docs: DataFrame) -> DataFrame:
-    """(k1, k2, places, found): for each different text and bucket, where its segments with a hash of two texts or more start."""
+def shared_segments(docs: DataFrame, most: int) -> DataFrame:
+    """(k1, k2, places, parts, found): for each different text and bucket, where its segments with a hash of two texts or more start,
+    and into how many parts of about `most` texts the hash is to be cut."""
     buckets = bucket_count(docs.agg(text_bytes(docs)).first()[0])
 
     def each(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -192,24 +196,41 @@ def shared_segments(docs: DataFrame) -> DataFrame:
     def share(group: pa.Table) -> pa.Table:
         keys, owner, hashes, places = unpack(group)
         order = np.lexsort((owner, hashes))
-        h, o = hashes[order], owner[order]
-        edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-        many = np.repeat(o[edges[:-1]] != o[edges[1:] - 1], np.diff(edges))
-        who, at = o[many], places[order][many]
+        h, o, at = hashes[order], owner[order], places[order]
+        edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        other = np.ones(len(o), np.int32)
+        other[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
+        texts = np.repeat(np.add.reduceat(other, edges), np.diff(np.concatenate([edges, [len(h)]])))
+        who, at, parts = o[texts > 1], at[texts > 1], -(-texts[texts > 1] // most)
         order = np.lexsort((at, who))
-        who, at = who[order], at[order]
+        who, at, parts = who[order], at[order], parts[order]
         once = np.ones(len(who), bool)
         once[1:] = (who[1:] != who[:-1]) | (at[1:] != at[:-1])  # equal texts
-        who, at = who[once], at[once]
+        who, at, parts = who[once], at[once].astype("<i4"), parts[once].astype("<i4")
         cut = np.concatenate([[0], np.flatnonzero(who[1:] != who[:-1]) + 1, [len(who)]]) if len(who) else np.zeros(1, int)
         spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
         own = keys[who[cut[:-1]]] if len(who) else np.zeros((0, 2), np.int64)
-        return pa.table({"k1": own[:, 0], "k2": own[:, 1], "places": pa.array([at[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()), "found": pa.array([b - a for a, b in spans], pa.int64())})
+        return pa.table({"k1": own[:, 0], "k2": own[:, 1], "places": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "parts": pa.array([parts[a:b].tobytes() for a, b in spans], pa.binary()), "found": pa.array([b - a for a, b in spans], pa.int64())})
 
-    return packed_rows(docs, each, buckets).groupBy("bucket").applyInArrow(share, "k1 long, k2 long, places binary, found long")
+    return packed_rows(docs, each, buckets).groupBy("bucket").applyInArrow(share, "k1 long, k2 long, places binary, parts binary, found long")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+SEGMENTS = "docs binary, starts binary, windows binary, parts binary, bytes binary"
+
+
+def _pack(bucket: int, part: int, docs: list, starts: list, windows: list, parts: list, data: list[bytes]) -> tuple:
+    four = lambda x, kind: np.array(x, kind).tobytes()
+    return bucket, part, four(docs, "<i8"), four(starts, "<i4"), four(windows, "<i4"), four(parts, "<i4"), b"".join(data)
+
+
+def _unpack(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    get = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind).astype(np.int64)
+    windows = get("windows", "<i4")
+    raw, ends = b"".join(group.column("bytes").to_pylist()), np.cumsum(windows + WINDOW - 1).tolist()
+    return get("docs", "<i8"), get("starts", "<i4"), windows, get("parts", "<i4"), [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, most: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row of docs (doc_id, text).
 
     Each byte of the UTF-8 text that lies in a string of 50 bytes which also starts in a document with a smaller
@@ -217,38 +238,49 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     which may cut characters; n_spans: maximal removed runs. Null text counts as empty. Rows that repeat a
     doc_id are not smaller than each other. Rows without doc_id keep all and remove nothing. Equal texts are
     compared once: a copy of a text with a smaller doc_id is removed whole, if it has 50 bytes. Other columns are not read.
+
+    Segments of a hash that more than `most` texts have are cut into parts by document. Each part is sorted by itself
+    and takes out all but its own smallest documents, which meet in a second sort.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     narrow = table(known.select("doc_id", *text_keys(F.col("text"))).distinct(), "suffix-keys")
     classes = table(narrow.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "suffix-classes")
-    found = table(shared_segments(known).groupBy("k1", "k2").agg(F.collect_list("places").alias("places"), F.sum("found").alias("found")).join(classes, ["k1", "k2"]), "suffix-places")
+    found = table(shared_segments(known, most).groupBy("k1", "k2").agg(F.collect_list(F.struct("places", "parts")).alias("places"), F.sum("found").alias("found")).join(classes, ["k1", "k2"]), "suffix-places")
     total = found.agg(F.sum("found")).first()[0] or 0
     buckets = max(1, -(-total * (WINDOW + 16) // BUCKET_BYTES))
     texts = known.select("doc_id", *text_keys(F.col("text")), "text").join(found, ["k1", "k2"]).where("doc_id = id").select("id", "text", "places")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out = batch.column("id").to_pylist(), {}
-        for i, text, places in zip(ids, binary_lists(batch, "text"), batch.column("places").to_pylist(), strict=True):
+        out: dict = {}
+        for i, text, found in zip(batch.column("id").to_pylist(), binary_lists(batch, "text"), batch.column("places").to_pylist(), strict=True):
             value, starts, windows = segments(text)
-            at = np.searchsorted(starts, np.sort(np.frombuffer(b"".join(places), "<i4")))
-            # the bits above the gram bucket's deal the segments out anew
-            for b, s, w in zip((mixed(value[at]) % np.uint64(buckets)).tolist(), starts[at].tolist(), windows[at].tolist(), strict=True):
-                out.setdefault(b, ([], [], [], []))
-                for column, x in zip(out[b], (i, s, w, text[s : s + w + WINDOW - 1]), strict=True):
+            at = np.searchsorted(starts, np.frombuffer(b"".join(x["places"] for x in found), "<i4"))
+            parts = np.frombuffer(b"".join(x["parts"] for x in found), "<i4")
+            part = (mixed(np.array([i], np.int64).view(np.uint64)) % parts.astype(np.uint64)).tolist()
+            for key, s, w, n in zip(zip((mixed(value[at]) % np.uint64(buckets)).tolist(), part, strict=True), starts[at].tolist(), windows[at].tolist(), parts.tolist(), strict=True):
+                for column, x in zip(out.setdefault(key, ([], [], [], [], [])), (i, s, w, n, text[s : s + w + WINDOW - 1]), strict=True):
                     column.append(x)
-        packed = [(b, np.array(d, "<i8").tobytes(), np.array(s, "<i4").tobytes(), np.array(w, "<i4").tobytes(), b"".join(x)) for b, (d, s, w, x) in out.items()]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in packed], kind) for c, kind in enumerate(kinds)], ["bucket", "docs", "starts", "windows", "bytes"])
+        rows = [_pack(*key, *columns) for key, columns in out.items()]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["bucket", "part", "docs", "starts", "windows", "parts", "bytes"])
 
     def sort(group: pa.Table) -> pa.Table:
-        get = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind).astype(np.int64)
-        ids, starts, windows = get("docs", "<i8"), get("starts", "<i4"), get("windows", "<i4")
-        raw, ends = b"".join(group.column("bytes").to_pylist()), np.cumsum(windows + WINDOW - 1).tolist()
-        return _by_doc(*repeated_windows(ids, starts, windows, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]))
-
-    packed = map_batches(texts, cut, "bucket int, docs binary, starts binary, windows binary, bytes binary")
-    spans = packed.groupBy("bucket").applyInArrow(sort, "id long, starts binary, counts binary")
+        docs, starts, windows, parts, data = _unpack(group)
+        *found, open_ = repeated_windows(docs, starts, windows, data)
+        spans = _by_doc(*found)
+        left = np.flatnonzero(open_ & (parts > 1))  # to the second sort
+        more = [_pack(group.column("bucket")[0].as_py(), 0, docs[left], starts[left], windows[left], np.ones(len(left)), [data[k] for k in left])] * bool(len(left))
+        column = lambda own, kind: pa.array(own + [None] * len(more), kind)
+        last = lambda k, kind: pa.array([None] * len(spans) + [r[k] for r in more], kind)
+        out = {"id": column(spans.column("id").to_pylist(), pa.int64()), **{f"spans_{c}": column(spans.column(c).to_pylist(), pa.binary()) for c in ("starts", "counts")}}
+        return pa.table(out | {"bucket": last(0, pa.int32())} | {c: last(k, pa.binary()) for k, c in enumerate(names, 2)})
+
+    names = ["docs", "starts", "windows", "parts", "bytes"]
+    packed = map_batches(texts, cut, f"bucket int, part int, {SEGMENTS}")
+    first = table(packed.groupBy("bucket", "part").applyInArrow(sort, f"id long, spans_starts binary, spans_counts binary, bucket int, {SEGMENTS}"), "suffix-spans")
+    second = first.where("bucket is not null").groupBy("bucket").applyInArrow(lambda group: _by_doc(*repeated_windows(*(x for k, x in enumerate(_unpack(group)) if k != 3))[:3]), "id long, starts binary, counts binary")
+    spans = first.where("id is not null").select("id", F.col("spans_starts").alias("starts"), F.col("spans_counts").alias("counts")).unionByName(second)
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("starts", "counts")).alias("spans"))
     marks = narrow.join(classes, ["k1", "k2"])
     copies = marks.where("doc_id > id").select("doc_id", "k1", "k2", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<starts:binary,counts:binary>>").alias("spans"))
