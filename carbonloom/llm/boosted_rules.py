@@ -96,12 +96,18 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, sign: np.ndarray, tree
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_LABEL) -> Trees:
-    """Trees fitted on at most `most` training rows of each label, those of lower hash; none: trees that keep all."""
+    """Trees fitted on at most `most` training rows of each label, those of lower hash; none: trees that keep all.
+
+    Each sampled row stands for count / sampled of its label, so that the labels weigh as in all training rows
+    however many are sampled. Weights have mean 1: the fit's least rows and ridge count sampled rows.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
     ids = sample_ids(known.where("quality = 1"), most, 10).union(sample_ids(known.where("quality = 0"), most, 10))
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     x, y = fetch(docs, ids, "quality")
+    weight = np.array([counts[v] / min(counts[v], most) for v in y.astype(int)])
     sign = np.array([-1 if name in FALLING else 0 for name in docstats.NAMES])
-    return fit(x, y, np.ones(len(y)), sign)
+    return fit(x, y, weight / weight.mean() if len(weight) else weight, sign)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MOST_OF_LABEL, bound: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from carbonloom.llm import boosted_rules, docstats, license_scan, pii, pu_quality, queries, tree_bpe
+from tests.llm.conftest import text_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -127,6 +128,17 @@ def test_quality_rules_on_odd_rows(spark, odd, labels, odd_rows):
     assert boosted_rules.judge(spark, odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_sample(spark):
+    """Borderline texts, 7 in 10 of them good, among clean ones: a capped sample keeps them as the whole does."""
+    random.seed(7)
+    rows = [(k, text_of(k, 40) + " wow!! so!! good!!" * (k % 10 < 3), int(random.random() < (0.7 if k % 10 < 3 else 0.95))) for k in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    whole, capped = ({r.doc_id: r.kept for r in boosted_rules.judge(spark, docs, known, most).collect()} for most in (8000, 120))
+    assert sum(whole.values()) >= 0.95 * len(rows)
+    assert sum(whole[k] != capped[k] for k in whole) <= 0.05 * len(rows)
+
+
 def held_out_accuracy(rows, labelled, score):
     held = [(score(r), labelled[r.doc_id]) for r in rows if r.doc_id in labelled and __import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0]
     return sum(s == y for s, y in held) / len(held)
