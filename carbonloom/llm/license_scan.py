@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -32,88 +32,137 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 
-_CUES = (b"licen", b"rights reserved", b"permission", b"redistribution", b"public domain")
-_SENTENCE = re.compile(r"(?<=[.!?:])\s+")
-_WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?:])\s+(?![\s\d])")
+_WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", re.ASCII | re.IGNORECASE)
 
 
 def wording(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def _numbered(word: str) -> bool:
+    return any(c.isdigit() for c in word)
 
 
 class Scanner:
-    """The templates as raw-content dictionaries, with their words."""
+    """The templates' words, joined by spaces as raw-content dictionaries, so that case and line breaks do not count."""
 
     def __init__(self, templates: dict[str, str], level: int = 3):
         self.plain = zstandard.ZstdCompressor(level=level)
         self.words = {name: wording(t) for name, t in templates.items()}
-        self.with_dict = {name: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, t in templates.items()}
+        self.with_dict = {name: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, w in self.words.items()}
+        self.edits = {name: len(w) // 8 for name, w in self.words.items()}
+        # one word more than may be missing: a notice has at least one of them
+        self.cues: dict[str, list[str]] = {}
+        for name, w in self.words.items():
+            for cue in sorted(set(w), key=lambda x: (-len(x), x))[: self.edits[name] + 1]:
+                self.cues.setdefault(cue, []).append(name)
+        self.known: dict[tuple[str, str], list[tuple[int, int, int, int]]] = {}
+
+    def reduction(self, block: str, name: str) -> float:
+        """The share of a block's compressed size that the template saves; block: words joined by spaces."""
+        raw = block.encode()
+        return 1 - len(self.with_dict[name].compress(raw)) / len(self.plain.compress(raw))
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
-        """(reduction, template) with the greatest first: the share of a block's compressed size that the template saves."""
-        raw = block.encode("utf-8", "replace")
-        size = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / size, name) for name, c in self.with_dict.items()), key=lambda x: (-x[0], x[1]))
-
-    def difference(self, block: str, name: str) -> tuple[list[str], list[str]]:
-        """Words of the template that the block lacks, and words that it has between the template's first and last."""
-        own, seen = self.words[name], wording(block)
-        parts = [m for m in difflib.SequenceMatcher(None, own, seen, autojunk=False).get_matching_blocks() if m.size]
-        if not parts:
-            return own, seen
-        used = {k for m in parts for k in range(m.b, m.b + m.size)}
-        missing = [w for k, w in enumerate(own) if not any(m.a <= k < m.a + m.size for m in parts)]
-        return missing, [seen[k] for k in range(min(used), max(used)) if k not in used]
+        """(reduction, template) with the greatest first."""
+        block = " ".join(wording(block))
+        return sorted(((self.reduction(block, name), name) for name in self.with_dict), key=lambda x: (-x[0], x[1]))
+
+    def places(self, seen: list[str], name: str) -> list[tuple[int, int, int, int]]:
+        """(begin, end, missing, added) of the template's wording within `seen`: no number or version may differ, and one word in eight.
+
+        Words before and after it are free; places may overlap.
+        """
+        own, most = self.words[name], self.edits[name]
+        if sum((Counter(own) - Counter(seen)).values()) > most:
+            return []
+        never = most + 1
+        before = [(0, 0, j) for j in range(len(seen) + 1)]  # (edits, missing, begin) with the template's first words done, up to each place
+        for word in own:
+            drop = never if _numbered(word) else 1
+            row = [(before[0][0] + drop, before[0][1] + 1, 0)]
+            for j, other in enumerate(seen):
+                ways = [(before[j + 1][0] + drop, before[j + 1][1] + 1, before[j + 1][2]), (row[j][0] + (never if _numbered(other) else 1), row[j][1], row[j][2])]
+                if word == other:
+                    ways.append(before[j])
+                row.append(min(ways, key=lambda x: (x[0], x[1], -x[2])))
+            before = row
+        return [(begin, end, missing, edits - missing) for end, (edits, missing, begin) in enumerate(before) if edits <= most and begin < end]
 
     def match(self, block: str, least: float, tries: int) -> tuple[str, float, int, int] | None:
-        """(template, reduction, missing, added) of the first winner whose wording holds: no number or version may differ, and one word in eight."""
+        """(template, reduction, missing, added) of the first winner whose wording holds."""
         for saved, name in self.ranked(block)[:tries]:
             if saved < least:
                 break
-            missing, added = self.difference(block, name)
-            if len(missing) + len(added) <= len(self.words[name]) // 8 and not any(c.isdigit() for w in missing + added for c in w):
-                return name, saved, len(missing), len(added)
+            if found := self.places(wording(block), name):
+                return name, saved, *min((x[2:] for x in found), key=sum)
         return None
 
+    def notices(self, words: list[str]) -> list[tuple[int, str, float, int, int]]:
+        """(place of the first word, template, reduction, missing, added) of all notices in a text's words, in order.
+
+        A block reaches a template's length to both sides of each of its cues. Where the template saves anything of it, the
+        wording decides. Of notices that overlap the one with fewer edits is taken, then the greater reduction, then the first name.
+        """
+        found = set()
+        for k, word in enumerate(words):
+            for name in self.cues.get(word, ()):
+                reach = len(self.words[name]) + self.edits[name]
+                begin = max(0, k + 1 - reach)
+                block = words[begin : k + reach]
+                key = (name, " ".join(block))
+                if key not in self.known:
+                    self.known[key] = self.places(block, name) if self.reduction(key[1], name) > 0 else []
+                found |= {(begin + a, begin + b, name, missing, added) for a, b, missing, added in self.known[key]}
+        ranked = sorted((missing + added, -self.reduction(" ".join(words[a:b]), name), name, a, b, missing, added) for a, b, name, missing, added in found)
+        out, taken = [], set()
+        for _, saved, name, a, b, missing, added in ranked:
+            if taken.isdisjoint(range(a, b)):
+                taken.update(range(a, b))
+                out.append((a, name, -saved, missing, added))
+        return sorted(out)
+
 
 @cache
 def scanner() -> Scanner:
     return Scanner(TEMPLATES)
 
 
-def blocks(text: bytes) -> list[tuple[int, int, str]]:
-    """(line, place of the sentence in it, sentence) of the sentences that hold a cue: candidates."""
+@cache
+def _cue_bytes() -> tuple[bytes, ...]:
+    return tuple(c.encode() for c in scanner().cues)
+
+
+def notices(text: bytes) -> list[dict]:
+    """The notices of a text, with the line and the sentence of that line in which each begins."""
     low = text.lower()
-    if not any(c in low for c in _CUES):
+    if not any(c in low for c in _cue_bytes()):
         return []
+    plain = text.decode("utf-8", "replace")
+    words = list(_WORD.finditer(plain))
     out = []
-    for k, line in enumerate(text.split(b"\n")):
-        if any(c in line.lower() for c in _CUES):
-            out += [(k, n, s) for n, s in enumerate(_SENTENCE.split(line.decode("utf-8", "replace").strip())) if any(c.decode() in s.lower() for c in _CUES)]
+    for k, name, saved, missing, added in scanner().notices([w[0].lower() for w in words]):
+        at = words[k].start()
+        begin = plain.rfind("\n", 0, at) + 1
+        out.append({"line": plain.count("\n", 0, at), "sentence": len(_SENTENCE.findall(plain[begin : at + 1])), "license": name, "reduction": saved, "missing": missing, "added": added})
     return out
 
 
-def scan(spark: SparkSession, docs: DataFrame, least: float = 0.25, tries: int = 3) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, notices): for each row of docs (doc_id, text) its license notices, in order.
 
-    A notice has line and sentence (from 0), license, reduction (share of the compressed size saved by the
-    template as a raw dictionary, at least `least`), missing and added words against the template. Each
-    candidate is compressed with every template; the `tries` best are compared word by word. Ties go to the
-    first name. Null and empty texts have no notices; repeated rows have equal ones; a null doc_id stays null.
-    Other columns are not read.
+    A notice has the line and sentence (from 0) in which it begins, license, reduction (share of the compressed size of
+    its words saved by the template as a raw dictionary), missing and added words against the template. It may be
+    wrapped over lines, stand within a longer sentence or beside others. Blocks of words around a template's cues are
+    compressed with the template; where that saves anything they are compared word by word. Null and empty texts have no
+    notices; repeated rows have equal ones; a null doc_id stays null. Other columns are not read.
     """
     kind = pa.list_(pa.struct([("line", pa.int32()), ("sentence", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())]))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, known = [], {}
-        for text in binary_lists(batch, "text"):
-            own = []
-            for line, n, s in blocks(text):
-                if s not in known:
-                    known[s] = scanner().match(s, least, tries)
-                if (m := known[s]) is not None:
-                    own.append({"line": line, "sentence": n, "license": m[0], "reduction": m[1], "missing": m[2], "added": m[3]})
-            found.append(own)
+        scanner().known.clear()
+        found = [notices(text) for text in binary_lists(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "notices"])
 
     fields = "doc_id long, notices array<struct<line:int,sentence:int,license:string,reduction:double,missing:int,added:int>>"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -184,6 +185,36 @@ def test_license_notices(spark, odd):
     assert license_scan.scan(spark, odd).count() == odd.count() and license_scan.scan(spark, odd.limit(0)).count() == 0
 
 
+def test_notices_wrapped_embedded_and_together(spark):
+    texts = license_scan.TEMPLATES
+    pairs = list(zip(texts, [*texts][1:] + [*texts][:1], strict=True))
+    rows = [(name, [name], t) for name, t in texts.items()]
+    rows += [(f"{name} wrapped", [name], "some words\n" + "".join(f" * {x}\n" for x in textwrap.wrap(t, 24)) + "more words") for name, t in texts.items()]
+    rows += [(f"{name} upper", [name], t.upper()) for name, t in texts.items()]
+    rows += [(f"{name} embedded", [name], f"Copyright (c) 2021 Example Authors, {t[:-1]} and {text_of(5, 30)}") for name, t in texts.items()]
+    rows += [(f"{a} and {b}", [a, b], f"{text_of(6, 40)} {texts[a]} {texts[b]}") for a, b in pairs]
+    rows += [("version", [], "Licensed under the Apache License,\nVersion 1.1."), ("twice", ["reserved"] * 2, "All rights\nreserved. All rights reserved."), ("changed", ["MIT-text"], texts["MIT-text"].replace("is hereby granted", "is granted"))]
+    frame = spark.createDataFrame([(k, r[2]) for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [n.license for n in r.notices] for r in license_scan.scan(spark, frame).collect()}
+    assert {rows[k][0]: v for k, v in got.items()} == {r[0]: r[1] for r in rows}
+
+
+def test_compression_loses_no_wording():
+    """Blocks against the wording alone at every place of a text."""
+    random.seed(11)
+    scan = license_scan.scanner()
+    for k in range(300):
+        name = random.choice([*license_scan.TEMPLATES])
+        own = list(scan.words[name])
+        for _ in range(random.randint(0, 3)):
+            at = random.randrange(len(own))
+            own[at : at + random.randint(0, 1)] = random.choice([[], ["other"], ["2.0"]])
+        words = [*license_scan.wording(text_of(k, 30)), *own, *license_scan.wording(text_of(k + 1, 30))]
+        want = {n for n in license_scan.TEMPLATES if scan.places(words, n)}
+        got = scan.notices(words)
+        assert bool(got) == bool(want) and {x[1] for x in got} <= want
+
+
 def test_query_finds_all_plain_notices(spark):
     d = "/root/testdata/sf0.01"
     exact = {t: n for n, t in license_scan.TEMPLATES.items()}
