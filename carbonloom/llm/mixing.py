@@ -57,8 +57,9 @@ def tilts(sources: DataFrame, stats: DataFrame, rounds: int = 60, close: float =
     return state.select("source", "tilt")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies; docs needs doc_id, source and text.
+    The columns `carry` come along and set the order of rows with one doc_id.
 
     A document's rate is exp(tilt of its source). Rates become copies: all get the whole part; the
     fractions are rounded in the order of size class, then md5(doc_id), so that the running sum of copies
@@ -71,7 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0,
     e = F.length(F.bin("mix_size"))
     # the binary exponent and the next four bits: 16 classes in each doubling
     size_class = F.when(e <= 5, F.col("mix_size")).otherwise(e * 32 + F.expr("shiftright(mix_size, greatest(length(bin(mix_size)) - 5, 0))"))
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size")).withColumn("mix_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    narrow = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("mix_size")).withColumn("mix_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     narrow = narrow.withColumn("mix_class", size_class).withColumn("mix_slice", F.substring("mix_hash", 1, 2))
     narrow = table(narrow, "mix-sizes")
     stats = table(narrow.groupBy("source", "mix_size").agg(F.count("*").alias("docs")).withColumnRenamed("mix_size", "size"), "mix-stats")
@@ -84,9 +85,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0,
     slices = slices.withColumn("before", F.coalesce(F.sum("docs").over(order), F.lit(0)))
     slices = slices.join(by_source, F.col("source").eqNullSafe(F.col("of"))).select(F.col("of").alias("s"), F.col("mix_class").alias("c"), F.col("mix_slice").alias("p"), "before", "mix_source_size", "mix_target", "mix_rate")
     slices = table(slices, "mix-slices")
-    rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_slice").orderBy("mix_hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_slice").orderBy("mix_hash", "doc_id", *carry))
     ranked = narrow.withColumn("rank", rank).join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_class") == F.col("c")) & (F.col("mix_slice") == F.col("p")))
     i = F.col("before") + F.col("rank")
     steps = F.floor(i * F.col("mix_rate") + 0.5) - F.floor((i - 1) * F.col("mix_rate") + 0.5)
     copies = F.when((F.col("mix_size") > 0), steps).otherwise(0).cast("int")
-    return ranked.select("doc_id", F.col("source").alias("source"), "mix_size", "mix_source_size", "mix_target", F.when(F.col("mix_size") > 0, F.col("mix_rate")).otherwise(0.0).alias("mix_rate"), copies.alias("mix_copies"))
+    return ranked.select("doc_id", F.col("source").alias("source"), *carry, "mix_size", "mix_source_size", "mix_target", F.when(F.col("mix_size") > 0, F.col("mix_rate")).otherwise(0.0).alias("mix_rate"), copies.alias("mix_copies"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carbonloom.llm import boosted_rules, jaccard_join, line_dedup, mixing, tree_bpe
@@ -24,17 +24,33 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id."""
-    groups = jaccard_join.near_duplicates(spark, docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates: the one of smallest doc_id.
+
+    Texts that share a doc_id are judged each by itself, so that the groups are of keys of doc_id and text; of one
+    doc_id the lower key stays. Rows without doc_id all stay.
+    """
+    keyed = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(11), "doc_id", F.coalesce("text", F.lit("")))))
+    groups = jaccard_join.near_duplicates(spark, keyed.select(F.col("key").alias("doc_id"), "text"))
+    linked = table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("key"), "component_id").distinct(), "near-linked")
+    members = linked.unionByName(linked.select(F.col("component_id").alias("key"), "component_id").distinct())
+    members = table(keyed.select("key", "doc_id").distinct().join(members, "key"), "near-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+    gone = members.select("key").join(first, "key", "left_anti")
+    return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(spark, docs).groupBy("doc_id").agg(F.min("mix_copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it; rows that share a doc_id are documents of their own.
+
+    Decisions come back by a key of the whole row. Rows that are equal throughout share out the sum of their copies.
+    """
+    key, cells = ["row_k1", "row_k2"], [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(n), *cells) for n, k in enumerate(key)})
+    copies = mixing.mix(spark, keyed, carry=tuple(key)).groupBy(*key).agg(F.sum("mix_copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    nth = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    share = F.floor(F.col("copies") * F.col("nth") / F.col("rows")) - F.floor(F.col("copies") * (F.col("nth") - 1) / F.col("rows"))
+    taken = nth.join(copies, key).withColumn("share", share.cast("int")).where("share > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("share")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,3 +215,41 @@ def test_pipeline(spark):
     assert all(n <= 2 for n in Counter(r.doc_id for r in mixed).values()) and {r.doc_id for r in mixed} <= {r.doc_id for r in near}
     assert sorted(r.doc_id for r in mixed) == sorted(r.doc_id for r in encoded)
     assert corpus_pipeline.run(spark, d).count() == len(encoded)
+
+
+def stage_rows(spark, rows):
+    """(doc_id, text, source) as a stage's table."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_duplicates_stage_with_repeated_ids(spark):
+    """A text goes for its own copies only, not for another text of its doc_id."""
+    a, near = text_of(1, 80), text_of(1, 80).replace("dog", "cat", 1)
+    rows = [(3, a), (5, near), (5, text_of(2, 80)), (5, text_of(2, 80)), (6, text_of(3, 80)), (6, text_of(3, 80) + " end"), (7, text_of(2, 80)), (None, a), (None, near), (8, None), (8, "")]
+    got = corpus_pipeline.near_duplicates(spark, stage_rows(spark, [(*r, "a") for r in rows]), "").collect()
+    kept = Counter((r.doc_id, r.text) for r in got)
+    of_six = [k for k in kept if k[0] == 6]
+    assert len(of_six) == 1 and kept[of_six[0]] == 1
+    del kept[of_six[0]]
+    assert kept == Counter([rows[0], rows[2], rows[3], *rows[7:]])
+
+
+def test_mix_stage_with_repeated_and_null_ids(spark):
+    """Each row as often as the mix takes it, also where others share its doc_id."""
+    rows = [(k // 4, text_of(k, 20 + k % 30), "abc"[k % 3]) for k in range(240)]
+    rows += [(None, text_of(500 + k, 25), "c") for k in range(40)] + [(None, None, "c"), (None, "", None), (1, "", "a")]
+    rows += [(900, text_of(900, 40), "a")] * 7
+    docs = stage_rows(spark, rows)
+    size = lambda t: len((t or "").split())
+    want, target = Counter(), {}
+    for r in mixing.mix(spark, docs).collect():
+        want[r.source] += r.mix_copies * r.mix_size
+        target[r.source] = r.mix_target
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += size(r.text)
+    assert all(abs(taken[s] - t) <= 0.05 * t for s, t in target.items()) and all(abs(taken[s] - n) <= 60 for s, n in want.items())
+    assert any(r.doc_id is None for r in got) and all(size(r.text) for r in got)
+    per_row = Counter((r.doc_id, r.text) for r in got)
+    assert max(n for k, n in per_row.items() if k[0] != 900) <= 2 and 0 < per_row[rows[-1][:2]] <= 14
