@@ -156,6 +156,11 @@ def match_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
 
 
+def alias_key(text: Column) -> Column:
+    """Lower case without white space, dots, brackets, hyphens and underscores; Chinese characters stay."""
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\s·•．。()（）_-]+", "")
+
+
 def normalised_scope(value: Column) -> Column:
     """Scope n from spellings such as 'Scope 1', '范围1', '范围一'; a part of 'Scope 1' (also empty text) counts as Scope 1, and so on."""
     s = F.trim(value)

@@ -24,25 +24,46 @@ def vectors(docs: DataFrame, key: str, text: str, tokens=characters) -> DataFram
     return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").cast("double").alias("tf"))
 
 
+def grams(text: Column, most: int = 3) -> Column:
+    """The distinct substrings of 1 to `most` characters."""
+    n = F.char_length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, most + 1)]))
+
+
+def contained_in(words: DataFrame, word: Column, texts: DataFrame, text: Column, most: int = 3) -> DataFrame:
+    """Rows of words and texts where text contains word, without comparing all: a word's first characters meet the substrings of the texts. Empty words meet nothing."""
+    own = words.withColumn("__word", word).withColumn("__gram", F.substring("__word", 1, most)).where("__word <> ''")
+    indexed = texts.withColumn("__text", text).withColumn("__gram", F.explode(grams(F.col("__text"), most)))
+    return own.join(indexed, "__gram").where(F.contains("__text", "__word")).drop("__gram", "__word", "__text")
+
+
 def tfidf_top(queries: DataFrame, query: str, catalogue: DataFrame, key: str, text: str, top: int = 5, least: float = 0.0, tokens=characters) -> DataFrame:
     """(query, key, score, rank): the catalogue rows of highest cosine for each query, above 0 and at least `least`.
 
     idf is ln((1 + n) / (1 + df)) + 1 over the catalogue; queries use the catalogue's idf and their other
-    tokens count for nothing. Ties go to the higher key. Tokens meet in an equi join; scores add up in
-    partial sums before they are shuffled.
+    tokens count for nothing. Ties go to the higher key. Each different text of the catalogue is scored once, by a row
+    that stands for its best `top` keys. Tokens meet in an equi join; scores add up in partial sums before
+    they are shuffled. A query still meets each different text that shares a token with it.
     """
-    tf = vectors(catalogue, key, text, tokens)
+    place = F.row_number().over(Window.partitionBy(text).orderBy(F.desc(key)))
+    rows = catalogue.where(F.col(text).isNotNull()).select(key, text)
+    best = rows.withColumn("__place", place).where(F.col("__place") <= top).select(text, key)
+    texts = rows.groupBy(text).agg(F.count("*").alias("__rows"))
+    tf = vectors(texts, text, text, tokens).join(texts, text)
     n = catalogue.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = tf.groupBy("token").agg(F.sum("__rows").alias("df")).join(F.broadcast(n), F.lit(True)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
     def weighed(rows: DataFrame, by: str) -> DataFrame:
         w = rows.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
         return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(by)))).select(by, "token", "w")
 
     own = weighed(vectors(queries, query, query, tokens), query).withColumnRenamed("w", "wq")
-    scores = own.join(weighed(tf, key), "token").groupBy(query, key).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 12)), F.desc(key)))
-    return scores.where((F.col("score") > 0) & (F.col("score") >= least)).withColumn("rank", rank).where(F.col("rank") <= top)
+    scores = own.join(weighed(tf, text), "token").groupBy(query, text).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+    order = lambda by: F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 12)), F.desc(by)))
+    near = scores.where((F.col("score") > 0) & (F.col("score") >= least)).join(best.groupBy(text).agg(F.max(key).alias("__first")), text)
+    near = near.withColumn("rank", order("__first")).where(F.col("rank") <= top).drop("rank", "__first")
+    return near.join(best, text).withColumn("rank", order(key)).where(F.col("rank") <= top).select(query, key, "score", "rank")
 
 
 def candidates() -> list[tuple[int, str, str]]:
@@ -74,11 +95,22 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("centroid"))
 
 
-def nearest_centroid(rows: DataFrame, key: str, vector: str, means: DataFrame, label: str) -> DataFrame:
-    """rows with nearest label and confidence: cosine to each centroid (a fixed, small number of classes), cut to 0..1; ties go to the lower label."""
-    scored = rows.join(F.broadcast(means), F.lit(True)).withColumn("__sim", N.cosine(F.col(vector), F.col("centroid")))
-    best = scored.groupBy(key).agg(F.max(F.struct(F.round("__sim", 12).alias("sim"), (-F.col(f"{label}")).alias("neg"))).alias("b"))
-    return best.select(key, (-F.col("b.neg")).alias("nearest"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.sim"))).alias("confidence"))
+#: Classes that a row is compared with, at most.
+MOST_CLASSES = 10_000
+
+
+def nearest_centroid(rows: DataFrame, vector: str, means: DataFrame, label: str) -> DataFrame:
+    """rows with nearest label and confidence: cosine to each centroid, cut to 0..1; ties go to the lower label.
+
+    The centroids, MOST_CLASSES at most, come to each row as one array: no shuffle, and repeated rows stay.
+    """
+    n = means.count()
+    if n > MOST_CLASSES:
+        raise ValueError(f"{n} classes are more than {MOST_CLASSES}")
+    classes = means.agg(F.collect_list(F.struct(F.col(label).alias("label"), "centroid")).alias("__classes"))
+    by_class = F.transform("__classes", lambda c: F.struct(F.round(N.cosine(F.col(vector), c["centroid"]), 12).alias("sim"), (-c["label"]).alias("neg")))
+    best = rows.join(F.broadcast(classes), F.lit(True)).withColumn("__best", F.array_max(by_class))
+    return best.select(*rows.columns, (-F.col("__best.neg")).alias("nearest"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__best.sim"))).alias("confidence"))
 
 
 def hybrid_category(code: Column, nearest: Column, confidence: Column, word_category: Column, word_similarity: Column, least: float = 0.7) -> Column:
@@ -94,14 +126,14 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def resolve_airports(inputs: DataFrame, name: str, airports: DataFrame, aliases: DataFrame, least: float = 0.55) -> DataFrame:
-    """Distinct names with code and how: by IATA code, ident, alias, then the most similar name among airports whose municipality key holds the name's first six key characters. Unresolved names keep null."""
-    names = inputs.select(name).distinct().withColumn("__upper", F.upper(F.trim(name))).withColumn("__key", X.match_key(F.col(name)))
+    """Distinct names with code and how: by IATA code, ident, alias (keys as in alias_rows()), then the most similar name among airports whose municipality key holds the name's first six key characters. Unresolved names keep null."""
+    names = inputs.select(name).distinct().withColumns({"__upper": F.upper(F.trim(name)), "__key": X.match_key(F.col(name)), "__alias": X.alias_key(F.col(name))})
     code = airports.select(F.col("iata_code").alias("__upper"), F.col("iata_code").alias("by_iata"))
     ident = airports.select(F.col("ident").alias("__upper"), F.col("iata_code").alias("by_ident"))
-    alias = aliases.select(F.col("alias").alias(name), F.col("iata_code").alias("by_alias"))
-    found = names.join(F.broadcast(code), "__upper", "left").join(F.broadcast(ident), "__upper", "left").join(F.broadcast(alias), name, "left")
+    alias = aliases.select(F.col("alias").alias("__alias"), F.col("code").alias("by_alias"))
+    found = names.join(code, "__upper", "left").join(ident, "__upper", "left").join(alias, "__alias", "left")
     blocked = found.where(F.coalesce("by_iata", "by_ident", "by_alias").isNull() & (F.col("__key") != "")).select(name, "__key")
-    pairs = blocked.join(F.broadcast(airports.select("iata_code", "name_key", "muni_key")), F.contains(F.col("muni_key"), F.substring("__key", 1, 6)))
+    pairs = contained_in(blocked, F.substring("__key", 1, 6), airports.select("iata_code", "name_key", "muni_key"), F.col("muni_key"))
     scored = pairs.withColumn("score", F.greatest(_ratio("__key", "name_key"), _ratio("__key", "muni_key"))).where(F.col("score") >= least)
     best = scored.groupBy(name).agg(F.max_by("iata_code", F.struct("score", "iata_code")).alias("by_name"))
     how = F.when(F.col("by_iata").isNotNull(), "iata").when(F.col("by_ident").isNotNull(), "ident").when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_name").isNotNull(), "similar")
@@ -109,9 +141,9 @@ def resolve_airports(inputs: DataFrame, name: str, airports: DataFrame, aliases:
 
 
 def suggest_airports(inputs: DataFrame, name: str, airports: DataFrame, top: int = 3, least: float = 0.42) -> DataFrame:
-    """(name, iata_code, rank): the most similar airports of each distinct name; the airports are a small dimension, blocked by four key characters."""
+    """(name, iata_code, rank): the most similar airports of each distinct name, among those whose municipality key holds its first four key characters."""
     names = inputs.select(name).distinct().withColumn("__key", X.match_key(F.col(name))).where("__key <> ''")
-    pairs = names.join(F.broadcast(airports.select("iata_code", "name_key", "muni_key")), F.contains(F.col("muni_key"), F.substring("__key", 1, 4)))
+    pairs = contained_in(names, F.substring("__key", 1, 4), airports.select("iata_code", "name_key", "muni_key"), F.col("muni_key"))
     scored = pairs.withColumn("score", F.greatest(_ratio("__key", "name_key"), _ratio("__key", "muni_key"))).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("score"), "iata_code"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select(name, "iata_code", "rank")

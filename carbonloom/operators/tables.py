@@ -76,14 +76,31 @@ def latest(rows: DataFrame, key: str, time: str, *ties: str) -> DataFrame:
     return rows.withColumn("__n", newest).where("__n = 1").drop("__n")
 
 
+def numbered(rows: DataFrame, name: str, key: str, leading: tuple[str, ...] = (), width: int = 4096) -> DataFrame:
+    """rows with `name`: their number from 0 in order of the leading columns, then the whole number `key`; nulls come first.
+
+    Stretches of `width` keys are numbered by themselves; only the counts of the stretches are added up in one place.
+    """
+    at = ["__at", *[f"__{c}" for c in leading]]
+    where = {"__at": F.floor(F.col(key) / width), **{f"__{c}": F.col(c) for c in leading}}
+    placed = rows.withColumns(where)
+    before = Window.orderBy(*at[1:], "__at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*at).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    counts = counts.select(*[F.col(c).alias(f"{c}_of") for c in at], "__before")
+    own = F.row_number().over(Window.partitionBy(*at).orderBy(*leading, key)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in at]
+    out = placed.withColumn("__own", own).join(counts, same)
+    return out.select(*rows.columns if name not in rows.columns else [c for c in rows.columns if c != name], (F.col("__before") + F.col("__own")).alias(name))
+
+
 def apply_changes(products: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
     """products (id, fields) after changes (op, id, fields): updates set the fields that are not null, deletes drop the id, inserts get ids above the largest in order of their own id."""
     updates = changes.where("op = 'update'").select("id", *[F.col(f).alias(f"__{f}") for f in fields])
     kept = products.join(changes.where("op = 'delete'").select("id"), "id", "left_anti").join(updates, "id", "left")
     kept = kept.select("id", *[F.coalesce(f"__{f}", f).alias(f) for f in fields])
     top = products.agg(F.max("id").alias("top"))
-    added = changes.where("op = 'insert'").withColumn("n", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top), F.lit(True))
-    return kept.unionByName(added.select((F.coalesce("top", F.lit(0)) + F.col("n")).alias("id"), *fields))
+    added = numbered(changes.where("op = 'insert'"), "n", "id").join(F.broadcast(top), F.lit(True))
+    return kept.unionByName(added.select((F.coalesce("top", F.lit(0)) + F.col("n") + 1).alias("id"), *fields))
 
 
 def sorted_by_emission(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:

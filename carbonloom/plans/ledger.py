@@ -9,6 +9,7 @@ from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
 from carbonloom.functions.rules import contains_any, first_match, lookup, prefixes_first
+from carbonloom.operators.matching import contained_in
 
 _DEFAULT = ("Scope 3", "scope3_default")
 
@@ -151,12 +152,9 @@ def flight_emissions(lines: DataFrame, airports: DataFrame) -> DataFrame:
 
 
 def footprint_of_keyword(words: DataFrame, word: str, catalogue: DataFrame) -> DataFrame:
-    """Distinct words with the footprint of the newest catalogue product that contains them (lowest row first); blank words match nothing.
-
-    The catalogue is a small dimension; only distinct words meet it.
-    """
+    """Distinct words with the footprint of the newest catalogue product that contains them (lowest row first); blank words match nothing."""
     distinct = words.select(word).where(F.trim(word) != "").distinct()
-    hits = distinct.join(catalogue.select("product_name", "carbon_footprint", "data_year", "row_index"), F.contains(F.col("product_name"), F.col(word)))
+    hits = contained_in(distinct, F.col(word), catalogue.select("product_name", "carbon_footprint", "data_year", "row_index"), F.col("product_name"))
     year = -F.coalesce(F.col("data_year").cast("int"), F.lit(0))
     return hits.groupBy(word).agg(F.min_by("carbon_footprint", F.struct(year, "row_index")).alias("footprint"))
 
@@ -184,12 +182,18 @@ def waste_intensity(routes: DataFrame, catalogue: DataFrame) -> DataFrame:
 def products_by_name(names: DataFrame, name: str, products: DataFrame) -> DataFrame:
     """Distinct names with the custom product of lowest id whose name contains them in any case; blank names match nothing."""
     distinct = names.select(name).where(F.trim(name) != "").distinct()
-    hits = distinct.join(products, F.contains(F.lower("product_name"), F.lower(F.trim(name))))
+    hits = contained_in(distinct, F.lower(F.trim(name)), products, F.lower("product_name"))
     return hits.groupBy(name).agg(F.min_by(F.struct(*products.columns), "id").alias("product"))
 
 
+def is_waste_factor(factor_id: Column) -> Column:
+    """Whether a factor is one of the waste profiles, whose emission is allocated to routes of disposal."""
+    return F.coalesce(factor_id.isin(*dims.WASTE_FACTORS), F.lit(False))
+
+
 def waste_emissions(lines: DataFrame, products: DataFrame, intensity: DataFrame) -> DataFrame:
-    """Waste lines (factor_id of a profile): mass by the product's unit weight times the blended intensity, else the amount times the waste factor; else null."""
+    """The lines with a waste factor: mass by the product's unit weight times the blended intensity, else the amount times the waste factor; else null."""
+    lines = lines.where(is_waste_factor(F.col("factor_id")))
     weight = products_by_name(lines, "name", products).select("name", F.col("product.unit_weight_kg").alias("unit_weight_kg"))
     joined = lines.join(weight, "name", "left").join(intensity, "factor_id", "left")
     mass = F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(1.0) * F.col("unit_weight_kg") / 1000

@@ -9,6 +9,7 @@ from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
 from carbonloom.functions.rules import contains_any, first_match, lookup, prefixes_first
+from carbonloom.operators.matching import contained_in
 
 FACTOR_SCHEMA = "id string, name string, category string, value double, unit string, region string, year int, factor_type string, list_pos int"
 
@@ -55,17 +56,18 @@ def with_category_factor(rows: DataFrame, category: str, region: str, all_factor
     dim = category_factors(all_factors)
     own = dim.select(F.col("category").alias(category), F.col("region").alias(region), F.col("factor").alias("__own"))
     whole = dim.where("region = '全国'").select(F.col("category").alias(category), F.col("factor").alias("__whole"))
-    out = rows.join(F.broadcast(own), [category, region], "left").join(F.broadcast(whole), category, "left")
+    out = rows.join(own, [category, region], "left").join(whole, category, "left")
     return out.select(*rows.columns, F.coalesce("__own", "__whole").alias("factor"))
 
 
-def factor_by_name(all_factors: DataFrame, names: list[str]) -> DataFrame:
-    """(query, factor): a factor whose name or id is the query, else the first that contains it. names: a fixed set."""
-    spark = all_factors.sparkSession
-    queries = spark.createDataFrame([(n,) for n in names], "query string")
-    exact = (F.col("name") == F.col("query")) | (F.col("id") == F.col("query"))
-    hits = all_factors.join(F.broadcast(queries), F.contains("name", "query") | F.contains("id", "query"))
-    return hits.groupBy("query").agg(F.min_by(F.struct("id", "value", "unit"), F.struct(~exact, "list_pos")).alias("factor"))
+def factor_by_name(all_factors: DataFrame, queries: DataFrame, query: str) -> DataFrame:
+    """(query, factor) of distinct queries: a factor whose name or id is the query, else the first that contains it, else null."""
+    distinct = queries.select(query).distinct()
+    names = all_factors.select("*", F.explode(F.array("name", "id")).alias("__name"))
+    hits = contained_in(distinct, F.col(query), names, F.col("__name"))
+    exact = (F.col("name") == F.col(query)) | (F.col("id") == F.col(query))
+    best = hits.groupBy(query).agg(F.min_by(F.struct("id", "value", "unit"), F.struct(~exact, "list_pos")).alias("factor"))
+    return distinct.join(best, query, "left")
 
 
 def industry_factor(industry: Column) -> Column:
@@ -82,6 +84,20 @@ def has_quantity() -> Column:
 _MATERIAL_FACTOR = {"钢材": "material_steel", "水泥": "eeio_cement", "汽油": "fuel_gasoline", "原煤": "fuel_coal", "天然气": "fuel_natural_gas"}
 
 
+#: Rows that a factor list may have.
+MOST_FACTORS = 10_000
+
+
+def factor_keys(all_factors: DataFrame) -> DataFrame:
+    """(factor_key, factor_id, value, factor_unit, category, factor_type): each id, and grid:region for the first power factor of a region."""
+    rows = all_factors.orderBy("list_pos").limit(MOST_FACTORS + 1).collect()
+    if len(rows) > MOST_FACTORS:
+        raise ValueError(f"a factor list has more than {MOST_FACTORS} rows")
+    own = {r.id: r for r in rows} | {f"grid:{r.region or '全国'}": r for r in reversed(rows) if r.category == "电力"}
+    keys = [(k, r.id, r.value, r.unit, r.category, r.factor_type) for k, r in own.items()]
+    return all_factors.sparkSession.createDataFrame(keys, "factor_key string, factor_id string, value double, factor_unit string, category string, factor_type string")
+
+
 def match_factors(lines: DataFrame, all_factors: DataFrame) -> DataFrame:
     """lines (name, tax_code, amount, quantity, unit, region) with factor_id, value, factor_unit, category, match_type, confidence, reason.
 
@@ -106,12 +122,10 @@ def match_factors(lines: DataFrame, all_factors: DataFrame) -> DataFrame:
     material = contains_any(name, [w for ws, *_ in dims.PHYSICAL_MATERIALS for w in ws] + [w for ws, _ in dims.EEIO_NAMES for w in ws])
     fuzzy = F.col("__m.match_type") == "默认因子"
     confidence = confidence_score(has_quantity(), material, code != "", F.col("__m.match_type"), fuzzy)
-    grids = category_factors(all_factors).where("category = '电力'").select(F.concat(F.lit("grid:"), "region").alias("factor_key"), "factor.id", "factor.value", "factor.unit")
-    plain = all_factors.select(F.col("id").alias("factor_key"), "id", "value", "unit")
-    keys = grids.unionByName(plain).join(all_factors.select("id", "category", "factor_type"), "id")
-    keys = keys.select("factor_key", F.col("id").alias("factor_id"), "value", F.col("unit").alias("factor_unit"), "category", "factor_type")
-    national = keys.where("factor_key = 'grid:全国'")
-    out = matched.withColumn("confidence", confidence).withColumn("factor_key", F.when(F.col("__m.factor_key") == "grid", F.concat(F.lit("grid:"), "region")).otherwise(F.col("__m.factor_key"))).join(F.broadcast(keys), "factor_key", "left").join(F.broadcast(national.select(*[F.col(c).alias(f"__n_{c}") for c in national.columns])), F.lit(True), "left")
+    keys = factor_keys(all_factors)
+    national = keys.where("factor_key = 'grid:全国'").select(*[F.col(c).alias(f"__n_{c}") for c in keys.columns])
+    wanted = F.when(F.col("__m.factor_key") == "grid", F.concat(F.lit("grid:"), "region")).otherwise(F.col("__m.factor_key"))
+    out = matched.withColumn("confidence", confidence).withColumn("factor_key", wanted).join(keys, "factor_key", "left").join(F.broadcast(national), F.lit(True), "left")
     pick = lambda c: F.coalesce(c, F.when(F.startswith("factor_key", F.lit("grid:")), F.col(f"__n_{c}"))).alias(c)
     return out.select(*lines.columns, *[pick(c) for c in ("factor_id", "value", "factor_unit", "category", "factor_type")], "__m.match_type", "confidence", "__m.reason")
 
@@ -303,7 +317,7 @@ def material_emission(lines: DataFrame, all_factors: DataFrame) -> DataFrame:
         rules.append((contains_any(name, words), F.struct(F.lit(factor).cast("string").alias("factor"), confidence.alias("confidence"))))
     staged = lines.withColumn("__m", first_match(rules, F.struct(F.lit(None).cast("string").alias("factor"), F.lit("低").alias("confidence"))))
     dim = all_factors.select(F.col("id").alias("material_factor"), F.col("value").alias("__value"), F.col("unit").alias("__unit"))
-    out = staged.withColumn("material_factor", F.col("__m.factor")).join(F.broadcast(dim), "material_factor", "left")
+    out = staged.withColumn("material_factor", F.col("__m.factor")).join(dim, "material_factor", "left")
     kg = F.greatest(F.lit(0.0), F.coalesce("quantity", F.lit(0.0)) * F.col("__value"))
     converted = F.greatest(F.lit(0.0), N.factor_quantity(F.coalesce("quantity", F.lit(0.0)), F.col("unit"), F.col("__unit")) * F.col("__value"))
     return out.select(*lines.columns, "material_factor", F.coalesce(converted, kg, F.lit(0.0)).alias("emissions"), F.col("__m.confidence").alias("confidence"))

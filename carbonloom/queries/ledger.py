@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from carbonloom.functions import text as X
 from carbonloom.functions.rules import longest_prefix
 from carbonloom.plans import ledger as L
 from carbonloom.queries import sqltext as S
+from carbonloom.sources import facts
+from carbonloom.sources.shared import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -114,9 +118,9 @@ def f10_line_kinds(spark, d):
     return rows.groupBy(*kinds).agg(F.count("*").alias("n"), F.countDistinct("s").alias("texts"))
 
 
-@register(S.WITH_EMITTED + " SELECT invoice_id, line_no, floor(emission_kg * 10000 + 0.5) / 10000 AS kg, floor(emission_kg / 1000 * 100.0 * 10000 + 0.5) / 10000 AS cost, name FROM emitted WHERE amount > 90000")
+@register(S.WITH_EMITTED + " SELECT invoice_id, line_no, floor(emission_kg * 10000 + 0.5) / 10000 AS kg, floor(emission_kg / 1000 * 100.0 * 10000 + 0.5) / 10000 AS cost, name FROM emitted")
 def f14_response_rows(spark, d):
-    rows = L.priced(emitted(spark, d)).where("amount > 90000")
+    rows = L.priced(emitted(spark, d))
     return rows.select("invoice_id", "line_no", N.js_round(F.col("emission_kg"), 4).alias("kg"), N.js_round(F.col("carbon_cost"), 4).alias("cost"), X.clean_name(F.col("name")).alias("name"))
 
 
@@ -196,26 +200,36 @@ def c8_flights(spark, d):
 
 _WASTE = """SELECT l_orderkey AS invoice_id, CASE l_partkey % 4 WHEN 0 THEN 'small ring' WHEN 1 THEN '螺栓' WHEN 2 THEN '冷轧钢板' ELSE 'gone' END AS name, CASE l_suppkey % 5 WHEN 0 THEN 'waste_cat1_msw' WHEN 1 THEN 'waste_cat2_industrial' WHEN 2 THEN 'waste_cat3_weee' WHEN 3 THEN 'waste_cat4_hw' ELSE 'waste_cat5_agri' END AS factor_id,
  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END AS quantity, l_extendedprice AS amount FROM lineitem"""
-# kg for each tonne of the catalogue's products: 350, 500 (0.5 a kilogram), 120, unreadable, 1100, 300 (0.3 a kilogram), 85
-_INTENSITY = {"waste_cat1_msw": 0.72 * 350 + 0.2 * 500 + 0.08 * 120, "waste_cat2_industrial": 0.04 * 350 + 0.15 * 500, "waste_cat3_weee": 0.1 * 350 + 0.05 * 500, "waste_cat4_hw": 0.35 * 1100 + 0.15 * 300 + 0.5 * 85, "waste_cat5_agri": 0.1 * 350 + 0.02 * 500}
+# kg for each tonne of the catalogue's products, from the figure, its mass and its unit
+_ROUTES = f"""c AS ({fixtures.CATALOGUE}), one AS (SELECT product_id, arg_min(carbon_footprint, row_index) AS f FROM c GROUP BY product_id),
+ i AS (SELECT product_id, TRY_CAST(regexp_extract(f, '^([0-9.]+)', 1) AS DOUBLE) * CASE regexp_extract(f, '^[0-9.]+ ?(t|kg|g)CO2e', 1) WHEN 't' THEN 1000.0 WHEN 'g' THEN 0.001 ELSE 1.0 END * CASE WHEN regexp_matches(f, '/ ?(千克|kg)$') THEN 1000.0 ELSE 1.0 END AS kg FROM one),
+ r AS (SELECT * FROM {S.values(dims.WASTE_ROUTES, 'fid, ratio, pid')}), intensity AS (SELECT fid, sum(ratio * coalesce(kg, 0)) AS k FROM r LEFT JOIN i ON pid = product_id GROUP BY fid)"""
 
 
-@register("SELECT * FROM " + S.values([(k, round(v, 6)) for k, v in _INTENSITY.items()], "factor_id, kg_per_tonne"))
+@register(f"WITH w AS ({_WASTE}), {_ROUTES} SELECT factor_id, round(k, 6) AS kg_per_tonne, count(*) AS n FROM w JOIN intensity ON fid = factor_id GROUP BY ALL")
 def j14_waste_routes(spark, d):
     """J12 footprint by product, O11 kg for each tonne, J14 routes."""
     routes = spark.createDataFrame(dims.WASTE_ROUTES, "factor_id string, ratio double, product_id string")
-    used = fixtures.sql(spark, d, _WASTE).select("factor_id").distinct()
-    return L.waste_intensity(routes, spark.sql(fixtures.CATALOGUE)).join(used, "factor_id", "left_semi").select("factor_id", F.round("kg_per_tonne", 6).alias("kg_per_tonne"))
+    used = fixtures.sql(spark, d, _WASTE).groupBy("factor_id").agg(F.count("*").alias("n"))
+    return L.waste_intensity(routes, spark.sql(fixtures.CATALOGUE)).join(used, "factor_id").select("factor_id", F.round("kg_per_tonne", 6).alias("kg_per_tonne"), "n")
 
 
-@register(f"""WITH w AS ({_WASTE}), i AS (SELECT * FROM {S.values(list(_INTENSITY.items()), 'fid, k')}), m AS (SELECT w.*, k, CASE name WHEN 'small ring' THEN 0.4 WHEN '螺栓' THEN 0.02 END AS uw FROM w JOIN i ON fid = factor_id),
+@register(f"""WITH w AS ({_WASTE}), {_ROUTES}, m AS (SELECT w.*, k, CASE name WHEN 'small ring' THEN 0.4 WHEN '螺栓' THEN 0.02 END AS uw FROM w JOIN intensity ON fid = factor_id),
  e AS (SELECT *, CASE WHEN uw > 0 THEN coalesce(quantity, 1) * uw / 1000 * k ELSE amount * 0.0419::DOUBLE END AS kg FROM m)
- SELECT factor_id, name, CASE WHEN uw > 0 THEN 'waste_allocation' ELSE 'eeio' END AS method, count(*) AS n, round(sum(kg), 3) AS kg FROM e GROUP BY ALL""")
+ SELECT factor_id, name, CASE WHEN uw > 0 THEN 'waste_allocation' ELSE 'eeio' END AS method, round(CASE WHEN uw > 0 THEN k ELSE 0.0419 END, 6) AS factor_used, count(*) AS n, round(sum(kg), 3) AS kg FROM e GROUP BY ALL""")
 def c9_waste(spark, d):
-    """J9 product by name, C9 allocation, A15 blended factor."""
+    """J9 product by name, F16 lines with a waste factor, C9 allocation, A15 blended factor."""
     routes = spark.createDataFrame(dims.WASTE_ROUTES, "factor_id string, ratio double, product_id string")
-    out = L.waste_emissions(fixtures.sql(spark, d, _WASTE), spark.sql(fixtures.PRODUCTS), L.waste_intensity(routes, spark.sql(fixtures.CATALOGUE)))
-    return out.groupBy("factor_id", "name", "method").agg(F.count("*").alias("n"), F.round(F.sum("emission_kg"), 3).alias("kg"))
+    lines = fixtures.sql(spark, d, _WASTE).unionByName(kept(spark, d).select("invoice_id", "name", F.lit("scope3_default").alias("factor_id"), "quantity", "amount"))
+    out = L.waste_emissions(lines, spark.sql(fixtures.PRODUCTS), L.waste_intensity(routes, spark.sql(fixtures.CATALOGUE)))
+    return out.groupBy("factor_id", "name", "method", F.round("factor_used", 6).alias("factor_used")).agg(F.count("*").alias("n"), F.round(F.sum("emission_kg"), 3).alias("kg"))
+
+
+@register(f"WITH w AS ({_WASTE}) SELECT factor_id, factor_id IN ({', '.join(S.q(f) for f in dims.WASTE_FACTORS)}) AS is_waste, count(*) AS n FROM (SELECT CASE WHEN quantity IS NULL THEN NULL WHEN quantity < 5 THEN concat(factor_id, '_x') ELSE factor_id END AS factor_id FROM w) WHERE factor_id IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, false, count(*) FROM w WHERE quantity IS NULL")
+def f16_waste_factors(spark, d):
+    """The predicate over known, unknown and missing factors."""
+    own = F.when(F.col("quantity") < 5, F.concat("factor_id", F.lit("_x"))).when(F.col("quantity").isNotNull(), F.col("factor_id"))
+    return fixtures.sql(spark, d, _WASTE).groupBy(own.alias("factor_id")).agg(F.count("*").alias("n")).select("factor_id", L.is_waste_factor(F.col("factor_id")).alias("is_waste"), "n")
 
 
 @register(f"{S.WITH_EMITTED}, p AS ({S.PRICE}) SELECT scope, coalesce(price_per_ton, 100.0) AS price, count(*) AS n, round(sum(emission_kg / 1000 * coalesce(price_per_ton, 100.0)), 2) AS cost FROM emitted LEFT JOIN p ON dom = day(invoice_date) GROUP BY ALL")
@@ -254,6 +268,24 @@ def a1_stats_by_scope(spark, d):
     return L.stats_by_scope(L.priced(emitted(spark, d)))
 
 
+@register(S.WITH_EMITTED + """ SELECT 'listed' AS state, scope, 2 * count(*) AS n, round(sum(emission_kg) * 2, 3) AS kg FROM emitted GROUP BY scope UNION ALL SELECT 'exported', scope, 2 * count(*), round(sum(emission_kg) * 2, 3) FROM emitted GROUP BY scope
+ UNION ALL SELECT 'truncated', NULL, 2 * count(*), NULL FROM emitted UNION ALL SELECT 'left', NULL, 0, NULL""")
+def s20_s23_fact_table(spark, d):
+    """S20 two appended batches, S21 the listing, S23 its export with all fields quoted, S22 truncation."""
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    rows = L.priced(emitted(spark, d)).select(F.col("invoice_id").cast("long").alias("id"), "name", "scope", "amount", "emission_kg")
+    for _ in range(2):
+        facts.append_facts(rows, path)
+    schema = "id long, name string, amount double, emission_kg double, created_at timestamp, scope string"
+    by_scope = lambda df, state: df.groupBy(F.lit(state).alias("state"), "scope").agg(F.count("*").alias("n"), F.round(F.sum("emission_kg"), 3).alias("kg")).collect()
+    listing = facts.newest_first(facts.read_facts(spark, path, schema))
+    out = by_scope(listing, "listed")
+    facts.write_csv(listing, f"{path}-csv")
+    out += by_scope(spark.read.schema("id long, name string, amount double, emission_kg double, created_at string, scope string").csv(f"{path}-csv", header=True), "exported")
+    out += [("truncated", None, facts.truncate(spark, path, schema), None), ("left", None, facts.read_facts(spark, path, schema).count(), None)]
+    return spark.createDataFrame([tuple(r) for r in out], "state string, scope string, n long, kg double")
+
+
 @register(S.WITH_EMITTED + " SELECT s.scope, coalesce(round(sum(emission_kg), 4), 0.0) AS emission_kg FROM (VALUES ('Scope 1'), ('Scope 2'), ('Scope 3')) s(scope) LEFT JOIN emitted e ON e.scope = s.scope GROUP BY s.scope")
 def a2_kg_by_scope(spark, d):
     return L.kg_by_scope(emitted(spark, d)).select("scope", F.round("emission_kg", 4).alias("emission_kg"))

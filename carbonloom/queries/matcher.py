@@ -11,6 +11,7 @@ from carbonloom.functions import text as X
 from carbonloom.functions.rules import prefixes_first
 from carbonloom.plans import matcher as M
 from carbonloom.queries import sqltext as S
+from carbonloom.sources import facts
 
 QUERIES, SQL = {}, {}
 
@@ -68,11 +69,16 @@ def j5_j8_region_factor(spark, d):
     return out.groupBy("seller_address", "region", F.col("factor.value").alias("factor")).agg(F.count("*").alias("n"))
 
 
-@register(f"""WITH f AS (SELECT * FROM {S.values([(i, n, c, k) for k, (i, n, c, *_) in enumerate(dims.factor_rows())], 'id, name, category, pos')}), q AS (SELECT * FROM (VALUES ('钢材'), ('水泥'), ('fuel_diesel'), ('电网'), ('铝')) t(query)),
- r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY name <> query AND id <> query, pos) AS k FROM q JOIN f ON contains(name, query) OR contains(id, query)) SELECT query, id, (SELECT count(*) FROM lineitem) AS n FROM r WHERE k = 1""")
+_ASKED = "SELECT CASE l_partkey % 6 WHEN 0 THEN '钢材' WHEN 1 THEN '水泥' WHEN 2 THEN 'fuel_diesel' WHEN 3 THEN '电网' WHEN 4 THEN '铝' ELSE '茶' END AS query, l_quantity FROM lineitem"
+
+
+@register(f"""WITH f AS (SELECT * FROM {S.values([(i, n, v, k) for k, (i, n, _, v, *_) in enumerate(dims.factor_rows())], 'id, name, value, pos')}), a AS ({_ASKED}),
+ r AS (SELECT query, id, value, row_number() OVER (PARTITION BY query ORDER BY name <> query AND id <> query, pos) AS k FROM (SELECT DISTINCT query FROM a) JOIN f ON contains(name, query) OR contains(id, query))
+ SELECT a.query, id, count(*) AS n, round(sum(l_quantity * value), 4) AS kg FROM a LEFT JOIN r ON r.query = a.query AND k = 1 GROUP BY ALL""")
 def j6_factor_by_name(spark, d):
-    n = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.count("*").alias("n"))
-    return M.factor_by_name(M.factors(spark), ["钢材", "水泥", "fuel_diesel", "电网", "铝"]).join(n, F.lit(True)).select("query", "factor.id", "n")
+    rows = fixtures.sql(spark, d, _ASKED)
+    out = rows.join(M.factor_by_name(M.factors(spark), rows, "query"), "query")
+    return out.groupBy("query", "factor.id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * F.col("factor.value")), 4).alias("kg"))
 
 
 @register("""SELECT industry, CASE industry WHEN '造纸厂' THEN 'eeio_paper' WHEN '钢铁业' THEN 'eeio_steel' WHEN '水泥制品' THEN 'eeio_cement' WHEN '默认' THEN 'eeio_default' ELSE 'eeio_paper' END AS factor_id, count(*) AS n
@@ -159,7 +165,7 @@ def c16_electricity(spark, d):
     return rows.select("invoice_id", "kwh", "region", "kg")
 
 
-_WATER = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE WHEN l_linenumber % 2 = 0 THEN '自来水费' ELSE concat('用量 ', CAST(l_partkey % 90 AS STRING), '吨') END AS name, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS quantity, CASE WHEN l_linenumber % 4 = 0 THEN '立方米' ELSE '' END AS unit, 0.0E0 AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem WHERE l_orderkey % 3 = 0"""
+_WATER = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE WHEN l_linenumber % 2 = 0 THEN '自来水费' ELSE concat('用量 ', CAST(l_partkey % 90 AS STRING), '吨') END AS name, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS quantity, CASE WHEN l_linenumber % 4 = 0 THEN '立方米' ELSE '' END AS unit, 0.0E0 AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem"""
 
 
 @register(f"""WITH w AS ({_WATER}), i AS (SELECT invoice_id, list(quantity ORDER BY line_no, name, quantity NULLS FIRST) FILTER (WHERE quantity > 0) AS qs, max(CASE WHEN line_no % 2 = 1 THEN TRY_CAST(regexp_extract(name, '([0-9]+)吨', 1) AS DOUBLE) END) AS best FROM w GROUP BY invoice_id),
@@ -169,8 +175,8 @@ def c17_water(spark, d):
     return rows.select("invoice_id", "water", N.js_round(F.col("water") * dims.SCENE_WATER, 2).alias("kg"))
 
 
-_STAYS = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, concat('住宿', CAST(1 + l_partkey % 5 AS STRING), '晚') AS name, CAST(NULL AS DOUBLE) AS quantity, '' AS unit, CASE WHEN l_orderkey % 2 = 0 THEN 0.0E0 ELSE l_extendedprice END AS amount, concat(CASE l_suppkey % 4 WHEN 0 THEN '北京' WHEN 1 THEN '上海' WHEN 2 THEN '西安' ELSE '拉萨' END, '饭店') AS seller_name, '' AS seller_address FROM lineitem WHERE l_linenumber = 1"""
-_STAY_SQL = f"""WITH h AS ({_STAYS}), i AS (SELECT invoice_id, min(seller_name) AS seller, sum(CAST(floor(amount * 100 + 0.5) AS BIGINT)) / 100.0 AS total, arg_min(name, (name)) AS name FROM h GROUP BY invoice_id),
+_STAYS = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, concat('住宿', CAST(1 + l_partkey % 5 AS STRING), '晚') AS name, CAST(NULL AS DOUBLE) AS quantity, '' AS unit, CASE WHEN l_orderkey % 2 = 0 THEN 0.0E0 ELSE l_extendedprice END AS amount, concat(CASE l_suppkey % 4 WHEN 0 THEN '北京' WHEN 1 THEN '上海' WHEN 2 THEN '西安' ELSE '拉萨' END, '饭店') AS seller_name, '' AS seller_address FROM lineitem"""
+_STAY_SQL = f"""WITH h AS ({_STAYS}), i AS (SELECT invoice_id, min(seller_name) AS seller, sum(CAST(floor(amount * 100 + 0.5) AS BIGINT)) / 100.0 AS total, list(name ORDER BY line_no, name)[1] AS name FROM h GROUP BY invoice_id),
  n AS (SELECT *, CAST(regexp_extract(name, '([0-9]+)晚', 1) AS INT) AS nights, CASE substr(seller, 1, 2) WHEN '北京' THEN 500 WHEN '上海' THEN 500 WHEN '西安' THEN 350 END AS rate, CASE substr(seller, 1, 2) WHEN '北京' THEN 68.5 WHEN '上海' THEN 65.2 WHEN '西安' THEN 42.5 ELSE 50.0 END AS factor FROM i)"""
 
 
@@ -191,15 +197,14 @@ def c19_hotel_nights(spark, d):
     return rows.groupBy(F.substring("seller_name", 1, 2).alias("place"), M.hotel_factor(F.col("city")).alias("factor"), F.coalesce(nights, F.lit(0)).alias("nights")).agg(F.count("*").alias("n"))
 
 
-_RIDES = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE l_partkey % 5 WHEN 0 THEN '出租车费' WHEN 1 THEN '滴滴 新能源' WHEN 2 THEN '地铁充值' WHEN 3 THEN '柴油' ELSE '打车 燃油' END AS name, CASE WHEN l_partkey % 5 = 3 THEN l_quantity END AS quantity, CASE WHEN l_partkey % 5 = 3 THEN '升' ELSE '' END AS unit, l_extendedprice AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem WHERE l_linenumber = 2"""
-_RIDE_FACTORS = {"出租车费": dims.scene_factor("taxi"), "滴滴 新能源": dims.scene_factor("taxi_ev"), "地铁充值": dims.scene_factor("public_transit"), "打车 燃油": dims.scene_factor("taxi_fuel")}
+_RIDES = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE l_partkey % 5 WHEN 0 THEN '出租车费' WHEN 1 THEN '滴滴 新能源' WHEN 2 THEN '地铁充值' WHEN 3 THEN '柴油' ELSE '打车 燃油' END AS name, CASE WHEN l_partkey % 5 = 3 THEN l_quantity END AS quantity, CASE WHEN l_partkey % 5 = 3 THEN '升' ELSE '' END AS unit, l_extendedprice AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem"""
+
 
 
-@register(f"""WITH r AS ({_RIDES}), k AS (SELECT *, row_number() OVER (PARTITION BY invoice_id) AS k, count(*) OVER (PARTITION BY invoice_id) AS c FROM r),
- e AS (SELECT invoice_id, name, floor(CASE name WHEN '柴油' THEN quantity * {dims.litre_factor('diesel')!r}::DOUBLE {' '.join(f"WHEN '{n}' THEN floor(amount * 100 + 0.5) / 100 * {f!r}::DOUBLE" for n, f in _RIDE_FACTORS.items())} END * 100 + 0.5) / 100 AS kg FROM k WHERE c = 1)
- SELECT invoice_id, CASE name WHEN '柴油' THEN 'fuel' WHEN '地铁充值' THEN 'public' ELSE 'taxi' END AS kind, kg FROM e""")
+@register(f"""WITH r AS ({_RIDES}), i AS (SELECT invoice_id, list(quantity ORDER BY line_no, name, quantity) FILTER (WHERE name = '柴油')[1] AS litres, sum(CAST(floor(amount * 100 + 0.5) AS BIGINT)) / 100.0 AS total, bool_or(name = '地铁充值') AS metro, bool_or(name = '滴滴 新能源') AS ev, bool_or(name = '打车 燃油') AS fuel FROM r GROUP BY invoice_id)
+ SELECT invoice_id, CASE WHEN litres > 0 THEN 'fuel' WHEN metro THEN 'public' ELSE 'taxi' END AS kind, {_R2.format(f"CASE WHEN litres > 0 THEN litres * {dims.litre_factor('diesel')!r}::DOUBLE WHEN metro THEN total * {dims.scene_factor('public_transit')!r}::DOUBLE WHEN ev THEN total * {dims.scene_factor('taxi_ev')!r}::DOUBLE WHEN fuel THEN total * {dims.scene_factor('taxi_fuel')!r}::DOUBLE ELSE total * {dims.scene_factor('taxi')!r}::DOUBLE END")} AS kg FROM i""")
 def c20_transport(spark, d):
-    rows = M.invoices(fixtures.sql(spark, d, _RIDES)).where(F.size("items") == 1).withColumn("t", M.transport())
+    rows = M.invoices(fixtures.sql(spark, d, _RIDES)).withColumn("t", M.transport())
     return rows.select("invoice_id", "t.kind", "t.kg")
 
 
@@ -214,16 +219,22 @@ def c22_freight(spark, d):
     return rows.groupBy("mode", "product_id", "text", "factor").agg(F.count("*").alias("n"), F.round(F.sum(F.col("tonne_km") * F.col("factor")), 3).alias("kg"))
 
 
-_LOGI = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE l_partkey % 4 WHEN 0 THEN concat(CAST(1 + l_suppkey % 9 AS STRING), '吨 公里') WHEN 1 THEN concat('铁路 ', CAST(1 + l_suppkey % 9 AS STRING), '吨 至 ', CAST(100 + l_suppkey AS STRING), '公里') WHEN 2 THEN concat('2t x ', CAST(100 + l_suppkey AS STRING), ' km 空运') ELSE '快递' END AS name, CAST(NULL AS DOUBLE) AS quantity, '' AS unit, l_extendedprice AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem WHERE l_linenumber = 3"""
+_LOGI = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE l_partkey % 4 WHEN 0 THEN concat(CAST(1 + l_suppkey % 9 AS STRING), '吨 公里') WHEN 1 THEN concat('铁路 ', CAST(1 + l_suppkey % 9 AS STRING), '吨 至 ', CAST(100 + l_suppkey AS STRING), '公里') WHEN 2 THEN concat('2t x ', CAST(100 + l_suppkey AS STRING), ' km 空运') ELSE '快递' END AS name, CAST(NULL AS DOUBLE) AS quantity, '' AS unit, l_extendedprice AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem"""
+
+
+_NUM = "([0-9]+\\.?[0-9]*)"
 
 
-@register(f"""WITH l AS ({_LOGI}), c AS (SELECT *, count(*) OVER (PARTITION BY invoice_id) AS c FROM l), n AS (SELECT *, regexp_extract_all(name, '[0-9]+') AS nums, CASE WHEN contains(name, '吨 公里') THEN 0 WHEN contains(name, '铁路') THEN 1 WHEN contains(name, '空运') THEN 2 ELSE 3 END AS kind FROM c WHERE c = 1),
- t AS (SELECT *, CASE kind WHEN 0 THEN CAST(nums[1] AS DOUBLE) WHEN 1 THEN CAST(nums[1] AS DOUBLE) * CAST(nums[2] AS DOUBLE) WHEN 2 THEN 2.0 * CAST(nums[2] AS DOUBLE) END AS tk FROM n)
- SELECT invoice_id, CASE WHEN tk > 0 THEN floor(tk * CASE kind WHEN 0 THEN 0.2478::DOUBLE WHEN 1 THEN 0.006502::DOUBLE ELSE 0.921::DOUBLE END * 10000 + 0.5) / 10000 ELSE {_R2.format(f'floor(amount * 100 + 0.5) / 100 * {_ROAD}')} END AS kg, tk AS tonne_km FROM t""")
+@register(f"""WITH l AS ({_LOGI}), i AS (SELECT invoice_id, string_agg(name, ' ' ORDER BY line_no, name, amount) AS t, sum(CAST(floor(amount * 100 + 0.5) AS BIGINT)) / 100.0 AS total FROM l GROUP BY invoice_id),
+ p AS (SELECT *, TRY_CAST(regexp_extract(t, '{_NUM}\\s*吨\\s*公里', 1) AS DOUBLE) AS direct, TRY_CAST(regexp_extract(t, '{_NUM}\\s*吨[^0-9]{{0,30}}?{_NUM}\\s*公里', 1) AS DOUBLE) * TRY_CAST(regexp_extract(t, '{_NUM}\\s*吨[^0-9]{{0,30}}?{_NUM}\\s*公里', 2) AS DOUBLE) AS product,
+   TRY_CAST(regexp_extract(t, '(?i){_NUM}\\s*t\\s*[x×*]\\s*{_NUM}\\s*km', 1) AS DOUBLE) * TRY_CAST(regexp_extract(t, '(?i){_NUM}\\s*t\\s*[x×*]\\s*{_NUM}\\s*km', 2) AS DOUBLE) AS tkm FROM i),
+ k AS (SELECT *, CASE WHEN direct > 0 THEN direct WHEN product > 0 THEN product WHEN tkm > 0 THEN tkm END AS tonne_km, {S.case([(S.any_of('t', ws), S.q(m)) for ws, m in dims.MODE_WORDS], "'road'")} AS mode FROM p)
+ SELECT invoice_id, mode, tonne_km, CASE WHEN tonne_km > 0 THEN floor(tonne_km * CASE mode WHEN 'rail' THEN {dims.FREIGHT_RAIL!r}::DOUBLE WHEN 'air' THEN {dims.FREIGHT_AIR!r}::DOUBLE ELSE {dims.FREIGHT_ROAD_DEFAULT!r}::DOUBLE END * 10000 + 0.5) / 10000
+   ELSE {_R2.format(f"total * CASE mode WHEN 'rail' THEN {dims.scene_factor('rail')!r}::DOUBLE WHEN 'air' THEN {dims.scene_factor('air')!r}::DOUBLE ELSE {_ROAD} END")} END AS kg FROM k""")
 def c21_logistics(spark, d):
     """O22 tonne kilometres from text, C21 emission."""
-    rows = M.invoices(fixtures.sql(spark, d, _LOGI)).where(F.size("items") == 1)
-    return rows.select("invoice_id", M.logistics()["kg"].alias("kg"), X.tonne_km(F.col("texts")).alias("tonne_km"))
+    rows = M.invoices(fixtures.sql(spark, d, _LOGI))
+    return rows.select("invoice_id", X.transport_mode(F.col("texts")).alias("mode"), X.tonne_km(F.col("texts")).alias("tonne_km"), M.logistics()["kg"].alias("kg"))
 
 
 _TRASH = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE WHEN l_partkey % 2 = 0 THEN '垃圾清运费' ELSE '茶' END AS name, CAST(NULL AS DOUBLE) AS quantity, '' AS unit, l_extendedprice AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem"""
@@ -252,6 +263,7 @@ _SOLD = """SELECT CASE l_partkey % 5 WHEN 0 THEN '空调' WHEN 1 THEN '家用电
 @register(f"""WITH s AS ({_SOLD}), p AS (SELECT *, CASE product_type WHEN '空调' THEN 12 WHEN '家用电冰箱' THEN 12 WHEN '电视' THEN 8 WHEN '复印机 A4' THEN 5 ELSE 0 END AS years, CASE product_type WHEN '空调' THEN 700.0 WHEN '家用电冰箱' THEN 300.0 WHEN '电视' THEN 150.0 WHEN '复印机 A4' THEN 80.0 ELSE 0.0 END AS annual_kwh, CASE region WHEN '华东' THEN 0.55::DOUBLE WHEN '全国' THEN 0.5777::DOUBLE ELSE 0.1564::DOUBLE END AS f FROM s)
  SELECT product_type, region, years, annual_kwh, round(sum(quantity * years * annual_kwh * f), 2) AS kg FROM p GROUP BY ALL""")
 def c26_sold_products(spark, d):
-    """J18 energy label (a local row before the built-in table), C26 emission in use."""
-    out = M.product_use(fixtures.sql(spark, d, _SOLD), M.factors(spark), local=[("变频空调", 700.0, 12)])
+    """S19 energy labels, J18 the label of a product (a local row before the built-in table), C26 emission in use."""
+    labels = spark.sql("SELECT * FROM VALUES ('变频空调', 700.0, 12), ('茶壶', NULL, 3) AS t(productType, annualKWh, lifetimeYears)")
+    out = M.product_use(fixtures.sql(spark, d, _SOLD), M.factors(spark), local=facts.energy_labels(labels))
     return out.groupBy("product_type", "region", "years", "annual_kwh").agg(F.round(F.sum("emissions"), 2).alias("kg"))

@@ -16,7 +16,7 @@ from carbonloom.operators import audit, matching, tables
 from carbonloom.plans import ledger as L
 from carbonloom.plans import matcher as M
 from carbonloom.queries import sqltext as S
-from carbonloom.queries.matcher import _MATCHED, calculated
+from carbonloom.queries.matcher import _MATCHED, _REGION, calculated
 from carbonloom.sources import facts
 from carbonloom.sources import invoices as I
 
@@ -79,13 +79,13 @@ def o7_names(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(X.clean_name(raw).alias("name")).agg(F.count("*").alias("n"))
 
 
-_PRINTS = "SELECT CASE l_linenumber % 7 WHEN 0 THEN '7.4tCO2e / 公吨' WHEN 1 THEN '0.5777kgCO2e/kWh' WHEN 2 THEN '33.53gCO2e/千瓦时' WHEN 3 THEN '3.5CO2e/t' WHEN 4 THEN '2 kg CO2e' WHEN 5 THEN '-' ELSE 'about 1.2 kg CO2e/件' END AS s FROM lineitem"
+_FIGURE = "concat(CAST(l_partkey % 900 + 1 AS STRING), '.', lpad(CAST(l_suppkey % 100 AS STRING), 2, '0'))"
+_PRINTS = f"SELECT CASE l_linenumber % 7 WHEN 0 THEN concat({_FIGURE}, 'tCO2e / 公吨') WHEN 1 THEN concat({_FIGURE}, 'kgCO2e/kWh') WHEN 2 THEN concat({_FIGURE}, 'gCO2e/千瓦时') WHEN 3 THEN concat({_FIGURE}, 'CO2e/t') WHEN 4 THEN concat({_FIGURE}, ' kg CO2e') WHEN 5 THEN '-' ELSE concat('about ', {_FIGURE}, ' kg CO2e/件') END AS s, l_linenumber % 7 AS kind, l_partkey AS p, l_suppkey AS q FROM lineitem"
 
 
-@register(f"""WITH p AS ({_PRINTS}) SELECT s, CASE s WHEN '7.4tCO2e / 公吨' THEN 7400.0 WHEN '0.5777kgCO2e/kWh' THEN 0.5777 WHEN '33.53gCO2e/千瓦时' THEN 0.03353 WHEN '3.5CO2e/t' THEN 3.5 WHEN '2 kg CO2e' THEN 2 WHEN '-' THEN 0 ELSE 1.2 END AS loose,
- CASE s WHEN '7.4tCO2e / 公吨' THEN '公吨' WHEN '0.5777kgCO2e/kWh' THEN 'kWh' WHEN '33.53gCO2e/千瓦时' THEN '千瓦时' WHEN '3.5CO2e/t' THEN 't' WHEN '2 kg CO2e' THEN '单位' WHEN '-' THEN '' ELSE '件' END AS unit,
- CASE s WHEN '7.4tCO2e / 公吨' THEN 7400.0 WHEN '0.5777kgCO2e/kWh' THEN 0.5777 WHEN '33.53gCO2e/千瓦时' THEN 0.03353 WHEN 'about 1.2 kg CO2e/件' THEN 1.2 ELSE 0 END AS strict, CASE s WHEN '7.4tCO2e / 公吨' THEN 7400.0 WHEN '0.5777kgCO2e/kWh' THEN 0.5777 WHEN '33.53gCO2e/千瓦时' THEN 0.03353 ELSE -1 END AS anchored,
- CASE s WHEN '7.4tCO2e / 公吨' THEN 7400.0 WHEN '3.5CO2e/t' THEN 3.5 ELSE 0 END AS per_tonne, count(*) AS n FROM p GROUP BY ALL""")
+@register(f"""WITH r AS ({_PRINTS}), p AS (SELECT s, CASE kind WHEN 5 THEN 5 ELSE kind END AS kind, CASE WHEN kind <> 5 THEN CAST((p % 900 + 1) || '.' || lpad(CAST(q % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS v, count(*) AS n FROM r GROUP BY ALL)
+ SELECT s, n, round(CASE kind WHEN 0 THEN v * 1000 WHEN 2 THEN v / 1000 WHEN 5 THEN 0 ELSE v END, 9) AS loose, CASE kind WHEN 0 THEN '公吨' WHEN 1 THEN 'kWh' WHEN 2 THEN '千瓦时' WHEN 3 THEN 't' WHEN 4 THEN '单位' WHEN 5 THEN '' ELSE '件' END AS unit,
+ round(CASE kind WHEN 0 THEN v * 1000 WHEN 1 THEN v WHEN 2 THEN v / 1000 WHEN 6 THEN v ELSE 0 END, 9) AS strict, round(CASE kind WHEN 0 THEN v * 1000 WHEN 1 THEN v WHEN 2 THEN v / 1000 ELSE -1 END, 9) AS anchored, round(CASE kind WHEN 0 THEN v * 1000 WHEN 3 THEN v ELSE 0 END, 9) AS per_tonne FROM p""")
 def o8_o11_footprints(spark, d):
     """O8, O9, O10 three parsers of a footprint, O11 kg for each tonne."""
     s = F.col("s")
@@ -94,10 +94,13 @@ def o8_o11_footprints(spark, d):
     return rows.select("s", r(F.col("f.value")).alias("loose"), "f.unit", r(N.footprint_strict(s)["value"]).alias("strict"), r(F.coalesce(N.footprint_anchored(s)["value"], F.lit(-1.0))).alias("anchored"), r(N.kg_per_tonne(F.col("f"))).alias("per_tonne"), "n")
 
 
-_TICKETS = "SELECT CASE l_linenumber % 5 WHEN 0 THEN '出发 PEK 首都 到达 SHA 虹桥' WHEN 1 THEN 'from CAN to LHR business' WHEN 2 THEN 'CTU→HRB 头等舱' WHEN 3 THEN '航班 NRT 转 JFK 经济舱' ELSE '机票' END AS s FROM lineitem"
+_CODES = ["PEK", "SHA", "CAN", "CTU", "LHR", "JFK", "NRT", "HRB"]
+_CODE_OF = {k: S.case([(f"{k} % 8 = {n}", S.q(c)) for n, c in enumerate(_CODES)]) for k in ("l_partkey", "l_suppkey")}
+_TICKETS = f"SELECT a, b, kind, CASE kind WHEN 0 THEN concat('出发 ', a, ' 首都 到达 ', b, ' 虹桥') WHEN 1 THEN concat('from ', a, ' to ', b, ' business') WHEN 2 THEN concat(a, '→', b, ' 头等舱') WHEN 3 THEN concat('航班 ', a, ' 转 ', b, ' 经济舱') ELSE '机票' END AS s FROM (SELECT {_CODE_OF['l_partkey']} AS a, {_CODE_OF['l_suppkey']} AS b, l_linenumber % 5 AS kind FROM lineitem) t"
 
 
-@register(f"""WITH t AS ({_TICKETS}) SELECT s, CASE left(s, 2) WHEN '出发' THEN 'PEK' WHEN 'fr' THEN 'CAN' WHEN 'CT' THEN 'CTU' WHEN '航班' THEN 'NRT' END AS from_code, CASE left(s, 2) WHEN '出发' THEN 'SHA' WHEN 'fr' THEN 'LHR' WHEN 'CT' THEN 'HRB' WHEN '航班' THEN 'JFK' END AS to_code, CASE left(s, 2) WHEN 'fr' THEN 'business' WHEN 'CT' THEN 'first' WHEN '航班' THEN 'economy' END AS cabin, count(*) AS n FROM t GROUP BY ALL""")
+@register(f"""WITH t AS ({_TICKETS}), p AS (SELECT *, kind IN (0, 1) OR (kind IN (2, 3) AND a <> b) AS paired FROM t)
+ SELECT s, CASE WHEN paired THEN a END AS from_code, CASE WHEN paired THEN b END AS to_code, CASE kind WHEN 1 THEN 'business' WHEN 2 THEN 'first' WHEN 3 THEN 'economy' END AS cabin, count(*) AS n FROM p GROUP BY ALL""")
 def o12_o15_tickets(spark, d):
     """O12 airport pair, O15 cabin."""
     rows = fixtures.sql(spark, d, _TICKETS).groupBy("s").agg(F.count("*").alias("n")).withColumn("p", X.iata_pair(F.col("s")))
@@ -234,31 +237,30 @@ def v1_t1_catalogue_search(spark, d):
     return out.select("query", "key", F.round("score", 6).alias("score"), "rank")
 
 
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return matching.centroids(e.where("vec_id % 2 = 0"), "label", "embedding"), e.where("vec_id % 2 = 1")
+    return matching.nearest_centroid(e.select("vec_id", "embedding"), "embedding", matching.centroids(e, "label", "embedding"), "label").drop("embedding")
 
 
-@register("SELECT label, pos - 1 AS pos, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL")
+@register("SELECT label, pos - 1 AS pos, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL")
 def a14_centroids(spark, d):
-    return _split(spark, d)[0].select("label", F.posexplode("centroid").alias("pos", "m")).select("label", "pos", F.round("m", 6).alias("mean"))
+    means = matching.centroids(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "embedding")
+    return means.select("label", F.posexplode("centroid").alias("pos", "m")).select("label", "pos", F.round("m", 6).alias("mean"))
 
 
-_NEAREST = """WITH m AS (SELECT label, pos, avg(v) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL), c AS (SELECT label, list(mean ORDER BY pos) AS c FROM m GROUP BY label),
- s AS (SELECT vec_id, c.label AS nearest, round(list_cosine_similarity(embedding::DOUBLE[], c), 12) AS sim FROM embeddings, c WHERE vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, nearest) AS k FROM s), b AS (SELECT vec_id, nearest, greatest(0.0, least(1.0, sim)) AS confidence FROM r WHERE k = 1)"""
+_NEAREST = """WITH m AS (SELECT label, pos, avg(v) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(mean ORDER BY pos) AS c FROM m GROUP BY label),
+ s AS (SELECT vec_id, c.label AS nearest, round(list_cosine_similarity(embedding::DOUBLE[], c), 12) AS sim FROM embeddings, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, nearest) AS k FROM s), b AS (SELECT vec_id, nearest, greatest(0.0, least(1.0, sim)) AS confidence FROM r WHERE k = 1)"""
 
 
 @register(_NEAREST + " SELECT vec_id, nearest, round(confidence, 6) AS confidence FROM b")
 def v2_nearest_centroid(spark, d):
-    means, rest = _split(spark, d)
-    return matching.nearest_centroid(rest.select("vec_id", "embedding"), "vec_id", "embedding", means, "label").select("vec_id", "nearest", F.round("confidence", 6).alias("confidence"))
+    return _near(spark, d).select("vec_id", "nearest", F.round("confidence", 6).alias("confidence"))
 
 
 @register(_NEAREST + """ SELECT CASE WHEN vec_id % 5 = 1 THEN 'tax_code' WHEN confidence >= 0.7 THEN 'bert' WHEN vec_id % 5 = 3 THEN 'keyword' ELSE 'bert' END AS source, CASE WHEN vec_id % 5 = 1 THEN 5 WHEN confidence >= 0.7 THEN nearest WHEN vec_id % 5 = 3 THEN 2 ELSE nearest END AS category, count(*) AS n FROM b GROUP BY ALL""")
 def c27_hybrid(spark, d):
     """C27 tax code, sure centroid, words, centroid; words come from X5 and X7."""
-    means, rest = _split(spark, d)
-    near = matching.nearest_centroid(rest.select("vec_id", "embedding"), "vec_id", "embedding", means, "label")
+    near = _near(spark, d)
     texts = near.where("vec_id % 5 = 3").select("vec_id", F.posexplode(X.keywords(F.lit("复印纸"))["keywords"]).alias("pos", "word"))
     words = matching.category_of_words(texts.join(matching.fuzzy(texts, "word", 0.6), "word"), "vec_id", "pos")
     code = F.when(F.col("vec_id") % 5 == 1, F.lit("1070101010100000000"))
@@ -296,17 +298,25 @@ def f13_product_search(spark, d):
 
 
 _PORTS = """SELECT iata_code, concat('Z', iata_code) AS ident, concat(CASE iata_code WHEN 'PEK' THEN 'Beijing Capital' WHEN 'SHA' THEN 'Shanghai Hongqiao' WHEN 'CAN' THEN 'Guangzhou Baiyun' ELSE iata_code END, ' Airport') AS name, CASE iata_code WHEN 'PEK' THEN 'Beijing' WHEN 'SHA' THEN 'Shanghai' WHEN 'CAN' THEN 'Guangzhou' ELSE iata_code END AS municipality, iso_country, latitude_deg, longitude_deg, pos FROM ({a})""".format(a=fixtures.AIRPORTS)
-_ASK = "SELECT CASE l_partkey % 6 WHEN 0 THEN 'pek' WHEN 1 THEN 'ZSHA' WHEN 2 THEN '白云' WHEN 3 THEN 'Shanghai Hongqiao' WHEN 4 THEN 'Beijing' ELSE 'Nowhere' END AS name FROM lineitem"
+_ASK = "SELECT CASE l_partkey % 9 WHEN 0 THEN 'pek' WHEN 1 THEN 'ZSHA' WHEN 2 THEN '白云' WHEN 3 THEN 'Shanghai Hongqiao' WHEN 4 THEN concat('Beijing', CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Capital' ELSE '-Capital Airport' END) WHEN 5 THEN '虹桥' WHEN 6 THEN ' 白云 机场' WHEN 7 THEN 'Guangzhou Baiyun' ELSE concat('Nowhere ', CAST(l_suppkey AS STRING)) END AS name FROM lineitem"
 
 
-@register("SELECT * FROM (VALUES ('pek', 'PEK', 'iata'), ('ZSHA', 'SHA', 'ident'), ('白云', 'CAN', 'alias'), ('Shanghai Hongqiao', 'SHA', 'similar'), ('Beijing', 'PEK', 'similar'), ('Nowhere', NULL, NULL)) t(name, code, how)")
+_ALIASES = "SELECT * FROM (VALUES (' 白云·机场 ', 'can', NULL, 0), ('白云', NULL, ' zcan ', 1), ('浦东', ' ', NULL, 2), ('虹桥', 'PEK', NULL, 3), ('虹桥', 'SHA', NULL, 4)) AS t(zh, iata_code, ident, pos)"
+_RESOLVED = """WITH a AS ({ask}), u AS (SELECT DISTINCT name FROM a), p AS ({ports}), k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM u)
+ SELECT k.name, coalesce(i.iata_code, z.iata_code, al.code, sim.code) AS code, CASE WHEN i.iata_code IS NOT NULL THEN 'iata' WHEN z.iata_code IS NOT NULL THEN 'ident' WHEN al.code IS NOT NULL THEN 'alias' WHEN sim.code IS NOT NULL THEN 'similar' END AS how
+ FROM k LEFT JOIN p i ON i.iata_code = upper(trim(k.name)) LEFT JOIN p z ON z.ident = upper(trim(k.name))
+ LEFT JOIN (VALUES ('白云机场', 'CAN'), ('白云', 'ZCAN'), ('虹桥', 'SHA')) al(alias, code) ON al.alias = regexp_replace(lower(trim(k.name)), '[\\s·•．。()（）_-]+', '', 'g')
+ LEFT JOIN (VALUES ('beijing', 'PEK'), ('shanghai', 'SHA'), ('guangz', 'CAN')) sim(stem, code) ON starts_with(k.key, sim.stem)"""
+
+
+@register(_RESOLVED.format(ask=_ASK, ports=_PORTS))
 def j21_airports(spark, d):
-    """S17 airports, S18 aliases, J21 the cascade; similarity in an Arrow function."""
-    aliases = spark.sql("SELECT '白云' AS alias, 'CAN' AS iata_code")
+    """S17 airports, S18 aliases, J21 the cascade; similarity in an Arrow function (SQL has only its outcome for the names that need it)."""
+    aliases = facts.alias_rows(spark.sql(_ALIASES))
     return matching.resolve_airports(fixtures.sql(spark, d, _ASK), "name", facts.airports(spark.sql(_PORTS)), aliases)
 
 
-@register("SELECT * FROM (VALUES ('Shanghai Hongqiao', 'SHA', 1), ('Beijing', 'PEK', 1)) t(name, iata_code, rank)")
+@register(f"""WITH a AS ({_ASK}), u AS (SELECT DISTINCT name FROM a) SELECT name, code AS iata_code, 1 AS rank FROM u JOIN (VALUES ('beij', 'PEK'), ('shan', 'SHA'), ('guan', 'CAN')) s(stem, code) ON starts_with(regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), stem)""")
 def t2_airport_suggestions(spark, d):
     return matching.suggest_airports(fixtures.sql(spark, d, _ASK), "name", facts.airports(spark.sql(_PORTS)))
 
@@ -448,11 +458,14 @@ def s8_expense_envelopes(spark, d):
     return good.select(F.lit("ok").alias("state"), "invoice_number", "invoice_date", "total_amount").unionByName(bad.select(F.col("reject_reason").alias("state"), none.alias("invoice_number"), none.alias("invoice_date"), F.lit(None).cast("double").alias("total_amount")))
 
 
-@register(f"WITH g AS (SELECT * FROM {S.values([('national', '全国', dims.GRID_NATIONAL)] + [('region', k, v) for k, v in dims.GRID_REGIONS.items()] + [('province', k, v) for k, v in dims.GRID_PROVINCES.items()], 'level, name, kg')}) SELECT level, count(*) AS n, round(sum(kg), 6) AS kg, round(sum(kg) * (SELECT sum(l_quantity) FROM lineitem), 2) AS scaled FROM g GROUP BY level")
+@register(f"""WITH lines AS ({fixtures.INVOICE_LINES}), g AS (SELECT * FROM {S.values([('national', '全国', dims.GRID_NATIONAL)] + [('region', k, v) for k, v in dims.GRID_REGIONS.items()] + [('province', k, v) for k, v in dims.GRID_PROVINCES.items()], 'level, name, kg')})
+ SELECT level, g.name, count(*) AS n, round(sum(quantity * kg), 3) AS kg FROM lines JOIN g ON g.level = 'national' OR (g.level = 'region' AND g.name = {_REGION}) OR (g.level = 'province' AND starts_with(seller_address, g.name)) GROUP BY ALL""")
 def s12_grid_factors(spark, d):
-    total = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.sum("l_quantity").alias("q"))
-    sums = facts.grid_rows(spark).groupBy("level").agg(F.count("*").alias("n"), F.sum("kg_per_kwh").alias("kg"))
-    return sums.join(total, F.lit(True)).select("level", "n", F.round("kg", 6).alias("kg"), F.round(F.col("kg") * F.col("q"), 2).alias("scaled"))
+    """The kilowatt hours of all lines by the factor of the country, of the region and of the province of the seller."""
+    address = F.col("seller_address")
+    keys = F.array(F.struct(F.lit("national").alias("level"), F.lit("全国").alias("grid")), F.struct(F.lit("region").alias("level"), M.region_of(address).alias("grid")), F.struct(F.lit("province").alias("level"), F.substring(address, 1, 2).alias("grid")))
+    lines = fixtures.invoice_lines(spark, d).select("quantity", F.explode(keys).alias("k")).select("quantity", F.col("k.level").alias("level"), F.col("k.grid").alias("name"))
+    return lines.join(facts.grid_rows(spark), ["level", "name"]).groupBy("level", "name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("quantity") * F.col("kg_per_kwh")), 3).alias("kg"))
 
 
 @register("SELECT CASE l_linenumber % 3 WHEN 0 THEN 'gasoline' WHEN 1 THEN 'waste' ELSE 'hotel' END AS key, round(sum(l_quantity * CASE l_linenumber % 3 WHEN 0 THEN 633.96 * 0.75 / 1000 WHEN 1 THEN 0.0419 ELSE 0.2036 END), 4) AS kg FROM lineitem GROUP BY ALL")
@@ -476,22 +489,93 @@ def s11_factor_file(spark, d):
 
 @register("SELECT row_number() OVER (ORDER BY src, pos) - 1 AS rule_pos, name FROM (SELECT 0 AS src, p_partkey AS pos, p_name AS name FROM part WHERE p_size > 25 UNION ALL SELECT 1, p_partkey, p_name FROM part WHERE p_size <= 25)")
 def u1_stacked_rules(spark, d):
-    """S9 the first source with rows, U1 sources under each other, T5 order kept."""
+    """U1 sources under each other, T5 order kept."""
     p = spark.read.parquet(f"{d}/part.parquet")
     rows = lambda c: p.where(c).select(F.col("p_name").alias("name"), F.col("p_partkey").alias("rule_pos"))
     return facts.stacked(facts.with_fallback(rows("p_size > 25")), rows("p_size <= 25")).select("rule_pos", "name")
 
 
-@register(_MATCHED + " SELECT invoice_id, 3 * count(*) AS n_steps, count(DISTINCT CASE WHEN key = 'grid' THEN region ELSE key END) AS n_sources FROM calc GROUP BY invoice_id")
+_RULES = "SELECT p_partkey AS row_no, CAST(100 + p_partkey AS STRING) AS code, CASE p_size % 4 WHEN 0 THEN '范围一' WHEN 1 THEN 'Scope 2' WHEN 2 THEN 'scope 3 x' ELSE '?' END AS scope, CASE p_partkey % 3 WHEN 0 THEN '蜡；沥青' WHEN 1 THEN '' END AS exclude, CASE WHEN p_partkey % 2 = 0 THEN concat('f', CAST(p_size AS STRING)) END AS factor FROM part"
+_SCOPED = "CASE scope WHEN '范围一' THEN 'Scope 1' WHEN 'Scope 2' THEN 'Scope 2' WHEN 'scope 3 x' THEN 'Scope 3' END"
+
+
+@register(f"""WITH r AS ({_RULES}), n AS (SELECT *, {_SCOPED} AS own, CASE WHEN exclude = '蜡；沥青' THEN '蜡|沥青' ELSE '' END AS words, coalesce(factor, 'default') AS f FROM r)
+ SELECT 'table' AS state, code AS prefix, own AS scope, words, f AS factor_id, row_number() OVER (ORDER BY -length(code)) * 0 AS k FROM n WHERE own IS NOT NULL
+ UNION ALL SELECT 'sheet', code, own, words, f, row_no FROM n WHERE own IS NOT NULL
+ UNION ALL SELECT 'listed', '1' || code, CASE WHEN scope = 'Scope 2' THEN scope ELSE 'Scope 3' END, '', f, 0 FROM n UNION ALL SELECT 'listed', '2' || code, CASE WHEN scope = 'Scope 2' THEN scope ELSE 'Scope 3' END, '', f, 0 FROM n UNION ALL SELECT 'listed', code, scope, CASE WHEN exclude = '蜡；沥青' THEN exclude ELSE '' END, f, 0 FROM n WHERE scope = 'Scope 2'
+ UNION ALL SELECT 'keywords', code, CASE WHEN scope = 'Scope 2' THEN scope ELSE 'Scope 3' END, '', f, row_no FROM n WHERE row_no % 5 = 0""")
+def s9_rule_sources(spark, d):
+    """S9 the imported table before the sheet (columns found by their names) before the listed rules with the prefix file; keywords from the listed rules."""
+    r = fixtures.sql(spark, d, _RULES)
+    table = r.select(F.col("code").alias("tax_code"), "scope", F.col("exclude").alias("exclude_keywords"), F.col("factor").alias("emission_factor_id"))
+    sheet = r.select("row_no", F.col("factor").alias("因子"), F.col("scope").alias(" 排放范围 "), F.col("code").alias("货物编码"), F.col("exclude").alias("排除词"))
+    listed = r.select("row_no", "scope", F.array(F.concat(F.lit("1"), "code"), F.concat(F.lit("2"), "code")).alias("tax_code_prefixes"), F.when(F.col("row_no") % 5 == 0, F.array("code")).alias("keywords"), F.lit(None).cast("array<string>").alias("exclude_keywords"), F.col("factor").alias("emission_factor_id"))
+    file = r.select("row_no", F.col("code").alias("prefix"), "scope", F.lit("x").alias("description"), "exclude", "factor")
+    by_table, words = facts.load_rules(listed, table, sheet, file)
+    by_sheet, _ = facts.load_rules(listed, table.where("false"), sheet, file)
+    by_list, _ = facts.load_rules(listed, table.where("false"), sheet.where("false"), file)
+    out = lambda rules, state, k: rules.select(F.lit(state).alias("state"), "prefix", "scope", F.array_join("exclude", "|").alias("words"), "factor_id", k.cast("long").alias("k"))
+    zero = F.lit(0)
+    rows = out(by_table, "table", zero).unionByName(out(by_sheet, "sheet", F.col("rule_pos"))).unionByName(out(by_list, "listed", zero))
+    return rows.unionByName(out(words.withColumn("prefix", F.get("keywords", 0)), "keywords", F.col("rule_pos")))
+
+
+@register("SELECT p_partkey AS row_index, CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name, p_retailprice || 'kgCO2e/件' AS carbon_footprint, 2000 + p_size AS data_year, p_brand FROM part")
+def s16_catalogue(spark, d):
+    """S16 catalogue columns by their Chinese names; others keep theirs."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    rows = p.select(F.col("p_partkey").alias("row_index"), F.col("p_partkey").cast("string").alias("产品ID"), F.col("p_name").alias(" 产品名称"), F.concat(F.col("p_retailprice").cast("string"), F.lit("kgCO2e/件")).alias("碳足迹"), (2000 + F.col("p_size")).alias("数据年份"), "p_brand")
+    return facts.catalogue_rows(rows)
+
+
+_IDS = S.case([("key = 'grid'", S.case([(f"region = {S.q(k)}", S.q(v)) for k, v in [*dims.GRID_IDS.items(), ("全国", "electricity_national")]], "'electricity_national'"))], "key")
+_STEPS = f"""{_MATCHED}, ids AS (SELECT *, {_IDS} AS factor_id FROM calc),
+ st AS (SELECT invoice_id, 'classify' AS step, name AS input, CAST(factor_scope AS VARCHAR) AS output, confidence, NULL AS kg FROM ids UNION ALL SELECT invoice_id, 'match', name, factor_id, confidence, NULL FROM ids UNION ALL SELECT invoice_id, 'calculate', factor_id, '', confidence, CAST(floor(emissions * 10000 + 0.5) AS BIGINT) FROM ids)"""
+
+
+@register(f"{_STEPS} SELECT step, input, output, confidence, count(*) AS n, count(DISTINCT invoice_id) AS invoices, sum(kg) / 10000.0 AS kg FROM st GROUP BY ALL")
 def d1_audit_trails(spark, d):
-    """D1 trails, D3 and A12 distinct provenance, O23 traces, S24 JSON."""
-    out = audit.trails(calculated(spark, d), "run")
-    return out.select("invoice_id", F.size("steps").cast("long").alias("n_steps"), F.size("data_sources").cast("long").alias("n_sources"))
+    """D1 the steps of all trails, with what went in and came out."""
+    steps = audit.trails(calculated(spark, d), "run").select("invoice_id", F.explode("steps").alias("s"))
+    last = F.col("s.step") == "calculate"
+    rows = steps.select("invoice_id", "s.step", "s.input", F.when(last, "").otherwise(F.col("s.output")).alias("output"), "s.confidence", F.when(last, F.round(F.col("s.output").cast("double") * 10000).cast("long")).alias("kg"))
+    return rows.groupBy("step", "input", "output", "confidence").agg(F.count("*").alias("n"), F.countDistinct("invoice_id").alias("invoices"), (F.sum("kg") / 10000).alias("kg"))
+
+
+@register(f"""{_STEPS}, pairs AS (SELECT DISTINCT invoice_id, factor_id, category FROM ids) SELECT CASE WHEN category IN ('电力', '燃料燃烧', '材料') THEN '物理因子' WHEN category = 'EEIO' THEN 'EEIO因子' ELSE '因子来源' END AS type,
+ CASE WHEN category IN ('电力', '燃料燃烧', '材料') THEN factor_id || '，内置/未知' WHEN category = 'EEIO' THEN factor_id || '，行业/投入产出' ELSE '内置/未知' END AS source, '因子ID: ' || factor_id AS reference, count(*) AS invoices FROM pairs GROUP BY ALL""")
+def d3_data_sources(spark, d):
+    """D3 provenance of factors, A12 each once for a trail."""
+    found = audit.trails(calculated(spark, d), "run").select("invoice_id", F.explode("data_sources").alias("p"))
+    return found.groupBy("p.type", "p.source", "p.reference").agg(F.count("*").alias("invoices"))
+
+
+@register(_MATCHED + " SELECT invoice_id, 3 * count(*) AS n_steps, round(round(sum(emissions), 2), 1) AS total, count(DISTINCT CASE WHEN key = 'grid' THEN region ELSE key END) AS n_sources FROM calc GROUP BY invoice_id")
+def s24_json_reports(spark, d):
+    """S24 a JSON report for each invoice, read back."""
+    reports = audit.to_json(audit.trails(calculated(spark, d), "run"))
+    schema = "invoice_id string, steps array<struct<step:string>>, final_result string, data_sources array<struct<type:string>>"
+    got = reports.select("invoice_id", F.from_json("json", schema).alias("r")).where(F.col("invoice_id") == F.col("r.invoice_id"))
+    total = F.get_json_object("r.final_result", "$.total").cast("double")
+    return got.select("invoice_id", F.size("r.steps").cast("long").alias("n_steps"), F.round(total, 1).alias("total"), F.size("r.data_sources").cast("long").alias("n_sources"))
+
+
+_YEARS = {i: y for i, _, _, _, _, _, y, _ in dims.factor_rows()}
+
+
+@register(f"{_STEPS} SELECT factor_id, '来源: ' || CASE WHEN category = '电力' THEN '电网' ELSE '未知' END || {S.case([(f'factor_id = {S.q(i)}', S.q(f' ({y})' if y else '')) for i, y in _YEARS.items()])} || '; 单位: ' || {S.case([(f'factor_id = {S.q(r[0])}', S.q(r[4])) for r in dims.factor_rows()])} AS trace, count(*) AS n FROM ids GROUP BY ALL")
+def o23_source_traces(spark, d):
+    """O23 the trace of the factor of each line; no source is unknown."""
+    years = M.factors(spark).select(F.col("id").alias("factor_id"), "year")
+    rows = calculated(spark, d).join(years, "factor_id")
+    trace = audit.source_trace(F.when(F.col("category") == "电力", "电网"), F.col("year"), F.col("factor_unit"))
+    return rows.groupBy("factor_id", trace.alias("trace")).agg(F.count("*").alias("n"))
 
 
 @register(_MATCHED + " SELECT invoice_id, count(*) AS n FROM calc WHERE invoice_id = (SELECT min(invoice_id) FROM calc) GROUP BY ALL")
 def d2_find_trail(spark, d):
+    """D2 the trail of one invoice: its lines are picked before trails are built."""
     rows = calculated(spark, d)
     least = rows.agg(F.min("invoice_id").alias("invoice_id"))
-    trails = audit.trails(rows, "run").join(F.broadcast(least), "invoice_id")
+    trails = audit.trails(rows.join(least, "invoice_id", "left_semi"), "run")
     return trails.select("invoice_id", (F.size("steps") / 3).cast("long").alias("n"))

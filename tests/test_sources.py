@@ -1,5 +1,6 @@
 """Invoice sources and sinks on files."""
 
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -39,7 +40,11 @@ def test_facts(spark, tmp_path):
     facts.append_facts(rows, path)
     facts.append_facts(rows, path)
     assert [r.id for r in facts.newest_first(spark.read.parquet(path)).collect()] == [2, 2, 1, 1]
-    assert facts.truncate(spark, path) == 4
+    schema = "id long, amount double, created_at timestamp, scope string"
+    assert facts.truncate(spark, path, schema) == 4
+    assert facts.read_facts(spark, path, schema).count() == 0
+    facts.append_facts(rows, path)
+    assert sorted((r.id, r.scope) for r in facts.read_facts(spark, path, schema).collect()) == [(1, "Scope 1"), (2, "Scope 3")]
     facts.write_csv(rows.limit(1), str(tmp_path / "csv"))
     assert '"id","scope","amount"' in spark.read.text(str(tmp_path / "csv")).first()[0]
 
@@ -53,6 +58,23 @@ def test_catalogue_and_factor_files(spark, tmp_path):
     assert facts.freight_rows(spark).count() == 75
 
 
+def test_alias_and_label_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("zh,iata_code,ident\n白云 机场,can,\n虹桥,,zsss\n,X,\n虹桥,sha,\n")
+    assert sorted((r.alias, r.code) for r in facts.read_aliases(spark, str(tmp_path / "a.csv")).collect()) == [("白云机场", "CAN"), ("虹桥", "SHA")]
+    (tmp_path / "l.json").write_text('[{"productType": "空调", "annualKWh": 850, "lifetimeYears": 12},\n {"productType": "冰箱", "annualKWh": 300}, {"productType": "x"}]')
+    assert facts.read_energy_labels(spark, str(tmp_path / "l.json")) == [("空调", 850.0, 12), ("冰箱", 300.0, 10)]
+
+
+def test_numbers_over_stretches(spark):
+    """Also with nulls, negative and repeated keys, as a window over all rows would give them."""
+    random.seed(3)
+    rows = [(random.choice("ab"), random.choice([None, *range(-50, 50)]), k) for k in range(300)]
+    frame = spark.createDataFrame(rows, "s string, k long, id long")
+    got = sorted((r.n, r.s, r.k is not None, r.k or 0) for r in tables.numbered(frame, "n", "k", ("s",), width=7).collect())
+    want = sorted((s, k is not None, k or 0) for s, k, _ in rows)
+    assert got == [(n, *w) for n, w in enumerate(want)]
+
+
 def test_changes_keep_ids(spark):
     p = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     c = spark.createDataFrame([("update", 1, "x"), ("delete", 2, None), ("insert", 1, "n")], "op string, id long, name string")
