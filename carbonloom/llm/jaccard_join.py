@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonloom.llm.common import binary_lists, components, map_batches, table, text_bytes
-from carbonloom.llm.packed import bucket_count, mixed, packed_rows, text_keys, unpack
+from carbonloom.llm.common import binary_lists, components, discard, map_batches, table, text_bytes
+from carbonloom.llm.packed import PART_TEXT, bucket_count, edges_of, mixed, packed_rows, part_of, part_rows, part_texts, text_keys, unpack_shared
 
 #: 64-bit words of a text's bits; rounds in which n-grams pair their texts with one of them.
 WORDS_OF_BITS, PIVOT_ROUNDS = 32, 3
@@ -51,59 +51,53 @@ def overlap_at_least(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) >= need
 
 
-def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
-    """(k1, k2, tokens, dfs) for each different text and bucket: the n-grams that stand in two different texts or more, with the number of texts."""
-    buckets = bucket_count(docs.agg(text_bytes(docs)).first()[0])
-    packed = packed_rows(docs, lambda x: (shingles(x, words), None), buckets)
+def shared_shingles(docs: DataFrame, words: int, total: int, parts: int) -> DataFrame:
+    """part_rows() of the n-grams (tokens) that stand in two different texts or more, with the number of texts (dfs)."""
+    packed = packed_rows(docs, lambda x: (shingles(x, words), None), bucket_count(total))
 
     def share(group: pa.Table) -> pa.Table:
-        keys, owner, hashes, _ = unpack(group)
-        order = np.lexsort((owner, hashes))
-        h, o = hashes[order], owner[order]
+        keys, h, o, _ = unpack_shared(group)
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])  # a text repeated in the corpus counts once
         h, o = h[once], o[once]
-        edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-        df = np.repeat(np.diff(edges), np.diff(edges))
+        texts = np.diff(edges_of(h))
+        df = np.repeat(texts, texts).astype("<i4")
         h, o, df = h[df > 1], o[df > 1], df[df > 1]
-        order = np.argsort(o, kind="stable")
-        h, o, df = h[order] | (np.uint64(group.column("bucket")[0].as_py() & 0xFFFF) << np.uint64(48)), o[order], df[order]
-        cut = np.concatenate([[0], np.flatnonzero(o[1:] != o[:-1]) + 1, [len(o)]]) if len(o) else np.zeros(1, int)
-        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        who = keys[o[cut[:-1]]] if len(o) else np.zeros((0, 2), np.int64)
-        return pa.table({"k1": who[:, 0], "k2": who[:, 1], "tokens": pa.array([h[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()), "dfs": pa.array([df[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary())})
+        return part_rows(keys, o, parts, tokens=h, dfs=df)
 
-    return packed.groupBy("bucket").applyInArrow(share, "k1 long, k2 long, tokens binary, dfs binary")
+    return packed.groupBy("bucket").applyInArrow(share, "part int, keys binary, counts binary, tokens binary, dfs binary")
 
 
 def link_candidates(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, n, tokens, prefix, places, bits): the texts that share enough n-grams to link at all.
+    """(id, n, tokens, prefix, places, bits): the texts that share enough n-grams to link at all. shared and classes have the same parts.
 
     tokens: shared n-grams by value; prefix: the shared ones among the first n - ceil(t n) + 1 in order of
     rarity, then value, with their places in that order. N-grams of one text only come first and match nothing.
     bits: 2048 bits in which each shared n-gram sets one.
     """
-    parts = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("tokens", "dfs")).alias("parts"))
-    joined = parts.join(classes, ["k1", "k2"]).select("id", "n", "parts")
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def gather(packed: pa.Table, known: pa.Table) -> pa.Table:
+        keys, ends, (tokens, dfs) = part_texts(packed, tokens="<u8", dfs="<i4")
+        place = dict(zip(map(tuple, keys.tolist()), zip(ends, ends[1:], strict=False), strict=True))
         out = []
-        for i, n, parts in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), "<u8")
+        for key in zip(*(known.column(c).to_pylist() for c in ("k1", "k2", "id", "n")), strict=True):
+            *key, i, n = key
+            a, b = place.get(tuple(key), (0, 0))
             least = -(-percent * n // 100)
-            if len(tokens) < least:
+            if b - a < least or not b:
                 continue
-            df = np.frombuffer(b"".join(p["dfs"] for p in parts), "<i4")
-            rare = np.lexsort((tokens, df))
-            own = n - len(tokens)
-            length = max(0, n - least + 1 - own)
+            own, df = tokens[a:b], dfs[a:b]
+            rare = np.lexsort((own, df))
+            alone = n - len(own)
+            length = max(0, n - least + 1 - alone)
             bits = np.zeros(64 * WORDS_OF_BITS, np.uint8)
-            bits[tokens % np.uint64(len(bits))] = 1
-            out.append((i, n, np.sort(tokens).tobytes(), tokens[rare[:length]].view("<i8").tolist(), list(range(own, own + length)), np.packbits(bits).view("<i8").tolist()))
+            bits[own % np.uint64(len(bits))] = 1
+            out.append((i, n, np.sort(own).tobytes(), own[rare[:length]].view("<i8").tolist(), list(range(alone, alone + length)), np.packbits(bits).view("<i8").tolist()))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["id", "n", "tokens", "prefix", "places", "bits"])
+        return pa.table([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["id", "n", "tokens", "prefix", "places", "bits"])
 
-    return map_batches(joined, each, "id long, n long, tokens binary, prefix array<long>, places array<int>, bits array<long>")
+    both = shared.groupBy("part").cogroup(classes.select("part", "k1", "k2", "id", "n").groupBy("part"))
+    return both.applyInArrow(gather, "id long, n long, tokens binary, prefix array<long>, places array<int>, bits array<long>")
 
 
 def _passing(pairs: DataFrame, percent: int) -> DataFrame:
@@ -136,7 +130,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         good = [overlap_at_least(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), k) for x, y, k in sides]
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
-    return map_batches(pairs.join(one, "a").join(two, "b"), each, "a long, b long, good boolean")
+    return map_batches(pairs.join(one, "a").join(two, "b"), each, "a long, b long, good boolean", by="tokens_a")
 
 
 def _open(prefix: DataFrame, groups: DataFrame | None, name: str) -> DataFrame:
@@ -153,8 +147,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     A document's set holds its distinct n-grams of `words` words (fewer words: the whole sequence). Documents
     link when 100 times the intersection reaches `percent` times the union; component_id is the smallest doc_id
     reachable. Null, empty and blank texts have empty sets and link with nothing (component_id is their own doc_id), as do
-    rows without doc_id (null). Rows that repeat a doc_id and text agree; equal texts are compared once.
-    Other columns are not read.
+    rows without doc_id (null). Equal texts are compared once. Rows that repeat a doc_id with another text are documents
+    of their own: each belongs to the group of its text. Other columns are not read.
 
     Groups do not make all their pairs. In some rounds each prefix n-gram pairs its texts with one of them, another one
     each time; texts that are connected are not paired again. The last round takes all pairs that share a prefix n-gram and
@@ -167,14 +161,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         n = [len(shingles(x, words)) for x in binary_lists(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64())], ["doc_id", "k1", "k2", "n"])
 
-    sizes = table(map_batches(rows.select("doc_id", *text_keys(F.col("text")), "text"), count, "doc_id long, k1 long, k2 long, n long"), "shingle-counts")
-    classes = sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    classes = table(classes, "shingle-classes")
-    sets = table(link_candidates(shared_shingles(rows.where("doc_id is not null"), words), classes, percent), "shingle-sets")
+    sizes = table(map_batches(rows.select("doc_id", *text_keys(F.col("text")), "text"), count, "doc_id long, k1 long, k2 long, n long", by="text"), "shingle-counts")
+    # a class: one text with its smallest doc_id; id numbers the classes, as texts may share a doc_id
+    classes = sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+
+    def numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part_of(batch.column("k1").to_numpy(), parts))], [*batch.schema.names, "part"])
+
+    known = rows.where("doc_id is not null")
+    total = known.agg(text_bytes(known)).first()[0]
+    parts = max(1, -(-total // PART_TEXT))
+    classes = map_batches(classes, numbered, "k1 long, k2 long, least long, n long, part int")
+    classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
+    sets = table(link_candidates(shared_shingles(known, words, total, parts), classes, percent), "shingle-sets")
     prefix = sets.select("id", "n", F.posexplode(F.arrays_zip("prefix", "places")).alias("nth", "p")).select(F.col("p.prefix").alias("token"), "id", "n", F.col("p.places").alias("place"), "nth")
     prefix = table(prefix, "shingle-prefixes")
 
-    links, groups = None, None
+    links, groups, used = None, None, []
     for k in range(PIVOT_ROUNDS):
         open_ = _open(prefix, groups, f"prefixes-open{k}")
         pivot = open_.groupBy("token").agg(F.min_by(F.struct("id", "n", "place", "component"), F.struct(F.xxhash64(F.lit(k), F.col("token") % (1 + 3 * min(k, 1)), "id"), "id")).alias("p")).select("token", "p.*")
@@ -184,12 +187,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         if links is not None:
             pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
         found = table(verified(pairs, sets.select("id", "tokens"), percent), f"pairs{k}")
+        discard(open_)
         links = found if links is None else links.unionByName(found)
+        used.append(found)
         if found.where("good").isEmpty():
             break
         groups = table(components(links.where("good").select("a", "b")), f"groups{k}")
 
-    open_ = _open(prefix, groups, "prefixes-open").join(sets.select("id", "bits", "prefix"), "id")
+    candidates = _open(prefix, groups, "prefixes-open")
+    open_ = candidates.join(sets.select("id", "bits", "prefix"), "id")
     part = lambda side: {c: f"{c}_{side}" for c in ("n", "place", "nth", "component", "bits", "prefix")} | {"id": side}
     outside, every = open_.where("component <> main").withColumnsRenamed(part("a")).drop("main"), open_.withColumnsRenamed(part("b")).drop("main")
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
@@ -199,10 +205,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     rest = outside.join(every, (outside["token"] == every["token"]) & (F.col("component_a") != F.col("component_b")) & size & room & _may_reach(percent) & ~earlier)
     rest = _passing(rest, percent).join(links.select("a", "b"), ["a", "b"], "left_anti")
     last = table(verified(rest, sets.select("id", "tokens"), percent).where("good"), "pairs-last")
+    discard(candidates, sets, prefix)
     if groups is None or not last.isEmpty():
         groups = components(links.where("good").unionByName(last).select("a", "b"))
-    final = groups.select(F.col("id").alias("class_id"), "component")
-    of_class = classes.join(final, classes["id"] == final["class_id"], "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    out = sizes.join(table(of_class, "shingle-groups"), ["k1", "k2"], "left")
+    linked = classes.join(groups, "id").select("id", "least", "component")
+    least = linked.groupBy("component").agg(F.min("least").alias("first"))
+    linked = linked.select("id", "component").join(least, "component").select("id", "first")
+    of_class = table(classes.join(linked, "id", "left").select("k1", "k2", F.coalesce("first", "least").alias("component")), "shingle-groups")
+    discard(classes, last, *used)
+    out = sizes.join(of_class, ["k1", "k2"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
