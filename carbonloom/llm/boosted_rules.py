@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from carbonloom.llm import docstats
 from carbonloom.llm.common import binary_lists, map_batches, without
-from carbonloom.llm.sampling import fetch, held_out, sample_ids
+from carbonloom.llm.sampling import agreed, fetch, sample, text_rows
 
 #: The score may only fall as these grow.
 FALLING = ("symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "top_word_rate", "adjacent_rate")
@@ -98,13 +98,13 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, sign: np.ndarray, tree
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_LABEL) -> Trees:
     """Trees fitted on at most `most` training rows of each label, those of lower hash; none: trees that keep all.
 
+    A document whose labels clash is left out; each different text of a doc_id is a row.
     Each sampled row stands for count / sampled of its label, so that the labels weigh as in all training rows
     however many are sampled. Weights have mean 1: the fit's least rows and ridge count sampled rows.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    ids = sample_ids(known.where("quality = 1"), most, 10).union(sample_ids(known.where("quality = 0"), most, 10))
+    known = text_rows(docs).join(agreed(labels), "doc_id")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    x, y = fetch(docs, ids, "quality")
+    x, y = fetch(docs, sample(known.where("quality = 1"), most, 10).union(sample(known.where("quality = 0"), most, 10)), "quality")
     weight = np.array([counts[v] / min(counts[v], most) for v in y.astype(int)])
     sign = np.array([-1 if name in FALLING else 0 for name in docstats.NAMES])
     return fit(x, y, weight / weight.mean() if len(weight) else weight, sign)
@@ -133,4 +133,4 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in new]], names)
 
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
-    return map_batches(docs, each, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True)]]))
+    return map_batches(docs, each, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True)]]), by="text")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from carbonloom.llm import docstats
 from carbonloom.llm.common import binary_lists, map_batches, without
-from carbonloom.llm.sampling import fetch, held_out, sample_ids
+from carbonloom.llm.sampling import agreed, fetch, held_out, sample, text_rows
 
 #: Rows sampled for the fit: of trusted positives, and of all documents outside the held-out fold.
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 8_000
@@ -90,12 +90,14 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[Scorer | None, float]:
-    """The scorer and the estimated prior; no scorer without positives. Held-out labels are not read; the sample is bounded."""
-    one = F.lit(1)
-    known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().withColumn("part", one)
-    rest = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").withColumn("part", one * 0)
-    positive, _ = fetch(docs, sample_ids(known, most_positive, 1), "part")
-    unlabelled, _ = fetch(docs, sample_ids(rest, most_unlabelled, 2), "part")
+    """The scorer and the estimated prior; no scorer without positives. Held-out labels are not read; the sample is bounded.
+
+    Trusted are documents whose labels all say 1. Each different text of a doc_id counts once.
+    """
+    rest = text_rows(docs.where(~held_out(F.col("doc_id")))).withColumn("part", F.lit(0))
+    known = rest.join(agreed(labels).where("quality = 1").select("doc_id"), "doc_id")
+    positive, _ = fetch(docs, sample(known, most_positive, 1), "part")
+    unlabelled, _ = fetch(docs, sample(rest, most_unlabelled, 2), "part")
     if len(positive) < 4 or len(unlabelled) < 4:
         return None, 0.5
     prior = estimate_prior(positive, unlabelled)
@@ -119,5 +121,5 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: float
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
     marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
-    out = map_batches(marked, each, T.StructType([*marked.schema.fields, T.StructField("score", T.DoubleType())]))
+    out = map_batches(marked, each, T.StructType([*marked.schema.fields, T.StructField("score", T.DoubleType())]), by="text")
     return out.select(*names, (F.col("score") >= bound).cast("int").alias("predicted"))
