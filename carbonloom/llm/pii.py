@@ -1,20 +1,23 @@
 """Operator 3: personal data by fixed forms, and by contexts that are bootstrapped from them.
 
-Matches of the fixed forms are seeds. The word before a seed is a lexical pattern; other strings of a looser
-form are candidates. Patterns and strings make a graph that Spark scores in rounds: a pattern is worth the
-share of all its occurrences in the corpus that introduce strings held to be personal data, a string what its
-patterns make likely. Candidates behind high-confidence patterns become spans.
+Matches of the fixed forms are seeds. The words around a seed on its line are lexical patterns: the one before it, the
+two before it, and the one after it. Other strings of a looser form are candidates. Patterns and strings make a graph
+that Spark scores in rounds: a pattern that stands by enough strings held to be personal data is worth the share of all
+its occurrences in the corpus that such strings explain, a string what its patterns make likely. Strings that become
+likely lend support to further patterns, until a round changes nothing. Candidates by high-confidence patterns become spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carbonloom.llm.common import binary_lists, map_batches, table
+from carbonloom.llm.common import binary_lists, discard, map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Pattern tables up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -33,7 +36,12 @@ _LOOSE = (
     re.compile(r"(?<![\w+-])[0-9]{4}(?:[\x20-]?[0-9]){8,15}(?![\w-])"),
     re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[\x20./-]?[0-9]{2,5}){1,4}(?![\w-])"),
 )
-_BEFORE = re.compile(r"([^\x20\x09-\x0D]+)[\x20\t]*\Z")
+#: Words of contexts: runs without white space, cut after the marks that join a label to its value.
+_MARKS, _SPACE = r":=<(\"\[", r"\x20\x09-\x0D"
+_WORD = re.compile(rf"[^{_SPACE}{_MARKS}]*[{_MARKS}]|[^{_SPACE}{_MARKS}]+")
+#: Longer words and pairs of words stand as their digest.
+PLAIN = 64
+FORMS = ("before", "two before", "after")
 
 
 def luhn(digits: str) -> bool:
@@ -66,68 +74,116 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(kind, start, end) of looser forms that touch no span of the fixed ones."""
     if not _HINT.search(text):
         return []
-    taken = sorted((a, b) for _, a, b in base)
-    free = lambda a, b: not any(s < b and a < e for s, e in taken)
+    ends: list[int] = []
+    starts: list[int] = []  # of what the fixed forms cover, joined up
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
+    free = lambda a, b: (k := bisect_right(ends, a)) == len(ends) or starts[k] >= b
     digits = lambda x: sum("0" <= c <= "9" for c in x)
     bounds = ((0, 10**9), (0, 10**9), (12, 19), (7, 15))
     return [(k, *m.span()) for k, form in enumerate(_LOOSE) for m in form.finditer(text) if bounds[k][0] <= digits(m[0]) <= bounds[k][1] and free(*m.span())]
 
 
-def before(text: str, start: int) -> str | None:
-    """The word before a span on its line, in lower case."""
-    m = _BEFORE.search(text[max(text.rfind("\n", 0, start) + 1, start - 80) : start])
-    return m[1].lower() if m else None
+def _named(words: str) -> str:
+    """Words as they stand in a pattern: A-Z lower-cased, long ones as a digest."""
+    raw = words.encode("utf-8", "replace").lower()
+    return raw.decode("utf-8", "replace") if len(words) <= PLAIN else hashlib.md5(raw).hexdigest()
 
 
-def find(spark: SparkSession, docs: DataFrame, rounds: int = 3, least_seeds: int = 3, sure: float = 0.6) -> DataFrame:
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, str]]]:
+    """For each span (start, end) its patterns (form, words): whole words beside it on its line, however far away or long."""
+    if not spans:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    out = []
+    for start, end in spans:
+        line, line_end = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        before, after = bisect_right(ends, start) - 1, bisect_left(begins, end)
+        near = []
+        if before >= 0 and begins[before] >= line:
+            last = text[begins[before] : ends[before]]
+            near.append((0, _named(last)))
+            if before and begins[before - 1] >= line:
+                near.append((1, _named(text[begins[before - 1] : ends[before - 1]] + " " + last)))
+        if after < len(words) and (line_end < 0 or begins[after] < line_end):
+            near.append((2, _named(text[begins[after] : ends[after]])))
+        out.append(near)
+    return out
+
+
+def find(spark: SparkSession, docs: DataFrame, rounds: int = 12, least_seeds: int = 3, sure: float = 0.6) -> DataFrame:
     """(doc_id, base, found): arrays of (kind, start, end) of each row of docs (doc_id, text).
 
-    base: matches of the fixed forms, by kind as in KINDS, then start; found: further spans, behind patterns of
-    at least `least_seeds` different seeds and a confidence of at least `sure` (ties count). Places are code
-    points, the end exclusive. Null text counts as empty and has no spans; repeated rows have equal spans, also
-    where doc_id is null. Other columns are not read. Candidates overlap no base span; overlapping candidates
-    of a kind cannot occur.
+    base: matches of the fixed forms, by kind as in KINDS, then start; found: further spans, beside a pattern with
+    at least `least_seeds` different strings held to be personal data and a confidence of at least `sure` (ties
+    count). Places are code points, the end exclusive. Null text counts as empty and has no spans; repeated rows have equal
+    spans, also where doc_id is null. Other columns are not read. Candidates overlap no base span; overlapping candidates
+    of a kind cannot occur. Scoring ends when a round changes nothing, or after `rounds`.
     """
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    seen = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("pattern", pa.string()), ("item", pa.string())]))
+    context = [("form", pa.int32()), ("pattern", pa.string())]
+    seen = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("item", pa.string()), ("near", pa.list_(pa.struct(context)))]))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bases, contexts = [], []
+        bases, strings = [], []
         for raw in binary_lists(batch, "text"):
             text = raw.decode("utf-8", "replace")
             base = base_spans(text)
             rest = candidates(text, base)
             bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-            contexts.append([{"kind": k, "start": a, "end": b, "seed": s, "pattern": p, "item": text[a:b].lower()} for s, spans in ((True, base), (False, rest)) for k, a, b in spans if (p := before(text, a))])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(bases, span), pa.array(contexts, seen)], ["doc_id", "text_key", "base", "contexts"])
+            near = contexts(text, [(a, b) for _, a, b in (*base, *rest)])
+            strings.append([{"kind": k, "start": a, "end": b, "seed": n < len(base), "item": _named(text[a:b]), "near": [{"form": f, "pattern": p} for f, p in c]} for n, ((k, a, b), c) in enumerate(zip((*base, *rest), near, strict=True)) if c])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(bases, span), pa.array(strings, seen)], ["doc_id", "text_key", "base", "strings"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     fields = "array<struct<kind:int,start:int,end:int>>"
-    spans = table(map_batches(kept, each, f"doc_id long, text_key long, base {fields}, contexts array<struct<kind:int,start:int,end:int,seed:boolean,pattern:string,item:string>>"), "pii-spans")
-    occurrences = spans.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
+    spans = table(map_batches(kept, each, f"doc_id long, text_key long, base {fields}, strings array<struct<kind:int,start:int,end:int,seed:boolean,item:string,near:array<struct<form:int,pattern:string>>>>", by="text"), "pii-spans")
+    strings = spans.select("doc_id", "text_key", F.explode("strings").alias("s")).select("doc_id", "text_key", "s.*")
+    occurrences = strings.withColumn("n", F.explode("near")).select("doc_id", "text_key", "kind", "start", "end", "seed", "item", "n.*")
     patterns = pattern_scores(spark, docs, occurrences, rounds, least_seeds, sure)
-    hits = occurrences.where("not seed").join(patterns.where(F.col("confidence") >= sure).select("kind", "pattern"), ["kind", "pattern"], "left_semi")
+    hits = occurrences.where("not seed").join(patterns.where(F.col("confidence") >= sure).select("kind", "form", "pattern"), ["kind", "form", "pattern"], "left_semi")
     found = hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "found")
-    joined = spans.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
+    joined = spans.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left")
     return joined.select("doc_id", "base", F.coalesce("found", F.array().cast(fields)).alias("found"))
 
 
+def _corpus_words(text: Column) -> Column:
+    """All words of a text and all pairs of neighbours, as _named() has them."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, rf"[{_SPACE}]+|(?<=[{_MARKS}])"), lambda w: w != "")
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, pairs)
+
+
 def pattern_scores(spark: SparkSession, docs: DataFrame, occurrences: DataFrame, rounds: int, least_seeds: int, sure: float) -> DataFrame:
-    """(kind, pattern, confidence) after so many rounds over the graph of patterns and strings."""
-    edges = table(occurrences.groupBy("kind", "pattern", "item").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pii-edges")
-    usable = table(edges.where("seed").groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds), "pii-patterns")
+    """(kind, form, pattern, confidence) of the patterns with enough support, after the last round over the graph of patterns and strings."""
+    key = ["kind", "form", "pattern"]
+    edges = table(occurrences.groupBy(*key, "item").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pii-edges")
+    # only these can ever have support; each has its occurrences in the whole corpus, line breaks not regarded
+    usable = table(edges.groupBy(*key).agg(F.count("*").alias("strings")).where(F.col("strings") >= least_seeds).select(*key), "pii-patterns")
     words = usable.select("pattern").distinct()
     words = F.broadcast(words) if words.count() <= MOST_BROADCAST else words
-    all_words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("pattern"))
-    totals = all_words.join(words, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
-    usable = table(usable.join(totals, "pattern", "left"), "pii-totals")
-    edges = edges.join(usable, ["kind", "pattern"])
-    # the share of a pattern's occurrences that the strings behind it explain, each string by its score
-    worth = F.coalesce(F.sum(F.col("times") * F.col("score")) / (F.greatest(F.max("total"), F.sum("times")) + 1), F.lit(0.0))
-    scores = edges.select("kind", "item", F.col("seed").cast("double").alias("score")).groupBy("kind", "item").agg(F.max("score").alias("score"))
+    corpus = docs.select(F.explode(_corpus_words(F.col("text"))).alias("word")).select(F.when(F.char_length("word") <= PLAIN, F.col("word")).otherwise(F.md5("word")).alias("pattern"))
+    totals = corpus.join(words, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    graph = table(edges.join(usable.join(totals, "pattern", "left"), key), "pii-graph")
+    discard(edges, usable)
+    scores = graph.groupBy("kind", "item").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    worth = F.sum(F.col("times") * F.col("score")) / (F.greatest(F.max("total"), F.sum("times")) + 1)
+    support = F.count(F.when(F.col("score") >= sure, 1))
+    before = None
     for k in range(rounds):
-        patterns = table(edges.join(scores, ["kind", "item"]).groupBy("kind", "pattern").agg(worth.alias("confidence")), f"pii-round{k}")
-        doubt = F.exp(F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999)))))
-        scores = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "item").agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - doubt).alias("score"))
+        patterns = graph.join(scores, ["kind", "item"]).groupBy(*key).agg(worth.alias("confidence"), support.alias("support")).where(F.col("support") >= least_seeds)
+        patterns = table(patterns.select(*key, F.round("confidence", 6).alias("confidence")), f"pii-round{k}")
+        now = tuple(patterns.agg(F.count("*"), F.round(F.sum("confidence"), 3)).first())
+        if now == before:
+            break
+        before = now
+        doubt = F.exp(F.coalesce(F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999)))), F.lit(0.0)))
+        scores = graph.join(patterns, key, "left").groupBy("kind", "item").agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - doubt).alias("score"))
     return patterns
