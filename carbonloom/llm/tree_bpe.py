@@ -4,13 +4,15 @@ A text is cut into halves until the parts are short. Parts are encoded by themse
 up, a window around each join is encoded anew and grown until its tokens agree with the left part's on one side
 and with the right part's on the other. What lies between replaces the tokens at the join. Two tokens in a
 row must agree, with their places: a sequence of tokens is the encoding of its text if each pair of neighbours is, so
-that the joined sequence is exact. Texts divide at ASCII white space into units, which no token crosses;
-windows count units first and, within a long unit (no white space for hundreds of characters), tokens.
+that the joined sequence is exact. Texts divide at ASCII white space into units, which no token crosses (checked
+when a tokenizer is loaded); leaves look the units up, windows go through the tokenizer as they stand. Windows count units
+first and, within a long unit (no white space for hundreds of characters), tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from carbonloom.llm.common import binary_lists, map_batches
+from carbonloom.llm.common import binary_lists, map_batches, slices
 
 #: Characters of a leaf of the tree, of a unit that is encoded at once, and of a part that is a row of its own.
 LEAF, UNIT, PART = 4096, 256, 32768
 
+#: Two hashes of a long text.
+KEY = ["text_k1", "text_k2"]
+
 Tokens = list[tuple[int, int, int]]  # (id, start, end) in characters
 
 
@@ -38,6 +43,20 @@ class Encoder(dict):
         self.most = most
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = np.array([(self.tokenizer.id_to_token(k) or "").encode() for k in range(size)], dtype=object)
+        self.check(path)
+
+    def check(self, path: str) -> None:
+        """Refuse a tokenizer whose tokens cross ASCII white space or depend on it."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        units = ["a", "word", "1", "don't", "é", "\u0301", "中", "!", "#x", "'s", "<|", "ZZ9"]
+        apart = {u: ids(u) for u in units}
+        for space in sorted(_SPACE):
+            for a in units:
+                for b in units:
+                    if ids(f"{a}{space}{b}") != apart[a] + apart[b] or ids(f"{space}{a}{space}") != apart[a]:
+                        raise ValueError(f"{path}: white space {space!r} between {a!r} and {b!r} is not a border of tokens")
+        if any(name.strip() != name or len(name.split()) > 1 for name in self.names):
+            raise ValueError(f"{path}: a token holds white space")
 
     def __missing__(self, unit: bytes) -> bytes:
         text = unit.decode("utf-8", "replace")
@@ -133,14 +152,26 @@ class Encoder(dict):
             a, b = max(first, cut - reach), min(last, cut + reach)
             lead, trail = _whole_from(text, a, cut) if a > first else a, _whole_to(text, b, cut) if b < last else b
             if lead is not None and trail is not None:
-                window = self.units(text[lead:trail])
+                window = self.window(text[lead:trail])
                 before, after = len(text[lead:cut].encode("utf-8", "replace").split()), len(text[cut:trail].encode("utf-8", "replace").split())
-                same_left = lead == first or (window[0] == left[len(left) - before] and before > 1)
-                same_right = trail == last or (window[-1] == right[after - 1] and after > 1)
+                # all units but the one at the join agree with the part's
+                same_left = lead == first or (before > 1 and window[: before - 1] == left[len(left) - before : -1])
+                same_right = trail == last or (after > 1 and window[len(window) - after + 1 :] == right[1:after])
                 if same_left and same_right:
                     return left[: len(left) - before] + window + right[after:]
             reach *= 2
 
+    def window(self, text: str) -> list[bytes]:
+        """Ids of the units of a text, through the tokenizer as a whole."""
+        if len(text) > 8 * UNIT:  # a long unit lies in it
+            return self.units(text)
+        ends = [m.end() for m in _UNIT.finditer(text)]
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        place = np.searchsorted(ends, [a for a, _ in found.offsets], side="right")
+        cut = np.searchsorted(place, np.arange(len(ends) + 1))
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
     def encode(self, text: str) -> bytes:
         return b"".join(self.node(text, 0, len(text)))
 
@@ -152,6 +183,7 @@ class Encoder(dict):
 
 
 _SPACE = frozenset("\t\n\x0b\x0c\r ")
+_UNIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _whole_from(text: str, a: int, cut: int) -> int | None:
@@ -194,37 +226,47 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
     bpe_ids: the ids that the tokenizer file at `path` gives the whole text without special tokens added, as
     little-endian unsigned 32-bit integers; bpe_decoded: their decoding in UTF-8, special tokens not skipped. Null
-    text counts as empty and has no ids. Texts over PART characters are cut into rows, encoded in parallel
-    and joined by document; repeated rows come out as often as they go in, also where doc_id is null.
+    text counts as empty and has no ids. Different texts over PART characters are cut into rows, encoded in parallel
+    and joined, each once; repeated rows come out as often as they go in, also where doc_id is null. A
+    tokenizer whose tokens cross white space is refused.
     Other columns of docs are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.char_length("text") > PART, F.lit(False))
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch], each: Callable[[Encoder, pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        try:
+            for batch in batches:
+                for some in slices(batch, "text", 4 << 20):
+                    yield each(own, some)
+        finally:
+            own.clear()  # a worker may go on to tasks of another kind
+
+    def whole(own: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [b"".join(units) for units in own.nodes(binary_lists(batch, "text"))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "bpe_ids", "bpe_decoded"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(d, k, len(p), i, x) for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), binary_lists(batch, "text"), strict=True) for p in [parts_of(t.decode("utf-8", "replace"))] for i, x in enumerate(p)]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "text_key", "parts", "part", "text"])
+        found = [(*key, i, x) for *key, t in zip(*(batch.column(k).to_pylist() for k in KEY), binary_lists(batch, "text"), strict=True) for i, x in enumerate(parts_of(t.decode("utf-8", "replace")))]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string()))], [*KEY, "part", "text"])
 
-    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = list(encoder(path).nodes(binary_lists(batch, "text")))
+    def part(own: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = list(own.nodes(binary_lists(batch, "text")))
         counts = [np.array([len(u) // 4 for u in units], "<u4").tobytes() for units in found]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([b"".join(u) for u in found], pa.binary()), pa.array(counts, pa.binary())], [*batch.schema.names, "ids", "counts"])
 
     def join(group: pa.Table) -> pa.Table:
-        own, by_part = encoder(path), {}
-        for r in group.to_pylist():
-            by_part.setdefault(r["part"], []).append((r["text"], r["ids"], r["counts"]))
-        times = len(by_part[0])  # rows repeated in full
-        ids = join_parts(own, [by_part[k][0] for k in range(len(by_part))])
-        return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()] * times, pa.int64()), "bpe_ids": pa.array([ids] * times, pa.binary()), "bpe_decoded": pa.array([own.decode(ids)] * times, pa.binary())})
-
-    short = map_batches(rows.where(~long), whole, "doc_id long, bpe_ids binary, bpe_decoded binary")
-    cuts = map_batches(rows.where(long).withColumn("text_key", F.xxhash64("text")), cut, "doc_id long, text_key long, parts int, part int, text string")
-    parts = map_batches(cuts.repartition("doc_id", "text_key", "part"), part, "doc_id long, text_key long, parts int, part int, text string, ids binary, counts binary")
-    return short.unionByName(parts.groupBy("doc_id", "text_key", "parts").applyInArrow(join, "doc_id long, bpe_ids binary, bpe_decoded binary"))
-
+        own = encoder(path)
+        parts = sorted(group.select(["part", "text", "ids", "counts"]).to_pylist(), key=lambda r: r["part"])
+        ids = join_parts(own, [(r["text"], r["ids"], r["counts"]) for r in parts])
+        own.clear()
+        return pa.table({k: group.column(k)[:1] for k in KEY} | {"bpe_ids": pa.array([ids], pa.binary()), "bpe_decoded": pa.array([own.decode(ids)], pa.binary())})
+
+    out = "bpe_ids binary, bpe_decoded binary"
+    short = rows.where(~long).mapInArrow(lambda b: run(b, whole), f"doc_id long, {out}")
+    keyed = rows.where(long).select("doc_id", F.xxhash64("text").alias(KEY[0]), F.xxhash64(F.lit(7), "text").alias(KEY[1]), "text")
+    cuts = map_batches(keyed.dropDuplicates(KEY).select(*KEY, "text"), cut, "text_k1 long, text_k2 long, part int, text string", by="text")
+    parts = cuts.repartition(*KEY, "part").mapInArrow(lambda b: run(b, part), "text_k1 long, text_k2 long, part int, text string, ids binary, counts binary")
+    joined = parts.groupBy(*KEY).applyInArrow(join, f"text_k1 long, text_k2 long, {out}")
+    return short.unionByName(keyed.drop("text").join(joined, KEY).drop(*KEY))
