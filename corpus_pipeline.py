@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carbonloom.llm import boosted_rules, jaccard_join, line_dedup, mixing, tree_bpe
-from carbonloom.llm.common import read, table
+from carbonloom.llm.common import discard, read, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,9 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = table(docs, "stage")
-    return docs
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
