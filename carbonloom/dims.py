@@ -194,6 +194,25 @@ MATERIALS = [
 PRODUCT_ENERGY = {"空调": (10, 800.0), "房间空调器": (10, 800.0), "冰箱": (12, 300.0), "电冰箱": (12, 300.0), "洗衣机": (10, 80.0), "电视机": (8, 150.0), "电视": (8, 150.0), "电脑": (5, 150.0), "计算机": (5, 150.0), "显示器": (5, 50.0), "打印机": (5, 30.0), "复印机": (5, 80.0), "饮水机": (5, 200.0), "热水器": (8, 600.0), "电热水器": (8, 600.0)}
 ACTIVITY_UNITS = {"度": "kWh", "kWh": "kWh", "千瓦时": "kWh", "兆瓦时": "MWh", "MWh": "MWh", "吨": "t", "t": "t", "tons": "t", "升": "L", "L": "L", "立方米": "m3", "m3": "m3", "方": "m3", "GJ": "GJ"}
 
+# Forms of names, certificates, tickets, products and tonne kilometres.
+UNIT_CHARACTER = "^[元队型瓶个只支盒包袋箱桶罐条张本台件套号克升度块根卷组副双听粒]$"
+UNIT_WORDS = ["kg", "g", "ml", "l", "pcs", "pc", "set", "box"]
+SPEC_FORMS = ["规格", r"^[A-Za-z]?\d+(?:\.\d+)?[A-Za-z]*$", r"^\d+\s*\*\s*\d+", r"^\d+#\s*-\s*\d+\s*\*", r"\d+#\s*-\s*\d+\s*\*\s*\d+"]
+WEIGHT_FORM = r"(?i)^\d+(?:\.\d+)?\s*(?:克|千克|g|kg|ml|L)$"
+CERTIFICATE_WORDS = ["不动产", "产权", "浦字", "沪（", "㎡", "证号", "权证"]
+CERTIFICATE_CUTS = ["沪（", "沪(", "浦字", "不动产", "产权", "㎡"]
+CERTIFICATE_FORM = r"沪\s*[（(]\s*\d{4}\s*[)）]"
+AIRPORT_CODE = r"\b([A-Z]{3})\b"
+AIRPORT_PAIRS = [
+    r"(?s)(?:出发|起飞)\D{0,60}\b([A-Z]{3})\b.*?(?:到达|降落)\D{0,60}\b([A-Z]{3})\b",
+    r"(?s)\bFROM\b\D{0,50}\b([A-Z]{3})\b.*?\bTO\b\D{0,50}\b([A-Z]{3})\b",
+    r"([A-Z]{3})\s*[-–—/→>]+\s*([A-Z]{3})",
+]
+CABINS = [("头等舱", "first", "first"), ("商务舱", "business", "business"), ("高端经济舱", "premium", "premium_economy"), ("经济舱", "economy", "economy")]
+PRODUCT_ID = r"(?i)(65\d{3}X\d{6}[0-9A-Z])"
+TONNE_KM_DIRECT = [r"(\d+\.?\d*)\s*吨\s*公里", r"(\d+\.?\d*)\s*吨[-·]?公里"]
+TONNE_KM_PRODUCT = [r"(\d+\.?\d*)\s*吨[^\d]{0,30}?(\d+\.?\d*)\s*公里", r"(?i)(\d+\.?\d*)\s*t\s*[x×*]\s*(\d+\.?\d*)\s*km"]
+
 
 def scene_factor(key: str) -> float:
     """kg CO2e per CNY of a spend factor."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from carbonloom import dims
 from carbonloom.functions.rules import contains_any, first_match, lookup
 
 
-
 def text_of(*parts: Column) -> Column:
     """Parts that are not null or empty, joined by spaces."""
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
@@ -41,29 +42,29 @@ def is_star_category(name: Column) -> Column:
 
 def is_unit_only(name: Column) -> Column:
     t = F.trim(name)
-    unit = t.rlike("^[元队型瓶个只支盒包袋箱桶罐条张本台件套号克升度块根卷组副双听粒]$") | F.lower(t).isin("kg", "g", "ml", "l", "pcs", "pc", "set", "box")
+    unit = t.rlike(dims.UNIT_CHARACTER) | F.lower(t).isin(*dims.UNIT_WORDS)
     return F.coalesce((F.char_length(t) <= 6) & unit, F.lit(False))
 
 
 def is_spec(name: Column) -> Column:
     t = F.trim(name)
-    forms = t.contains("规格") | t.rlike(r"^[A-Za-z]?\d+(?:\.\d+)?[A-Za-z]*$") | t.rlike(r"^\d+\s*\*\s*\d+") | t.rlike(r"^\d+#\s*-\s*\d+\s*\*") | t.rlike(r"\d+#\s*-\s*\d+\s*\*\s*\d+")
+    forms = reduce(Column.__or__, [t.rlike(p) for p in dims.SPEC_FORMS])
     return F.coalesce((t != "") & (F.char_length(t) <= 30) & forms, F.lit(False))
 
 
 def is_weight_volume(name: Column) -> Column:
     t = F.trim(name)
-    return F.coalesce((F.char_length(t) <= 15) & t.rlike(r"(?i)^\d+(?:\.\d+)?\s*(?:克|千克|g|kg|ml|L)$"), F.lit(False))
+    return F.coalesce((F.char_length(t) <= 15) & t.rlike(dims.WEIGHT_FORM), F.lit(False))
 
 
 def is_certificate(name: Column) -> Column:
-    return contains_any(name, ["不动产", "产权", "浦字", "沪（", "㎡", "证号", "权证"]) | F.coalesce(name.rlike(r"沪\s*[（(]\s*\d{4}\s*[)）]"), F.lit(False))
+    return contains_any(name, dims.CERTIFICATE_WORDS) | F.coalesce(name.rlike(dims.CERTIFICATE_FORM), F.lit(False))
 
 
 def clean_name(name: Column) -> Column:
     """One line; cut at a certificate mark after the sixth character; unit and spec tokens dropped unless nothing is left."""
     s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
-    cut = first_match([(F.instr(s, sep) > 6, F.trim(F.substring(s, F.lit(1), F.instr(s, sep) - 1))) for sep in ("沪（", "沪(", "浦字", "不动产", "产权", "㎡")], s)
+    cut = first_match([(F.instr(s, sep) > 6, F.trim(F.substring(s, F.lit(1), F.instr(s, sep) - 1))) for sep in dims.CERTIFICATE_CUTS], s)
     kept = F.array_join(F.filter(F.split(cut, " "), lambda p: ~(is_unit_only(p) | is_spec(p))), " ")
     return F.coalesce(F.nullif(kept, F.lit("")), cut)
 
@@ -71,18 +72,16 @@ def clean_name(name: Column) -> Column:
 def iata_pair(text: Column) -> Column:
     """struct(from_code, to_code) or null: departure to arrival in Chinese, FROM to TO, AAA-BBB, then the first two different codes."""
     t = F.upper(text)
-    cn = r"(?s)(?:出发|起飞)\D{0,60}\b([A-Z]{3})\b.*?(?:到达|降落)\D{0,60}\b([A-Z]{3})\b"
-    en = r"(?s)\bFROM\b\D{0,50}\b([A-Z]{3})\b.*?\bTO\b\D{0,50}\b([A-Z]{3})\b"
-    dash = r"([A-Z]{3})\s*[-–—/→>]+\s*([A-Z]{3})"
+    cn, en, dash = dims.AIRPORT_PAIRS
     pair = lambda p: F.struct(F.regexp_extract(t, p, 1).alias("from_code"), F.regexp_extract(t, p, 2).alias("to_code"))
-    codes = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b([A-Z]{3})\b"), 1))
+    codes = F.array_distinct(F.regexp_extract_all(t, F.lit(dims.AIRPORT_CODE), 1))
     two = F.struct(F.get(codes, 0).alias("from_code"), F.get(codes, 1).alias("to_code"))
     return first_match([(t.rlike(cn), pair(cn)), (t.rlike(en), pair(en)), (t.rlike(dash) & (F.regexp_extract(t, dash, 1) != F.regexp_extract(t, dash, 2)), pair(dash)), (F.size(codes) >= 2, two)])
 
 
 def cabin(text: Column) -> Column:
     low = F.lower(text)
-    return first_match([(text.contains(cn) | low.contains(en), F.lit(kind)) for cn, en, kind in (("头等舱", "first", "first"), ("商务舱", "business", "business"), ("高端经济舱", "premium", "premium_economy"), ("经济舱", "economy", "economy"))])
+    return first_match([(text.contains(cn) | low.contains(en), F.lit(kind)) for cn, en, kind in dims.CABINS])
 
 
 def bracket_region(text: Column) -> Column:
@@ -92,16 +91,15 @@ def bracket_region(text: Column) -> Column:
 
 
 def product_id(text: Column) -> Column:
-    return group(text, r"(?i)(65\d{3}X\d{6}[0-9A-Z])")
+    return group(text, dims.PRODUCT_ID)
 
 
 def tonne_km(text: Column) -> Column:
     """Tonne kilometres named in a text, or tonnes times kilometres; null if none is above 0."""
     t = F.regexp_replace(text, " ", " ")
     num = lambda p, k=1: group(t, p, k).try_cast("double")
-    n = r"(\d+\.?\d*)"
-    direct = [num(n + r"\s*吨\s*公里"), num(n + r"\s*吨[-·]?公里")]
-    product = [num(p, 1) * num(p, 2) for p in (n + r"\s*吨[^\d]{0,30}?" + n + r"\s*公里", r"(?i)" + n + r"\s*t\s*[x×*]\s*" + n + r"\s*km")]
+    direct = [num(p) for p in dims.TONNE_KM_DIRECT]
+    product = [num(p, 1) * num(p, 2) for p in dims.TONNE_KM_PRODUCT]
     return F.coalesce(*[F.when(v > 0, v) for v in (*direct, *product)])
 
 

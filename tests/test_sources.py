@@ -90,3 +90,16 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = L.emissions(L.classify(L.without_junk(rows)))
     assert sorted(map(tuple, spark.table("emitted").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_stream_by_hour_leaves_out_late_lines(spark, tmp_path):
+    schema = "scope string, emission_kg double, ts timestamp"
+    batches = [[("Scope 1", 1.0, "2024-01-01 10:05:00"), ("Scope 1", 2.0, "2024-01-01 10:55:00"), ("Scope 2", 4.0, "2024-01-01 13:30:00")], [("Scope 2", 16.0, "2024-01-01 13:00:00")], [("Scope 1", 8.0, "2024-01-01 10:30:00"), ("Scope 3", 0.5, "2024-01-01 18:00:00")], [("Scope 3", 0.25, "2024-01-01 18:10:00")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(s, kg, t) for s, kg, t in rows], "scope string, emission_kg double, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = stream.kg_by_hour(source, "ts").writeStream.format("memory").queryName("hours").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    got = {(r.window.start.hour, r.scope): r.emission_kg for r in spark.table("hours").collect()}
+    assert got == {(10, "Scope 1"): 3.0, (13, "Scope 2"): 20.0}  # the 8 kg of 10:30 come two batches after 13:30, too late
