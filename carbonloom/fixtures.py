@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carbonloom.sources.shared import spread
+
 TABLES = ("nation", "supplier", "part", "lineitem", "events", "documents", "embeddings", "orders", "customer")
 
 INVOICE_LINES = """
@@ -40,7 +42,7 @@ PRODUCTS = """SELECT * FROM (VALUES (1, 'steel anvil cold', '机加工', 1.5E0,
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """text over the tables of sf_dir; {name} stands for a table."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t} " in f" {text} ".replace("\n", " ").replace("(", " ").replace(")", " ").replace(",", " ")}
+    frames = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if f" {t} " in f" {text} ".replace("\n", " ").replace("(", " ").replace(")", " ").replace(",", " ")}
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
     return spark.sql(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def spread(rows: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """rows of a scan, dealt out over the cores where it is of some size but comes in fewer parts than there are cores.
+
+    A file of one row group is one task, however costly what follows is for each row. Larger inputs come in parts
+    enough and are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < least_bytes or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
