@@ -104,17 +104,17 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10,
     null. Null or empty text: one empty line, kept. Keys that are empty (blank lines) are never dropped.
     An empty table gives an empty table.
     """
-    docs = without(docs, "line_doc", "line_text", "line_hits", "line_count", "line_dropped")
+    docs = without(docs, "line_doc", "line_text", "line_hits", "line_count", "line_dropped", "line_hit_doc", "line_hit_text")
     hashes = table(document_hashes(docs, batches), "line-hashes", by="batch")
     with LineRuns(spark, min_docs) as runs:
         for k in range(batches):
             runs.add(hashes.where(F.col("batch") == k))
         frequent = table(runs.frequent(), "frequent-lines")
     hits = hashes.join(frequent, "h", "left_semi").groupBy("line_doc", "line_text").agg(F.collect_set("h").alias("line_hits"))
-    hits = table(hits.withColumnsRenamed({"line_doc": "d", "line_text": "t"}), "line-hits")
+    hits = table(hits.withColumnsRenamed({"line_doc": "line_hit_doc", "line_text": "line_hit_text"}), "line-hits")
     discard(hashes, frequent)
     joined = docs.withColumns({"line_doc": F.col("doc_id").cast("long"), "line_text": F.xxhash64("text")})
-    joined = joined.join(hits, F.col("line_doc").eqNullSafe(F.col("d")) & (F.col("line_text") == F.col("t")), "left").drop("line_doc", "line_text", "d", "t")
+    joined = joined.join(hits, F.col("line_doc").eqNullSafe(F.col("line_hit_doc")) & (F.col("line_text") == F.col("line_hit_text")), "left").drop("line_doc", "line_text", "line_hit_doc", "line_hit_text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, count, dropped = [], [], []

@@ -38,7 +38,7 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
     """The rows with further columns whose names clash with those that operators add or use."""
-    extra = {"score": 1.5, "h": "h", "line_hits": "x", "line_count": 1, "kept": "k", "n_words": 2, "mix_size": 3, "predicted": 4, "k1": 5, "id": 6, "features": 7, "held_out": "no"}
+    extra = {"score": 1.5, "h": "h", "line_hits": "x", "line_count": 1, "kept": "k", "n_words": 2, "mix_size": 3, "predicted": 4, "k1": 5, "id": 6, "features": 7, "held_out": "no", "d": 8, "t": 9, "key": 10, "part": 11, "sample_id": 12, "text_key": 13}
     names = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} {'string' if isinstance(v, str) else 'double'}" for n, v in extra.items())
     return spark.createDataFrame([(*r, *[v if isinstance(v, str) else float(v) for v in extra.values()]) for r in odd_rows], names)
 
