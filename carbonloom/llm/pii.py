@@ -12,15 +12,17 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carbonloom.llm.common import binary_lists, discard, map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Pattern tables up to so many rows are broadcast; larger ones are joined by shuffle.
+#: Patterns up to so many go to each task; with more, all words are counted and joined by shuffle.
 MOST_BROADCAST = 100_000
 
 _HINT = re.compile("[0-9@]")
@@ -153,12 +155,37 @@ def find(spark: SparkSession, docs: DataFrame, rounds: int = 12, least_seeds: in
     return joined.select("doc_id", "base", F.coalesce("found", F.array().cast(fields)).alias("found"))
 
 
-def _corpus_words(text: Column) -> Column:
-    """All words of a text and all pairs of neighbours, as _named() has them."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, rf"[{_SPACE}]+|(?<=[{_MARKS}])"), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+_RAW_WORD = re.compile(_WORD.pattern.encode())
+
+
+def _raw_name(words: bytes) -> bytes:
+    """_named() of lower-cased bytes."""
+    if len(words) <= PLAIN or len(words.decode("utf-8", "replace")) <= PLAIN:
+        return words
+    return hashlib.md5(words).hexdigest().encode()
+
+
+def occurrences_of(texts: Iterable[bytes], known: frozenset[bytes] | None) -> Counter:
+    """How often words and pairs of neighbours stand in texts, line breaks not regarded: those that are known, or (None) all."""
+    out: Counter = Counter()
+    firsts = None if known is None else {w.split(b" ")[0] for w in known if b" " in w}
+    # a pair whose name is a digest shows no first word
+    digests = known is not None and any(len(w) == 32 and b" " not in w for w in known)
+    for text in texts:
+        words = _RAW_WORD.findall(text.lower())
+        if known is None:
+            out.update(map(_raw_name, words))
+            out.update(_raw_name(a + b" " + b) for a, b in zip(words, words[1:], strict=False))
+            continue
+        out.update(filter(known.__contains__, words))
+        for k, w in enumerate(words):
+            if len(w) > PLAIN and (name := _raw_name(w)) != w and name in known:
+                out[name] += 1
+            if k + 1 < len(words) and (w in firsts or digests and len(w) + len(words[k + 1]) >= PLAIN):
+                name = _raw_name(w + b" " + words[k + 1])
+                if name in known:
+                    out[name] += 1
+    return out
 
 
 def pattern_scores(spark: SparkSession, docs: DataFrame, occurrences: DataFrame, rounds: int, least_seeds: int, sure: float) -> DataFrame:
@@ -167,10 +194,15 @@ def pattern_scores(spark: SparkSession, docs: DataFrame, occurrences: DataFrame,
     edges = table(occurrences.groupBy(*key, "item").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pii-edges")
     # only these can ever have support; each has its occurrences in the whole corpus, line breaks not regarded
     usable = table(edges.groupBy(*key).agg(F.count("*").alias("strings")).where(F.col("strings") >= least_seeds).select(*key), "pii-patterns")
-    words = usable.select("pattern").distinct()
-    words = F.broadcast(words) if words.count() <= MOST_BROADCAST else words
-    corpus = docs.select(F.explode(_corpus_words(F.col("text"))).alias("word")).select(F.when(F.char_length("word") <= PLAIN, F.col("word")).otherwise(F.md5("word")).alias("pattern"))
-    totals = corpus.join(words, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    names = usable.select("pattern").distinct()
+    known = frozenset(r.pattern.encode() for r in names.collect()) if names.count() <= MOST_BROADCAST else None
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = occurrences_of(binary_lists(batch, "text"), known)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["pattern", "n"])
+
+    corpus = map_batches(docs.select("text"), count, "pattern string, n long", by="text").groupBy("pattern").agg(F.sum("n").alias("total"))
+    totals = corpus if known is not None else corpus.join(names, "pattern", "left_semi")
     graph = table(edges.join(usable.join(totals, "pattern", "left"), key), "pii-graph")
     discard(edges, usable)
     scores = graph.groupBy("kind", "item").agg(F.max(F.col("seed").cast("double")).alias("score"))

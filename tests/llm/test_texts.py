@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -138,13 +139,25 @@ def test_contexts_on_both_sides_far_away_and_long(spark):
     assert found[501] == [[], []] and found[None] == [[(3, 6, 18)]]
 
 
-def test_context_words_are_counted_as_they_are_named(spark):
-    texts = ["a b: c=d  e", "Phone:+1 <x> (y) \"z\" [q]", " ", "Ünï " + "W" * 80 + "\nend", None]
-    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii._corpus_words(pii.F.col("text")).alias("w"))
-    for r in frame.collect():
-        words = [m[0] for m in pii._WORD.finditer(r.text or "")]
-        want = [*words, *[f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]]
-        assert [x if len(x) <= pii.PLAIN else hashlib.md5(x.encode()).hexdigest() for x in r.w or []] == [pii._named(x) for x in want]
+def test_context_words_are_counted_as_they_are_named():
+    """All words and pairs, and those of a known set only, named as contexts name them."""
+    texts = ["a b: c=d  e", "Phone:+1 <x> (y) \"z\" [q]", " ", "Ünï " + "W" * 80 + "\nend a b:", "Ü" * 40 + " " + "é" * 30, ""]
+    want = Counter()
+    for t in texts:
+        words = [m[0] for m in pii._WORD.finditer(t)]
+        want.update(pii._named(x).encode() for x in [*words, *[f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]])
+    raw = [t.encode() for t in texts]
+    assert pii.occurrences_of(raw, None) == want
+    for known in (frozenset(want), frozenset([b"a b:", b"end", b"q"]), frozenset([pii._named("W" * 80).encode()]), frozenset([pii._named("W" * 80 + " end").encode()]), frozenset([b"no"])):
+        assert pii.occurrences_of(raw, known) == Counter({k: n for k, n in want.items() if k in known})
+
+
+def test_patterns_beyond_the_bound_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(k, f"reach me, phone: +1 (555) 010-{1000 + k} today") for k in range(30)] + [(100, "the phone: 555-010-7777 there"), (101, "a code 555-010-8888 stays")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted((r.doc_id, r.found) for r in pii.find(spark, frame).collect())
+    monkeypatch.setattr(pii, "MOST_BROADCAST", 0)
+    assert sorted((r.doc_id, r.found) for r in pii.find(spark, frame).collect()) == few
 
 
 def plain_statistics(text):
