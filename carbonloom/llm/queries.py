@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from carbonloom.llm import boosted_rules, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe
+from carbonloom.llm import boosted_rules, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe, weighted_sampling
 from carbonloom.llm.common import read
 
 
@@ -71,13 +71,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge(spark, docs, read(spark, sf_dir, "labels")).drop("text")
 
 
+def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weighted_sampling.with_edits(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), samples=32)
+    prints = [weighted_sampling.fingerprint(F.col(c)).alias(n) for c, n in (("signature", "fingerprint"), ("edited_signature", "edited_fingerprint"))]
+    return out.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, pipeline)
+    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, op12_weighted_sampling, pipeline)
 }
 
 #: DuckDB SQL. A key is a line stripped of ASCII white space with A-Z lower-cased.
