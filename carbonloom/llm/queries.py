@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from carbonloom.llm import boosted_rules, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe, weighted_sampling
+from carbonloom.llm import boosted_rules, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe, weighted_sampling, whitening
 from carbonloom.llm.common import read
 
 
@@ -71,6 +71,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge(spark, docs, read(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark, read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64, offset=1_000_000, components=16)
+    out = out.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
 def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = weighted_sampling.with_edits(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), samples=32)
     prints = [weighted_sampling.fingerprint(F.col(c)).alias(n) for c, n in (("signature", "fingerprint"), ("edited_signature", "edited_fingerprint"))]
@@ -83,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, op12_weighted_sampling, pipeline)
+    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, op11_whitening, op12_weighted_sampling, pipeline)
 }
 
 #: DuckDB SQL. A key is a line stripped of ASCII white space with A-Z lower-cased.
