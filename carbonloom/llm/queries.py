@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from carbonloom.llm import boosted_rules, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe, weighted_sampling, whitening
+from carbonloom.llm import boosted_rules, hard_negatives, jaccard_join, license_scan, line_dedup, mixing, near_vectors, pii, pu_quality, suffix_dedup, tree_bpe, weighted_sampling, whitening
 from carbonloom.llm.common import read
 
 
@@ -83,13 +83,18 @@ def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives.mine(spark, rows, scale=256, relabel=7, every=50, positives=5, negatives=3, low=50, high=95)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, op11_whitening, op12_weighted_sampling, pipeline)
+    for f in (op1_pu_quality, op2_tree_bpe, op3_pii, op4_line_dedup, op5_near_vectors, op6_suffix_dedup, op7_jaccard_join, op8_mixing, op9_license_scan, op10_quality_rules, op11_whitening, op12_weighted_sampling, op13_hard_negatives, pipeline)
 }
 
 #: DuckDB SQL. A key is a line stripped of ASCII white space with A-Z lower-cased.
@@ -123,4 +128,18 @@ SELECT r.doc_id, r.size, g.source_size, g.target,
   CASE WHEN r.size = 0 THEN 0 ELSE CAST(floor(i * round(target / source_size, 9) + 0.5) - floor((i - 1) * round(target / source_size, 9) + 0.5) AS BIGINT) * r.size END AS taken
 FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source"""
 
-ORACLE_SQL = {"op4_line_dedup": _LINES, "op8_mixing": _MIX}
+_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda k: a.x[k] * o.x[k])) AS BIGINT) AS score
+  FROM r a JOIN r o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM pos p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLE_SQL = {"op4_line_dedup": _LINES, "op8_mixing": _MIX, "op13_hard_negatives": _NEGATIVES}
