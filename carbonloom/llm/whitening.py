@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +86,9 @@ def _scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def by_length(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, rows as a matrix, their places in the batch) for each length of the lists in a column; empty lists are passed over."""
+    """(length, rows as a matrix, their places in the batch) for each length of the lists in a column; null and empty lists are passed over."""
     lists = batch.column(column)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
     for dims in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == dims)
         values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
