@@ -47,6 +47,7 @@ def centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> n
 
 def _unit(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<f8").reshape(-1, dim)
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 

@@ -204,6 +204,15 @@ def test_vectors(spark):
     assert near_vectors.near_duplicates(spark, frame.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    """Cosines neither overflow nor vanish with the size of the parts."""
+    size = {1: 1.0, 2: 1e-200, 3: 1e200, 4: 1e-310, 5: 1.7e308}
+    near, far = (1.0, 1.0), (1.0, 0.1)
+    rows = [(10 * k + n, [s * v[0], s * v[1]]) for k, s in size.items() for n, v in enumerate((near, far))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 10 + i % 10) for i, _ in rows}
+
+
 def test_vector_cells_find_the_links(spark, monkeypatch):
     """Many small cells, blocks of a few rows: recall against brute force, and no link counted twice."""
     monkeypatch.setattr(near_vectors, "CELL", 20)
