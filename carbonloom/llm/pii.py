@@ -118,14 +118,15 @@ def contexts(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, st
     return out
 
 
-def find(spark: SparkSession, docs: DataFrame, rounds: int = 12, least_seeds: int = 3, sure: float = 0.6) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, rounds: int = 200, least_seeds: int = 3, sure: float = 0.6) -> DataFrame:
     """(doc_id, base, found): arrays of (kind, start, end) of each row of docs (doc_id, text).
 
     base: matches of the fixed forms, by kind as in KINDS, then start; found: further spans, beside a pattern with
     at least `least_seeds` different strings held to be personal data and a confidence of at least `sure` (ties
     count). Places are code points, the end exclusive. Null text counts as empty and has no spans; repeated rows have equal
     spans, also where doc_id is null. Other columns are not read. Candidates overlap no base span; overlapping candidates
-    of a kind cannot occur. Scoring ends when a round changes nothing, or after `rounds`.
+    of a kind cannot occur. Scoring ends when a round changes no
+    confidence in its first six digits; if that takes more than `rounds`, it is an error.
     """
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     context = [("form", pa.int32()), ("pattern", pa.string())]
@@ -189,7 +190,7 @@ def occurrences_of(texts: Iterable[bytes], known: frozenset[bytes] | None) -> Co
 
 
 def pattern_scores(spark: SparkSession, docs: DataFrame, occurrences: DataFrame, rounds: int, least_seeds: int, sure: float) -> DataFrame:
-    """(kind, form, pattern, confidence) of the patterns with enough support, after the last round over the graph of patterns and strings."""
+    """(kind, form, pattern, confidence) of the patterns with enough support, as they are when a round over the graph of patterns and strings changes nothing."""
     key = ["kind", "form", "pattern"]
     edges = table(occurrences.groupBy(*key, "item").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pii-edges")
     # only these can ever have support; each has its occurrences in the whole corpus, line breaks not regarded
@@ -209,13 +210,17 @@ def pattern_scores(spark: SparkSession, docs: DataFrame, occurrences: DataFrame,
     worth = F.sum(F.col("times") * F.col("score")) / (F.greatest(F.max("total"), F.sum("times")) + 1)
     support = F.count(F.when(F.col("score") >= sure, 1))
     before = None
-    for k in range(rounds):
+    for _ in range(rounds):
         patterns = graph.join(scores, ["kind", "item"]).groupBy(*key).agg(worth.alias("confidence"), support.alias("support")).where(F.col("support") >= least_seeds)
-        patterns = table(patterns.select(*key, F.round("confidence", 6).alias("confidence")), f"pii-round{k}")
-        now = tuple(patterns.agg(F.count("*"), F.round(F.sum("confidence"), 3)).first())
-        if now == before:
-            break
-        before = now
+        patterns = table(patterns.select(*key, F.round("confidence", 6).alias("confidence")), "pii-round")
+        if before is not None:
+            # no pattern goes and no confidence falls from one round to the next: what is new shows every change
+            settled = patterns.join(before, [*key, "confidence"], "left_anti").isEmpty()
+            discard(before)
+            if settled:
+                discard(graph)
+                return patterns
+        before = patterns
         doubt = F.exp(F.coalesce(F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999)))), F.lit(0.0)))
         scores = graph.join(patterns, key, "left").groupBy("kind", "item").agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - doubt).alias("score"))
-    return patterns
+    raise RuntimeError(f"the scores of patterns still change after {rounds} rounds")

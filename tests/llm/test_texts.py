@@ -160,6 +160,30 @@ def test_patterns_beyond_the_bound_are_joined_by_shuffle(spark, monkeypatch):
     assert sorted((r.doc_id, r.found) for r in pii.find(spark, frame).collect()) == few
 
 
+def test_chains_of_patterns_are_followed_to_the_end(spark):
+    """Each label stands by four identifiers of the one before: 20 labels take as many rounds; too few rounds are an error."""
+    from carbonloom.llm.common import delete
+    from carbonloom.sources.shared import shared_folder
+
+    rows = [(k, f"label0: +1 (555) 010-{1000 + k}") for k in range(12)]
+    number = lambda step, k: f"{200 + step}-555-{1000 + k}"
+    for step in range(20):
+        for k in range(6):
+            rows += [(1000 + 10 * step + k, f"label{step}: {number(step, k)}"), (2000 + 10 * step + k, f"label{step + 1}: {number(step, k)}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {f.getPath().getName().rsplit("-", 1)[0] for f in files.listStatus(path)}
+    for f in files.listStatus(path):
+        if f.getPath().getName().startswith("pii-"):
+            delete(spark, f.getPath().toString())
+    found = {r.doc_id: len(r.found) for r in pii.find(spark, frame).collect()}
+    assert all(found[1000 + 10 * s + k] == found[2000 + 10 * s + k] == 1 for s in range(20) for k in range(6))
+    assert not names() & {"pii-graph", "pii-edges", "pii-patterns"}
+    with pytest.raises(RuntimeError, match="still change"):
+        pii.find(spark, frame, rounds=5)
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
