@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
+from carbonloom.operators import search
+from carbonloom.sources.shared import stored
 
 
 def characters(text: Column) -> Column:
@@ -38,32 +40,28 @@ def contained_in(words: DataFrame, word: Column, texts: DataFrame, text: Column,
     return own.join(indexed, "__gram").where(F.contains("__text", "__word")).drop("__gram", "__word", "__text")
 
 
-def tfidf_top(queries: DataFrame, query: str, catalogue: DataFrame, key: str, text: str, top: int = 5, least: float = 0.0, tokens=characters) -> DataFrame:
+def tfidf_top(queries: DataFrame, query: str, catalogue: DataFrame, key: str, text: str, top: int = 5, least: float = 0.0, tokens=characters, met: list[int] | None = None) -> DataFrame:
     """(query, key, score, rank): the catalogue rows of highest cosine for each query, above 0 and at least `least`.
 
     idf is ln((1 + n) / (1 + df)) + 1 over the catalogue; queries use the catalogue's idf and their other
-    tokens count for nothing. Ties go to the higher key. Each different text of the catalogue is scored once, by a row
-    that stands for its best `top` keys. Tokens meet in an equi join; scores add up in partial sums before
-    they are shuffled. A query still meets each different text that shares a token with it.
+    tokens count for nothing. Ties go to the higher key. Each different text of the catalogue is searched once, and stands
+    for its best `top` keys. A query reads only blocks of postings whose bound reaches the floor of its
+    best texts (search.best), and scores only texts that can get over it; `met` gets their number.
     """
     place = F.row_number().over(Window.partitionBy(text).orderBy(F.desc(key)))
     rows = catalogue.where(F.col(text).isNotNull()).select(key, text)
+    texts = stored(rows.groupBy(text).agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "search-texts")
+    counts = vectors(texts, "id", text, tokens)
+    index = search.built(counts, texts.select("id", "n").unionByName(catalogue.where(F.col(text).isNull()).groupBy().agg(F.lit(-1).cast("long").alias("id"), F.count("*").alias("n"))))
+    asked = vectors(queries.select(F.col(query).alias("query")).distinct(), "query", "query", tokens)
+    scores = search.best(asked, index, top, least, met).join(texts.select("id", text), "id")
+    index.delete()
     best = rows.withColumn("__place", place).where(F.col("__place") <= top).select(text, key)
-    texts = rows.groupBy(text).agg(F.count("*").alias("__rows"))
-    tf = vectors(texts, text, text, tokens).join(texts, text)
-    n = catalogue.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.sum("__rows").alias("df")).join(F.broadcast(n), F.lit(True)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def weighed(rows: DataFrame, by: str) -> DataFrame:
-        w = rows.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-        return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(by)))).select(by, "token", "w")
-
-    own = weighed(vectors(queries, query, query, tokens), query).withColumnRenamed("w", "wq")
-    scores = own.join(weighed(tf, text), "token").groupBy(query, text).agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-    order = lambda by: F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 12)), F.desc(by)))
-    near = scores.where((F.col("score") > 0) & (F.col("score") >= least)).join(best.groupBy(text).agg(F.max(key).alias("__first")), text)
+    order = lambda by: F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), F.desc(by)))
+    near = scores.join(best.groupBy(text).agg(F.max(key).alias("__first")), text)
     near = near.withColumn("rank", order("__first")).where(F.col("rank") <= top).drop("rank", "__first")
-    return near.join(best, text).withColumn("rank", order(key)).where(F.col("rank") <= top).select(query, key, "score", "rank")
+    found = near.join(best, text).withColumn("rank", order(key)).where(F.col("rank") <= top).select("query", key, "score", "rank")
+    return found.withColumnRenamed("query", query)
 
 
 def candidates() -> list[tuple[int, str, str]]:

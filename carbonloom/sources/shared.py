@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,19 @@ def spread(rows: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     if int(str(size)) < least_bytes or rows.rdd.getNumPartitions() >= cores:
         return rows
     return rows.repartition(cores)
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once into the shared folder and read back: what is read several times is computed once, and a lost executor loses nothing."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for frames that nothing still to be computed reads."""
+    for rows in frames:
+        spark = rows.sparkSession
+        for path in {str(f).rsplit("/", 1)[0] for f in rows.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,8 +8,10 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from carbonloom import dims
-from carbonloom.operators import matching
+from carbonloom.operators import matching, search
 from carbonloom.plans import ledger as L
 from carbonloom.plans import matcher as M
 from carbonloom.sources import facts
@@ -66,6 +68,36 @@ def test_catalogue_search_with_repeated_texts(spark, top):
     assert {(r.q, r.k, r["rank"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("top", [1, 5])
+def test_catalogue_search_meets_few_texts(spark, monkeypatch, top):
+    """Words of a long-tailed vocabulary: the same rows as brute force, from a small part of the pairs that share a word."""
+    monkeypatch.setattr(search, "FIRST_READ", 64)
+    random.seed(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    weights = [1 / (k + 1) for k in range(400)]
+    rows = [(k, " ".join(random.choices(vocabulary, weights, k=random.randint(3, 9)))) for k in range(1500)]
+    asked = [" ".join(random.choices(vocabulary, weights, k=4)) for _ in range(30)] + ["w0", "", "none of these"]
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    idf = {w: math.log((1 + len(rows)) / (1 + n)) + 1 for w, n in df.items()}
+
+    def unit(t):
+        w = {c: n * idf[c] for c, n in Counter(t.split()).items() if c in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {c: x / norm for c, x in w.items()}
+
+    units, want, share = {k: unit(t) for k, t in rows}, set(), 0
+    for q in set(asked):
+        own = unit(q)
+        scored = sorted((-round(sum(x * units[k].get(c, 0) for c, x in own.items()), 12), -k) for k, _ in rows)
+        share += sum(s < 0 for s, _ in scored)
+        want |= {(q, -k, n) for n, (_, k) in enumerate([x for x in scored if x[0] < 0][:top], 1)}
+    met = []
+    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    got = matching.tfidf_top(spark.createDataFrame([(q,) for q in asked], "q string"), "q", spark.createDataFrame([*rows, (None, None)], "k long, t string").where("k is not null"), "k", "t", top, 0.0, words, met)
+    assert {(r.q, r.k, r["rank"]) for r in got.collect()} == want
+    assert len(want) <= met[0] <= {1: 0.1, 5: 0.2}[top] * share
+
+
 def test_airports_by_similarity(spark):
     random.seed(8)
     towns = ["Springfield", "Spring Valley", "San Pedro", "San Pablo", "Ville", "Villeneuve"]
