@@ -202,6 +202,7 @@ WEIGHT_FORM = r"(?i)^\d+(?:\.\d+)?\s*(?:克|千克|g|kg|ml|L)$"
 CERTIFICATE_WORDS = ["不动产", "产权", "浦字", "沪（", "㎡", "证号", "权证"]
 CERTIFICATE_CUTS = ["沪（", "沪(", "浦字", "不动产", "产权", "㎡"]
 CERTIFICATE_FORM = r"沪\s*[（(]\s*\d{4}\s*[)）]"
+SPELLED_WORDS = {"shoudu": "capital", "guoji": "international", "jichang": "airport"}
 AIRPORT_CODE = r"\b([A-Z]{3})\b"
 AIRPORT_PAIRS = [
     r"(?s)(?:出发|起飞)\D{0,60}\b([A-Z]{3})\b.*?(?:到达|降落)\D{0,60}\b([A-Z]{3})\b",

@@ -154,6 +154,12 @@ def match_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
 
 
+def spelled_key(syllables: Column) -> Column:
+    """Match key of spelled-out syllables, with the words of airport names put into English."""
+    joined = F.regexp_replace(F.lower(syllables), r"\s+", "")
+    return match_key(reduce(lambda s, w: F.replace(s, F.lit(w[0]), F.lit(w[1])), dims.SPELLED_WORDS.items(), joined))
+
+
 def alias_key(text: Column) -> Column:
     """Lower case without white space, dots, brackets, hyphens and underscores; Chinese characters stay."""
     return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\s·•．。()（）_-]+", "")

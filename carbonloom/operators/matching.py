@@ -1,13 +1,9 @@
-"""Matching of free text: catalogue search by TF-IDF, edit distance to standard names, nearest centroid, airports."""
+"""Matching of free text: catalogue search by TF-IDF, edit distance to standard names, nearest centroid."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carbonloom import dims
 from carbonloom.functions import numbers as N
@@ -116,32 +112,3 @@ def hybrid_category(code: Column, nearest: Column, confidence: Column, word_cate
     by_code = X.category_of_code(code)
     make = lambda c, s, p: F.struct(c.cast("int").alias("category"), F.lit(s).alias("source"), p.alias("confidence"))
     return F.when(by_code.isNotNull(), make(by_code, "tax_code", F.lit(0.95))).when(confidence >= least, make(nearest, "bert", confidence)).when(word_category.isNotNull(), make(word_category, "keyword", word_similarity)).otherwise(make(nearest, "bert", confidence))
-
-
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def resolve_airports(inputs: DataFrame, name: str, airports: DataFrame, aliases: DataFrame, least: float = 0.55) -> DataFrame:
-    """Distinct names with code and how: by IATA code, ident, alias (keys as in alias_rows()), then the most similar name among airports whose municipality key holds the name's first six key characters. Unresolved names keep null."""
-    names = inputs.select(name).distinct().withColumns({"__upper": F.upper(F.trim(name)), "__key": X.match_key(F.col(name)), "__alias": X.alias_key(F.col(name))})
-    code = airports.select(F.col("iata_code").alias("__upper"), F.col("iata_code").alias("by_iata"))
-    ident = airports.select(F.col("ident").alias("__upper"), F.col("iata_code").alias("by_ident"))
-    alias = aliases.select(F.col("alias").alias("__alias"), F.col("code").alias("by_alias"))
-    found = names.join(code, "__upper", "left").join(ident, "__upper", "left").join(alias, "__alias", "left")
-    blocked = found.where(F.coalesce("by_iata", "by_ident", "by_alias").isNull() & (F.col("__key") != "")).select(name, "__key")
-    pairs = contained_in(blocked, F.substring("__key", 1, 6), airports.select("iata_code", "name_key", "muni_key"), F.col("muni_key"))
-    scored = pairs.withColumn("score", F.greatest(_ratio("__key", "name_key"), _ratio("__key", "muni_key"))).where(F.col("score") >= least)
-    best = scored.groupBy(name).agg(F.max_by("iata_code", F.struct("score", "iata_code")).alias("by_name"))
-    how = F.when(F.col("by_iata").isNotNull(), "iata").when(F.col("by_ident").isNotNull(), "ident").when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_name").isNotNull(), "similar")
-    return found.join(best, name, "left").select(name, F.coalesce("by_iata", "by_ident", "by_alias", "by_name").alias("code"), how.alias("how"))
-
-
-def suggest_airports(inputs: DataFrame, name: str, airports: DataFrame, top: int = 3, least: float = 0.42) -> DataFrame:
-    """(name, iata_code, rank): the most similar airports of each distinct name, among those whose municipality key holds its first four key characters."""
-    names = inputs.select(name).distinct().withColumn("__key", X.match_key(F.col(name))).where("__key <> ''")
-    pairs = contained_in(names, F.substring("__key", 1, 4), airports.select("iata_code", "name_key", "muni_key"), F.col("muni_key"))
-    scored = pairs.withColumn("score", F.greatest(_ratio("__key", "name_key"), _ratio("__key", "muni_key"))).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("score"), "iata_code"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select(name, "iata_code", "rank")

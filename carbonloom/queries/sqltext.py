@@ -67,3 +67,16 @@ WITH_LINES = f"WITH lines AS ({INVOICE_LINES}), kept AS (SELECT * FROM lines WHE
 WITH_CLASSIFIED = WITH_LINES + "," + CLASSIFIED
 WITH_EMITTED = WITH_CLASSIFIED + "," + EMITTED
 PRICE = "SELECT day(ts) AS dom, avg(value) + 50 AS price_per_ton FROM events WHERE event_type = 'purchase' GROUP BY day(ts)"
+
+#: Ratios of matching characters of pairs (a, b), as `ratios` (a, b, score): the longest common run, the first in a, then in b, of equals; then the same on both sides of it.
+RATIOS = """
+ met AS (SELECT a, b, i, j FROM (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM pairs) x, LATERAL (SELECT unnest(range(1, length(x.b) + 1)) AS j) y WHERE a[i:i] = b[j:j]),
+ stretch AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM met),
+ runs AS (SELECT a, b, i, j, max(i) OVER (PARTITION BY a, b, i - j, g) - i + 1 AS r FROM stretch),
+ parts AS (
+  SELECT a, b, 1::BIGINT AS al, length(a) + 1 AS ah, 1::BIGINT AS bl, length(b) + 1 AS bh, 0::BIGINT AS m FROM pairs
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN al ELSE f.i + f.n END, CASE side WHEN 0 THEN f.i ELSE ah END, CASE side WHEN 0 THEN bl ELSE f.j + f.n END, CASE side WHEN 0 THEN f.j ELSE bh END, CASE side WHEN 0 THEN f.n ELSE 0 END
+  FROM (SELECT p.a, p.b, al, ah, bl, bh, max_by({'i': i, 'j': j, 'n': least(r, ah - i, bh - j)}, least(r, ah - i, bh - j) * 1000000 - i * 1000 - j) AS f
+        FROM parts p JOIN runs q ON p.a = q.a AND p.b = q.b AND q.i >= al AND q.i < ah AND q.j >= bl AND q.j < bh GROUP BY p.a, p.b, al, ah, bl, bh) w, (VALUES (0), (1)) s(side)),
+ ratios AS (SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS score FROM parts GROUP BY a, b)"""

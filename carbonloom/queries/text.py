@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from carbonloom import dims, fixtures
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
-from carbonloom.operators import audit, matching, tables
+from carbonloom.operators import airports, audit, matching, tables
 from carbonloom.plans import ledger as L
 from carbonloom.plans import matcher as M
 from carbonloom.queries import sqltext as S
@@ -297,28 +297,48 @@ def f13_product_search(spark, d):
     return p.where(F.contains(F.lower("p_name"), F.lower(F.lit("BoLt")))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product_name"))
 
 
-_PORTS = """SELECT iata_code, concat('Z', iata_code) AS ident, concat(CASE iata_code WHEN 'PEK' THEN 'Beijing Capital' WHEN 'SHA' THEN 'Shanghai Hongqiao' WHEN 'CAN' THEN 'Guangzhou Baiyun' ELSE iata_code END, ' Airport') AS name, CASE iata_code WHEN 'PEK' THEN 'Beijing' WHEN 'SHA' THEN 'Shanghai' WHEN 'CAN' THEN 'Guangzhou' ELSE iata_code END AS municipality, iso_country, latitude_deg, longitude_deg, pos FROM ({a})""".format(a=fixtures.AIRPORTS)
-_ASK = "SELECT CASE l_partkey % 9 WHEN 0 THEN 'pek' WHEN 1 THEN 'ZSHA' WHEN 2 THEN '白云' WHEN 3 THEN 'Shanghai Hongqiao' WHEN 4 THEN concat('Beijing', CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Capital' ELSE '-Capital Airport' END) WHEN 5 THEN '虹桥' WHEN 6 THEN ' 白云 机场' WHEN 7 THEN 'Guangzhou Baiyun' ELSE concat('Nowhere ', CAST(l_suppkey AS STRING)) END AS name FROM lineitem"
+# Airports of the fixture and of each nation; the three first letters of a nation may be those of another one.
+_PORTS = """SELECT iata_code, concat('Z', iata_code) AS ident, concat(CASE iata_code WHEN 'PEK' THEN 'Beijing Capital' WHEN 'SHA' THEN 'Shanghai Hongqiao' WHEN 'CAN' THEN 'Guangzhou Baiyun' ELSE iata_code END, ' Airport') AS name, CASE iata_code WHEN 'PEK' THEN 'Beijing' WHEN 'SHA' THEN 'Shanghai' WHEN 'CAN' THEN 'Guangzhou' ELSE iata_code END AS municipality, latitude_deg, longitude_deg, pos FROM ({a})
+ UNION ALL SELECT substr(n_name, 1, 3), concat('Y', CAST(n_nationkey AS STRING)), concat(n_name, CASE WHEN n_nationkey % 2 = 0 THEN ' International Airport' ELSE ' City' END), n_name, CASE n_nationkey WHEN 24 THEN 95.0E0 ELSE 10.0E0 END, 20.0E0, 100 + CAST(n_nationkey AS INT) FROM nation""".format(a=fixtures.AIRPORTS)
+# Names with the syllables of their Chinese characters, where they have some.
+_ASK = """SELECT CASE l_partkey % 9 WHEN 0 THEN 'pek' WHEN 1 THEN 'ZSHA' WHEN 2 THEN '白云' WHEN 3 THEN 'Shanghai Hongqiao' WHEN 4 THEN concat('Beijing', CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Capital' ELSE '-Capital Airport' END) WHEN 5 THEN '虹桥' WHEN 6 THEN '首都机场' WHEN 7 THEN '广州' ELSE concat('Nowhere ', CAST(l_suppkey AS STRING)) END AS name,
+ CASE l_partkey % 9 WHEN 6 THEN 'beijing shoudu jichang' WHEN 7 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'guang zhou' END END AS spelled FROM lineitem
+ UNION ALL SELECT concat(substr(n_name, 1, 5 + CAST(c_custkey % 6 AS INT)), ' ', c_mktsegment), NULL FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 
 
 _ALIASES = "SELECT * FROM (VALUES (' 白云·机场 ', 'can', NULL, 0), ('白云', NULL, ' zcan ', 1), ('浦东', ' ', NULL, 2), ('虹桥', 'PEK', NULL, 3), ('虹桥', 'SHA', NULL, 4)) AS t(zh, iata_code, ident, pos)"
-_RESOLVED = """WITH a AS ({ask}), u AS (SELECT DISTINCT name FROM a), p AS ({ports}), k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM u)
- SELECT k.name, coalesce(i.iata_code, z.iata_code, al.code, sim.code) AS code, CASE WHEN i.iata_code IS NOT NULL THEN 'iata' WHEN z.iata_code IS NOT NULL THEN 'ident' WHEN al.code IS NOT NULL THEN 'alias' WHEN sim.code IS NOT NULL THEN 'similar' END AS how
- FROM k LEFT JOIN p i ON i.iata_code = upper(trim(k.name)) LEFT JOIN p z ON z.ident = upper(trim(k.name))
- LEFT JOIN (VALUES ('白云机场', 'CAN'), ('白云', 'ZCAN'), ('虹桥', 'SHA')) al(alias, code) ON al.alias = regexp_replace(lower(trim(k.name)), '[\\s·•．。()（）_-]+', '', 'g')
- LEFT JOIN (VALUES ('beijing', 'PEK'), ('shanghai', 'SHA'), ('guangz', 'CAN')) sim(stem, code) ON starts_with(k.key, sim.stem)"""
-
-
-@register(_RESOLVED.format(ask=_ASK, ports=_PORTS))
+_KEY = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', '', 'g')"
+_PLACES = f"ports AS (SELECT pos, upper(iata_code) AS iata_code, upper(ident) AS ident, {_KEY.format('name')} AS nk, {_KEY.format('municipality')} AS mk FROM ({_PORTS}) WHERE latitude_deg <= 90)"
+_SPELLED = _KEY.format("replace(replace(replace(replace(lower(spelled), ' ', ''), 'shoudu', 'capital'), 'guoji', 'international'), 'jichang', 'airport')")
+# All airports of a town whose key holds the first four characters, else all airports; the best by ratio, the first in place of equals.
+_SUGGESTED = """ near AS (SELECT key, p.* FROM keys JOIN ports p ON contains(p.mk, substr(key, 1, 4))),
+ cand AS (SELECT * FROM near UNION ALL SELECT key, p.* FROM keys, ports p WHERE key NOT IN (SELECT key FROM near)),
+ pairs AS (SELECT DISTINCT key AS a, nk AS b FROM cand MORE),""" + S.RATIOS + """,
+ placed AS (SELECT key, iata_code, score, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, pos) AS INTEGER) AS rank FROM cand JOIN ratios ON a = key AND b = nk)"""
+
+
+@register(f"""WITH RECURSIVE u AS (SELECT name, max({_SPELLED}) AS spelled FROM ({_ASK}) GROUP BY name), k AS (SELECT *, {_KEY.format('name')} AS key0 FROM u), {_PLACES}, keys AS (SELECT DISTINCT spelled AS key FROM k WHERE spelled <> ''),
+ direct AS (SELECT key0, p.* FROM (SELECT DISTINCT key0 FROM k WHERE key0 <> '') JOIN ports p ON contains(p.mk, substr(key0, 1, 6))),{_SUGGESTED.replace("MORE", " UNION SELECT key0, nk FROM direct")},
+ best AS (SELECT key0, arg_max({{'c': iata_code, 's': score}}, score * 1000000 - pos / 1000.0) AS d FROM direct JOIN ratios ON a = key0 AND b = nk GROUP BY key0),
+ joined AS (SELECT k.*, i.iata_code AS ic, z.iata_code AS zc, al.code AS ac, d, CASE WHEN d.s >= 0.55 THEN d.c END AS sc, t.iata_code AS tc, t.score AS ts
+  FROM k LEFT JOIN (SELECT DISTINCT iata_code FROM ports) i ON i.iata_code = upper(trim(k.name)) LEFT JOIN ports z ON z.ident = upper(trim(k.name))
+  LEFT JOIN (VALUES ('白云机场', 'CAN'), ('白云', 'CAN'), ('虹桥', 'SHA')) al(alias, code) ON al.alias = regexp_replace(lower(trim(k.name)), '[\\s·•．。()（）_-]+', '', 'g')
+  LEFT JOIN best USING (key0) LEFT JOIN placed t ON t.key = k.spelled AND t.rank = 1 AND t.score >= 0.42)
+ SELECT name, coalesce(ic, zc, ac, sc, CASE WHEN key0 = '' OR d IS NOT NULL THEN tc END) AS code, CASE WHEN ic IS NOT NULL THEN 'iata' WHEN zc IS NOT NULL THEN 'ident' WHEN ac IS NOT NULL THEN 'alias' WHEN sc IS NOT NULL THEN 'similar' WHEN (key0 = '' OR d IS NOT NULL) AND tc IS NOT NULL THEN 'spelled' END AS how,
+  round(CASE WHEN coalesce(ic, zc, ac) IS NOT NULL THEN 1.0 WHEN sc IS NOT NULL THEN d.s WHEN key0 = '' OR d IS NOT NULL THEN ts END, 6) AS score FROM joined""".replace("STRING", "VARCHAR"))
 def j21_airports(spark, d):
-    """S17 airports, S18 aliases, J21 the cascade; similarity in an Arrow function (SQL has only its outcome for the names that need it)."""
+    """S17 airports, S18 aliases, J21 the cascade with its scores."""
     aliases = facts.alias_rows(spark.sql(_ALIASES))
-    return matching.resolve_airports(fixtures.sql(spark, d, _ASK), "name", facts.airports(spark.sql(_PORTS)), aliases)
+    out = airports.resolve(fixtures.sql(spark, d, _ASK), "name", facts.airports(fixtures.sql(spark, d, _PORTS)), aliases, "spelled")
+    return out.select("name", "code", "how", F.round("score", 6).alias("score"))
 
 
-@register(f"""WITH a AS ({_ASK}), u AS (SELECT DISTINCT name FROM a) SELECT name, code AS iata_code, 1 AS rank FROM u JOIN (VALUES ('beij', 'PEK'), ('shan', 'SHA'), ('guan', 'CAN')) s(stem, code) ON starts_with(regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), stem)""")
+@register(f"""WITH RECURSIVE k AS (SELECT DISTINCT name, {_KEY.format('name')} AS key FROM ({_ASK})), {_PLACES}, keys AS (SELECT DISTINCT key FROM k WHERE key <> ''),{_SUGGESTED.replace("MORE", "")}
+ SELECT name, iata_code, rank, round(score, 6) AS score, max(score) OVER (PARTITION BY name) >= 0.42 AS answered FROM k JOIN placed USING (key) WHERE rank <= 3""".replace("STRING", "VARCHAR"))
 def t2_airport_suggestions(spark, d):
-    return matching.suggest_airports(fixtures.sql(spark, d, _ASK), "name", facts.airports(spark.sql(_PORTS)))
+    """T2 the three most similar airports at any score, and whether the best one answers."""
+    out = airports.suggest(fixtures.sql(spark, d, _ASK), "name", facts.airports(fixtures.sql(spark, d, _PORTS)))
+    return out.withColumn("score", F.round("score", 6))
 
 
 _SEQ = "SELECT l_orderkey AS doc_id, l_linenumber * 10 + k AS pos, CASE WHEN l_orderkey % 3 = 0 THEN concat('*纸* ', CAST(l_partkey AS STRING)) WHEN k = 0 THEN concat('q', CAST(l_partkey AS STRING)) WHEN k = 1 THEN concat('¥', CAST(l_suppkey AS STRING), '.5') ELSE '合计' END AS text, CASE WHEN k = 0 AND l_orderkey % 3 <> 0 THEN 'question' WHEN k = 2 THEN 'other' ELSE 'answer' END AS label FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) + 1 AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) t {join} (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks"

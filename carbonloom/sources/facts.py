@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,8 +183,6 @@ def read_energy_labels(spark: SparkSession, path: str) -> list[tuple[str, float,
 
 
 def airports(rows: DataFrame) -> DataFrame:
-    """Airports in range, codes in upper case, with match keys; of rows with one code the last by pos stays."""
-    good = rows.where("name IS NOT NULL AND latitude_deg BETWEEN -90 AND 90 AND longitude_deg BETWEEN -180 AND 180")
-    last = F.row_number().over(Window.partitionBy("iata_code").orderBy(F.desc("pos")))
-    keyed = good.withColumns({"iata_code": F.upper("iata_code"), "ident": F.upper("ident"), "name_key": X.match_key(F.col("name")), "muni_key": X.match_key(F.col("municipality"))})
-    return keyed.withColumn("__n", last).where("__n = 1").drop("__n")
+    """Airports with a name and a place on the globe, codes in upper case, with match keys; all rows stay, in place by pos."""
+    good = rows.where("trim(name) <> '' AND latitude_deg BETWEEN -90 AND 90 AND longitude_deg BETWEEN -180 AND 180")
+    return good.withColumns({"iata_code": F.upper(F.trim("iata_code")), "ident": F.upper(F.trim("ident")), "name_key": X.match_key(F.col("name")), "muni_key": X.match_key(F.col("municipality"))})

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carbonloom import dims
-from carbonloom.operators import matching, search
+from carbonloom.operators import airports, matching, search
 from carbonloom.plans import ledger as L
 from carbonloom.plans import matcher as M
 from carbonloom.sources import facts
@@ -98,26 +98,83 @@ def test_catalogue_search_meets_few_texts(spark, monkeypatch, top):
     assert len(want) <= met[0] <= {1: 0.1, 5: 0.2}[top] * share
 
 
-def test_airports_by_similarity(spark):
-    random.seed(8)
-    towns = ["Springfield", "Spring Valley", "San Pedro", "San Pablo", "Ville", "Villeneuve"]
-    ports = [(f"A{k:02d}", f"Z{k:03d}", f"{random.choice(towns)} {random.choice(['Airport', 'Field', 'International'])}", random.choice(towns), "US", 1.0, 2.0, k) for k in range(25)]
-    frame = facts.airports(spark.createDataFrame(ports, "iata_code string, ident string, name string, municipality string, iso_country string, latitude_deg double, longitude_deg double, pos int"))
-    asked = ["springfield airport", "San Ped", "sanpablo field", "Villen", "a03", "z004", "x", "??"]
-    aliases = facts.alias_rows(spark.createDataFrame([("San-Ped", "a09", None, 0)], "zh string, iata_code string, ident string, pos int"))
+def plain_ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def plain_suggestions(key, ports, top):
+    """ports (pos, code, name key, town key) in place."""
+    near = [p for p in ports if key[:4] in p[3]] or ports
+    return [(p[1], s) for s, _, p in sorted(((plain_ratio(key, p[2]), -p[0], p) for p in near), reverse=True)][:top]
+
+
+def port_frame(spark, ports):
+    frame = spark.createDataFrame(ports, "iata_code string, ident string, name string, municipality string, iso_country string, latitude_deg double, longitude_deg double, pos int")
     key = lambda t: re.sub(r"[^a-z0-9]+", "", t.lower())
-    score = lambda a, p: max(difflib.SequenceMatcher(None, key(a), key(x)).ratio() for x in p[2:4])
-    names = spark.createDataFrame([(a,) for a in asked], "name string")
-    want = {"a03": ("A03", "iata"), "z004": ("A04", "ident"), "San Ped": ("A09", "alias")}
-    for a in asked:
-        near = [(score(a, p), p[0]) for p in ports if key(a) and key(a)[:6] in key(p[3]) and score(a, p) >= 0.55]
-        want.setdefault(a, (max(near)[1], "similar") if near else (None, None))
-    assert {r.name: (r.code, r.how) for r in matching.resolve_airports(names, "name", frame, aliases).collect()} == want
+    return facts.airports(frame), [(p[7], p[0], key(p[2]), key(p[3])) for p in ports], key
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_airports_by_similarity(spark, seed):
+    """The whole cascade and the suggestions against a plain version: towns in common, names that hold a town, equal ratios, repeated codes, no candidates."""
+    random.seed(seed)
+    towns = ["Springfield", "Spring Valley", "San Pedro", "San Pablo", "Ville", "Villeneuve", "Beijing"]
+    ports = [(f"A{chr(65 + k % 20)}{chr(65 + k % 3)}", f"Z{k:03d}", f"{random.choice(towns)} {random.choice(['Airport', 'Field', 'International', 'Capital Airport'])}", random.choice(towns), "US", 1.0, 2.0, k) for k in range(40)]
+    frame, plain, key = port_frame(spark, ports)
+    asked = [("springfield airport", None), ("San Ped", None), ("sanpablo field", None), ("Villen", None), ("AAA", None), ("z004", None), ("q", None), ("??", None), ("北京首都机场", "bei jing shou du ji chang"), ("北京", "beijing"), ("上海", "shang hai"), ("springx capital", "spring"), ("San-Ped", None), ("abc", "zzz"), ("春", None)]
+    aliases = facts.alias_rows(spark.createDataFrame([("San-Ped", None, "z009", 0), ("q", "QQQ", None, 1)], "zh string, iata_code string, ident string, pos int"))
+    codes, idents = {p[0]: p[0] for p in ports}, {p[1]: p[0] for p in ports}
+
+    def resolved(name, spelled):
+        up = name.strip().upper()
+        if up in codes:
+            return up, "iata", 1.0
+        if up in idents:
+            return idents[up], "ident", 1.0
+        if re.sub(r"[-\s]", "", name.lower()) == "sanped":
+            return idents["Z009"], "alias", 1.0
+        k = key(name)
+        if k:
+            near = [p for p in plain if k[:6] in p[3]]
+            if not near:
+                return None, None, None
+            best = max(near, key=lambda p: (plain_ratio(k, p[2]), -p[0]))
+            if plain_ratio(k, best[2]) >= 0.55:
+                return best[1], "similar", plain_ratio(k, best[2])
+        k = key((spelled or "").replace(" ", "").replace("shoudu", "capital").replace("jichang", "airport"))
+        if not k:
+            return None, None, None
+        code, score = plain_suggestions(k, plain, 1)[0]
+        return (code, "spelled", score) if score >= 0.42 else (None, None, None)
+
+    names = spark.createDataFrame(asked, "name string, spelled string")
+    got = {r.name: (r.code, r.how, r.score) for r in airports.resolve(names, "name", frame, aliases, "spelled").collect()}
+    assert got == {n: resolved(n, s) for n, s in asked}
+    suggested = {(r.name, r.iata_code, r["rank"], r.score, r.answered) for r in airports.suggest(names, "name", frame).collect()}
     want = set()
-    for a in asked:
-        near = sorted((-score(a, p), p[0]) for p in ports if key(a) and key(a)[:4] in key(p[3]) and score(a, p) >= 0.42)
-        want |= {(a, code, n) for n, (_, code) in enumerate(near[:3], 1)}
-    assert {(r.name, r.iata_code, r["rank"]) for r in matching.suggest_airports(names, "name", frame).collect()} == want
+    for n, _ in asked:
+        if key(n):
+            top = plain_suggestions(key(n), plain, 3)
+            want |= {(n, code, k, s, top[0][1] >= 0.42) for k, (code, s) in enumerate(top, 1)}
+    assert suggested == want
+
+
+def test_similar_names_are_found_without_rating_all_pairs(spark, monkeypatch):
+    """The best ratios over all names, from a small part of the pairs."""
+    monkeypatch.setattr(search, "FIRST_READ", 32)
+    random.seed(12)
+    syllables = ["ber", "lin", "ton", "kor", "mad", "ras", "osl", "rio", "qua", "xen", "vil", "jav", "hud", "gri", "fel", "pym"]
+    word = lambda: "".join(random.choices(syllables, k=random.randint(2, 5)))
+    names = sorted({word() for _ in range(500)})
+    keys = sorted({random.choice(names)[1:] + random.choice(["x", "", "ton"]) for _ in range(40)})
+    met = []
+    found = airports.most_similar(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(n,) for n in names], "name_key string"), 3, met).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.key, []).append(r.score)
+    for k in keys:
+        assert sorted(got[k], reverse=True)[:3] == sorted((plain_ratio(k, n) for n in names), reverse=True)[:3]
+    assert met[0] <= 0.15 * len(keys) * len(names)
 
 
 def test_nearest_centroid_keeps_repeated_rows(spark):
