@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from carbonloom.queries import sqltext as S
 from carbonloom.queries.matcher import _MATCHED, _REGION, calculated
 from carbonloom.sources import facts
 from carbonloom.sources import invoices as I
+from carbonloom.sources.shared import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -421,23 +423,54 @@ def s3_s4_xml_invoices(spark, d):
 
 
 def _zip(batches):
+    """A package for each order: its invoice in two members by turns, with members that are none; some packages are no zip, or hold a corrupt member."""
     for batch in batches:
         paths, contents = [], []
         for key, raw in zip(batch.column("o_orderkey").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            head, lines = raw.split("<FPDetail>")
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr("Doc/invoice.xml", raw)
-                z.writestr("Doc/seal.bin", "x")
+                z.writestr("OFD.xml", "<OFD><Version>1</Version></OFD>")
+                z.writestr("__MACOSX/._invoice.xml", raw)
+                if key % 3 == 0:
+                    z.writestr("Doc_0/bad.xml", "<Invoice><sellerName>broken</sellerName></Invoice>")
+                    z.writestr("Doc_0/head.xml", head + "</Invoice>")
+                    z.writestr("Doc_0/lines.xml", "<Invoice><invoiceNumber>other</invoiceNumber><FPDetail>" + lines)
+                else:
+                    z.writestr("Doc_0/invoice.xml", raw)
+                z.writestr("Doc_0/seal.bin", "x")
+            data = buffer.getvalue()
+            if key % 3 == 0:
+                data = data.replace(b"<Invoice><sellerName>broken", b"<Invoice><sellerName>BROKEN", 1)  # its checksum is wrong now
             paths.append(str(key))
-            contents.append(buffer.getvalue())
+            contents.append(b"no zip" if key % 7 == 0 else data)
         yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
 
 
-@register(_JSON_SQL)
+@register("""SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS invoice_number, CASE WHEN o_orderkey % 7 <> 0 THEN 'S' || o_custkey END AS seller_name,
+ CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE sum(l_suppkey) END::DOUBLE AS total_amount, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE count(*) END AS n, CASE WHEN o_orderkey % 7 <> 0 THEN min(lpad(CAST(l_partkey AS VARCHAR), 19, '1')) END AS code,
+ CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 4 ELSE 2 END AS members, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS rejected FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""")
 def s5_zipped_documents(spark, d):
-    """S5 XML members of zipped documents."""
+    """S5 one invoice for each package of several XML members, and what could not be read of it."""
     zipped = _xml(spark, d).mapInArrow(_zip, "path string, content binary")
-    return _by_invoice(I.from_xml(I.xml_members(zipped)))
+    out = I.from_packages(zipped)
+    return out.select("path", "invoice_number", "seller_name", "total_amount", F.size("lines").cast("long").alias("n"), F.array_min("lines.tax_code").alias("code"), "members", "rejected")
+
+
+@register(_JSON_SQL.replace("SELECT CAST", "SELECT f.file, CAST").replace(" FROM orders", " FROM (VALUES ('json'), ('xml')) f(file), orders").replace("GROUP BY o_orderkey", "GROUP BY f.file, o_orderkey") + " UNION ALL SELECT k || ' rejects', NULL, NULL, count(DISTINCT o_orderkey), NULL, NULL, NULL FROM orders JOIN lineitem ON l_orderkey = o_orderkey, (VALUES ('json'), ('xml')) v(k) GROUP BY k")
+def s1_s3_invoice_files(spark, d):
+    """S1, S3 files of many invoices, JSON lines and XML elements, read in parts, with the rejects beside them."""
+    base = f"{shared_folder(spark)}/invoices-{uuid.uuid4().hex}"
+    _json(spark, d).select(F.concat("raw", F.lit("\nno invoice"))).write.text(f"{base}/json")
+    _xml(spark, d).select(F.concat(F.lit("<?xml version='1.0'?><!-- batch --><Batch>"), "raw", F.lit("</Batch> stray"))).write.text(f"{base}/xml")
+    kinds = {"json": (I.json_records(spark.read, f"{base}/json"), I.from_json), "xml": (I.xml_records(spark.read, f"{base}/xml"), I.from_xml)}
+    out = None
+    for kind, (records, parse) in kinds.items():
+        good = _by_invoice(parse(I.accepted(records))).select(F.lit(kind).alias("file"), "*")
+        bad = I.rejected(records).agg(F.count("*").alias("n")).select(F.lit(f"{kind} rejects").alias("file"), "n")
+        both = good.unionByName(bad, allowMissingColumns=True)
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 @register("""SELECT CAST(o_orderkey AS VARCHAR) AS invoice_number, CASE o_orderkey % 3 WHEN 0 THEN 'S' || o_custkey WHEN 1 THEN 'T' END AS seller_name, '纸' AS name, CASE o_orderkey % 3 WHEN 0 THEN o_custkey ELSE 0 END::DOUBLE AS amount FROM orders WHERE o_orderkey % 3 < 2""")

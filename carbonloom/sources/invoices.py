@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
@@ -82,9 +85,17 @@ def _lines(rows: Column, fields: dict[str, list[str]], codes: Column) -> Column:
     return F.transform(rows, line)
 
 
+def amount_of(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0.0), lambda s, x: s + x["amount"])
+
+
+def _declared(total: Column) -> Column:
+    """A declared total, null where it is no number or 0."""
+    return F.nullif(N.safe_float(total), F.lit(0.0))
+
+
 def _with_total(df: DataFrame) -> DataFrame:
-    total = F.aggregate("lines", F.lit(0.0), lambda s, x: s + x["amount"])
-    return df.withColumn("total_amount", F.coalesce(F.nullif(N.safe_float(F.col("declared_total")), F.lit(0.0)), total)).drop("declared_total")
+    return df.withColumn("total_amount", F.coalesce(_declared(F.col("declared_total")), amount_of(F.col("lines")))).drop("declared_total")
 
 
 def from_json(texts: DataFrame, raw: str = "raw") -> DataFrame:
@@ -99,11 +110,20 @@ def from_json(texts: DataFrame, raw: str = "raw") -> DataFrame:
     return _with_total(out)
 
 
-def from_xml(texts: DataFrame, raw: str = "raw") -> DataFrame:
-    """One invoice for each XML text: lines under any of the usual list elements. Codes that are not 19 digits are dropped; XML that cannot be read gives no lines."""
+def xml_codes(raw: Column) -> Column:
+    """All 19-digit values of an XML text, in order."""
+    return F.regexp_extract_all(raw, F.lit(r">\s*(\d{19})\s*<"), 1)
+
+
+def from_xml(texts: DataFrame, raw: str = "raw", codes: str | None = None, total: bool = True) -> DataFrame:
+    """One invoice for each XML text: lines under any of the usual list elements. Codes that are not 19 digits are dropped; XML that cannot be read gives no lines.
+
+    codes: a column with the codes of lines that have none, instead of those in the text. Without `total` the
+    declared total stays as it is, in place of total_amount.
+    """
     header = {f: list(dict.fromkeys(names + [n.upper() for n in names if n.isascii()])) for f, names in HEADER.items()}
     layers = _layers(*header.values(), *XML_LINE.values(), XML_LISTS, XML_ROWS)
-    parsed, lines, heads = texts.withColumn("__codes", F.regexp_extract_all(F.col(raw), F.lit(r">\s*(\d{19})\s*<"), 1)), [], {f: [] for f in header}
+    parsed, lines, heads = texts.withColumn("__codes", F.col(codes) if codes else xml_codes(F.col(raw))), [], {f: [] for f in header}
     # list elements of each set meet the line fields of each set
     for k, outer in enumerate(layers):
         for j, inner in enumerate(layers):
@@ -123,7 +143,8 @@ def from_xml(texts: DataFrame, raw: str = "raw") -> DataFrame:
     digits = lambda c: F.regexp_replace(c, r"\D", "")
     best = F.transform(best, lambda v: v.withField("tax_code", F.when(F.char_length(digits(v["tax_code"])) == 19, digits(v["tax_code"]))))
     picked = [F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs], F.lit(None).cast("string")).alias(f) for f, cs in heads.items()]
-    return _with_total(parsed.select(*texts.columns, *picked, best.alias("lines")))
+    out = parsed.select(*texts.columns, *picked, best.alias("lines"))
+    return _with_total(out) if total else out
 
 
 def from_api(texts: DataFrame, raw: str = "raw") -> DataFrame:
@@ -171,31 +192,130 @@ def from_erp(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     return good, staged.where(F.col("lines").isNull()).select(*texts.columns, reason.alias("reject_reason"))
 
 
+#: Bytes of XML that are handed on at once.
+MEMBER_BYTES = 4 << 20
+
+
 def xml_members(files: DataFrame, content: str = "content") -> DataFrame:
-    """(path, member, raw): the XML members of zipped documents (path, content); files that are not zips give none."""
+    """(path, at, member, raw, reject): the XML members of zipped documents (path, content), in their order.
+
+    What cannot be read is a row with the reason in `reject` and no raw: a file that is no zip or has no XML member (at -1), a
+    member that is corrupt, locked or packed in an unknown way. Members of __MACOSX are no documents.
+    """
+
+    def members(path: str, data: bytes | None) -> Iterator[tuple]:
+        try:
+            package = zipfile.ZipFile(io.BytesIO(data or b""))
+        except (zipfile.BadZipFile, ValueError, OSError) as e:
+            yield path, -1, None, None, f"no zip: {e}"
+            return
+        names = [n for n in package.namelist() if n.lower().endswith(".xml") and "__MACOSX" not in n]
+        if not names:
+            yield path, -1, None, None, "no XML member"
+        for at, name in enumerate(names):
+            try:
+                yield path, at, name, package.read(name).decode("utf-8", "replace"), None
+            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, RuntimeError, NotImplementedError) as e:
+                yield path, at, name, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c == 1 else pa.string()) for c in range(5)], ["path", "at", "member", "raw", "reject"])
         for batch in batches:
-            rows = []
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if data and zipfile.is_zipfile(io.BytesIO(data)):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        rows += [(path, n, z.read(n).decode("utf-8", "replace")) for n in z.namelist() if n.lower().endswith(".xml")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], ["path", "member", "raw"])
-
-    return files.select("path", F.col(content).alias("content")).mapInArrow(run, "path string, member string, raw string")
+            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                rows += members(path.as_py(), data.as_py())
+                if sum(len(r[3] or "") for r in rows) > MEMBER_BYTES:
+                    yield out()
+                    rows.clear()
+        if rows:
+            yield out()
+
+    return files.select("path", F.col(content).alias("content")).mapInArrow(run, "path string, at int, member string, raw string, reject string")
+
+
+def from_packages(files: DataFrame, content: str = "content") -> DataFrame:
+    """One invoice for each zipped document (path, content), with path, and the numbers of its XML members and of those that could not be read.
+
+    Members are read in order. Of each header field the first filled one counts, of lines the first member that has any. A line
+    without a code takes that of its place among all codes up to its member; without lines, the first code makes a
+    line. The last declared total counts, with the lines' amounts on top if they come behind it; without one, their sum. Files
+    that are no zip, or hold no readable member, are invoices without lines: xml_members() names the reasons.
+    """
+    members = xml_members(files, content)
+    so_far = Window.partitionBy("path").orderBy("at")
+    members = members.withColumn("codes", F.flatten(F.collect_list(F.coalesce(xml_codes(F.col("raw")), F.array().cast("array<string>"))).over(so_far)))
+    parsed = from_xml(members, "raw", "codes", total=False).withColumn("declared", _declared(F.col("declared_total")))
+    full = F.coalesce(F.size("lines"), F.lit(0)) > 0
+    fields = [f for f in HEADER if f != "declared_total"]
+    first = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f in fields]
+    lines = [F.min_by("lines", F.when(full, F.col("at"))).alias("lines"), F.min(F.when(full, F.col("at"))).alias("lines_at")]
+    total = [F.max_by("declared", F.when(F.col("declared").isNotNull(), F.col("at"))).alias("declared"), F.max(F.when(F.col("declared").isNotNull(), F.col("at"))).alias("declared_at")]
+    counts = [F.count_if(F.col("at") >= 0).cast("int").alias("members"), F.count_if(F.col("reject").isNotNull()).cast("int").alias("rejected")]
+    whole = parsed.groupBy("path").agg(*first, *lines, *total, F.max_by("codes", "at").alias("codes"), *counts)
+    kind = parsed.schema["lines"].dataType.simpleString()
+    alone = F.array(F.struct(F.lit("").alias("name"), F.get("codes", F.lit(0)).alias("tax_code"), F.lit(0.0).alias("amount"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit"), F.lit(0.0).alias("price"))).cast(kind)
+    found = F.coalesce("lines", F.when(F.size("codes") > 0, alone), F.array().cast(kind))
+    amount = F.coalesce(amount_of(F.col("lines")), F.lit(0.0))
+    sum_ = F.when(F.col("declared").isNull(), amount).when(F.col("lines_at") > F.col("declared_at"), F.col("declared") + amount).otherwise(F.col("declared"))
+    return whole.select("path", *fields, found.alias("lines"), sum_.alias("total_amount"), "members", "rejected")
+
+
+def json_records(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """(path, raw, reject) of files with one JSON object to a line, from spark.read or spark.readStream: large files are read in parts. Blank lines are no records; a line that is no JSON object has the reason in `reject`."""
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("raw")).where("raw <> ''")
+    good = F.col("raw").startswith("{") & F.from_json("raw", "map<string,string>").isNotNull()
+    return rows.withColumn("reject", F.when(~good, F.lit("no JSON object")))
+
+
+def xml_records(reader: DataFrameReader | DataStreamReader, path: str, tag: str = "Invoice") -> DataFrame:
+    """(path, raw, reject) of files with many elements `tag`, none within another, from spark.read or spark.readStream: large files are read in parts, cut behind each end tag.
+
+    An element without its end, one that is not well-formed and text that belongs to no element have the reason in `reject`.
+    """
+    end = f"</{tag}>"
+    rows = reader.option("lineSep", end).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    pieces = F.split("value", rf"(?=<{tag}[\s>/])")  # before each start tag
+    rows = rows.select("path", F.posexplode(pieces).alias("at", "raw"), F.size(pieces).alias("of"))
+    begins, last = F.col("raw").rlike(rf"^<{tag}[\s>/]"), F.col("at") == F.col("of") - 1
+    rows = rows.select("path", F.when(begins & last, F.concat("raw", F.lit(end))).otherwise(F.col("raw")).alias("raw"), begins.alias("begins"), last.alias("last"))
+    # around the elements: declarations, comments, and tags of what encloses them
+    rows = rows.where(F.col("begins") | (F.regexp_replace("raw", r"(?s)<!--.*?-->|<[?!/]?[^<>]*>|\s+", "") != ""))
+    broken = F.from_xml("raw", "_broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})["_broken"].isNotNull()
+    reject = F.when(~F.col("begins"), F.lit(f"outside of {tag}")).when(~F.col("last"), F.lit(f"no end of {tag}")).when(broken, F.lit("not well-formed"))
+    return rows.select("path", "raw", reject.alias("reject"))
+
+
+def accepted(records: DataFrame) -> DataFrame:
+    return records.where("reject IS NULL").drop("reject")
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """The reject channel: what no invoice is made of, with the reasons."""
+    return records.where("reject IS NOT NULL")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """One invoice for each file."""
     return from_json(spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw"))
 
 
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One invoice for each line."""
+    return from_json(accepted(json_records(spark.read, path)))
+
+
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
+    """One invoice for each file."""
     return from_xml(spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw"))
 
 
+def read_xml_elements(spark: SparkSession, path: str, tag: str = "Invoice") -> DataFrame:
+    """One invoice for each element `tag`."""
+    return from_xml(accepted(xml_records(spark.read, path, tag)))
+
+
 def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    return from_xml(xml_members(spark.read.format("binaryFile").load(path)))
+    return from_packages(spark.read.format("binaryFile").load(path))
 
 
 def explode_lines(invoices: DataFrame) -> DataFrame:

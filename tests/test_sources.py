@@ -31,7 +31,66 @@ def test_xml_and_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.ofd", "w") as z:
         z.writestr("Doc/a.xml", XML)
     (tmp_path / "c.ofd").write_text("no zip")
-    assert [r.invoice_number for r in I.read_zipped(spark, str(tmp_path / "*.ofd")).collect()] == ["INV-2"]
+    got = sorted((str(r.invoice_number), len(r.lines), r.total_amount, r.rejected) for r in I.read_zipped(spark, str(tmp_path / "*.ofd")).collect())
+    assert got == [("INV-2", 2, 12.5, 0), ("None", 0, 0.0, 1)]
+
+
+def package(path, members, damage=None):
+    """A zip of members; of `damage` the bytes are changed afterwards."""
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in members:
+            z.writestr(name, text)
+    if damage:
+        path.write_bytes(path.read_bytes().replace(damage, damage[::-1], 1))
+
+
+def test_packages_of_several_members(spark, tmp_path):
+    """One invoice for each, whatever members it has; what cannot be read is named and stops nothing."""
+    items = "<FPDetail><Item><name>纸</name><amount>10.5</amount></Item><Item><name>笔</name><taxCode>1111111111111111111</taxCode><amount>2</amount></Item></FPDetail>"
+    package(tmp_path / "a.ofd", [("OFD.xml", "<OFD/>"), ("__MACOSX/._invoice.xml", XML), ("Doc_0/invoice.xml", XML)])
+    package(tmp_path / "b.ofd", [("0.xml", "<Invoice><sellerName>甲</sellerName><totalAmount>100</totalAmount><x>2222222222222222222</x></Invoice>"), ("1.xml", f"<Invoice><sellerName>乙</sellerName><fpdm>7</fpdm>{items}</Invoice>"), ("2.XML", XML)])
+    package(tmp_path / "c.ofd", [("0.xml", f"<Invoice>{items}</Invoice>"), ("1.xml", "<Invoice><totalAmount>50</totalAmount></Invoice>"), ("2.xml", "<Invoice><unreadable/></Invoice>")], b"<Invoice><unreadable/>")
+    package(tmp_path / "d.ofd", [("0.xml", "<Invoice><a>3333333333333333333</a></Invoice>"), ("1.xml", "not XML")])
+    package(tmp_path / "e.ofd", [("seal.bin", "x")])
+    (tmp_path / "f.ofd").write_bytes(b"PK, but no zip")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.ofd"))
+    got = {r.path[-5]: r for r in I.from_packages(files).collect()}
+    one = lambda k: (got[k].invoice_number, got[k].seller_name, [(x.name, x.tax_code, x.amount) for x in got[k].lines], got[k].total_amount, got[k].members, got[k].rejected)
+    assert one("a") == ("INV-2", None, [("纸", "3040101010000000000", 10.5), ("笔", None, 2.0)], 12.5, 2, 0)
+    assert one("b") == ("7", "甲", [("纸", "2222222222222222222", 10.5), ("笔", "1111111111111111111", 2.0)], 112.5, 3, 0)
+    assert one("c") == (None, None, [("纸", "1111111111111111111", 10.5), ("笔", "1111111111111111111", 2.0)], 50.0, 3, 1)
+    assert one("d") == (None, None, [("", "3333333333333333333", 0.0)], 0.0, 2, 0)
+    assert one("e") == (None, None, [], 0.0, 0, 1) and one("f") == (None, None, [], 0.0, 0, 1)
+    reasons = {(r.path[-5], r.at): r.reject.split(":")[0] for r in I.rejected(I.xml_members(files)).collect()}
+    assert reasons == {("c", 2): "BadZipFile", ("e", -1): "no XML member", ("f", -1): "no zip"}
+
+
+def test_files_of_many_invoices(spark, tmp_path):
+    """A file is read in several tasks, each invoice once, with rejects beside them; as a stream too."""
+    one = lambda k: XML.replace("INV-2", f"X{k}")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.xml").write_text("<?xml version='1.0'?>\n<!-- <b> --><Batch n='1'>\n" + "\n".join(one(k) for k in range(400)) + "<Invoice><invoiceNumber>open</invoiceNumber>" + one(900) + "</Batch>")
+    (tmp_path / "x" / "b.xml").write_text(one(901) + "<Invoice><a></Invoice> stray " + one(902) + "<InvoiceBook/>")
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text("\n".join([JSON.replace("INV-1", f"J{k}") for k in range(300)] + ["", "[1]", "{broken", "  "]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        records = I.xml_records(spark.read, str(tmp_path / "x"))
+        assert records.rdd.getNumPartitions() > 5
+        got = [r.invoice_number for r in I.read_xml_elements(spark, str(tmp_path / "x")).where("size(lines) = 2 and total_amount = 12.5").collect()]
+        assert sorted(got) == sorted(f"X{k}" for k in [*range(400), 900, 901, 902])
+        assert sorted((r.path[-5], r.reject) for r in I.rejected(records).collect()) == [("a", "no end of Invoice"), ("b", "not well-formed"), ("b", "outside of Invoice")]
+        rows = I.json_records(spark.read, str(tmp_path / "j"))
+        assert rows.rdd.getNumPartitions() > 5 and I.rejected(rows).count() == 2
+        assert sorted(r.invoice_number for r in I.read_json_lines(spark, str(tmp_path / "j")).collect()) == sorted(f"J{k}" for k in range(300))
+        for name, records, n in (("xml_seen", I.from_xml(I.accepted(I.xml_records(spark.readStream, str(tmp_path / "x")))), 403), ("json_seen", I.from_json(I.accepted(I.json_records(spark.readStream, str(tmp_path / "j")))), 300)):
+            query = records.select("invoice_number").writeStream.format("memory").queryName(name).start()
+            query.processAllAvailable()
+            query.stop()
+            assert spark.table(name).distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_facts(spark, tmp_path):
