@@ -94,12 +94,18 @@ def numbered(rows: DataFrame, name: str, key: str, leading: tuple[str, ...] = ()
 
 
 def apply_changes(products: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
-    """products (id, fields) after changes (op, id, fields): updates set the fields that are not null, deletes drop the id, inserts get ids above the largest in order of their own id."""
-    updates = changes.where("op = 'update'").select("id", *[F.col(f).alias(f"__{f}") for f in fields])
-    kept = products.join(changes.where("op = 'delete'").select("id"), "id", "left_anti").join(updates, "id", "left")
+    """products (id, fields) after changes (version, op, id, fields), as if they were made one after the other by version, a whole number of its own for each.
+
+    Updates set the fields that are not null, so that the last value of each field counts; a delete drops the id, whatever
+    updates come before or behind it; inserts get ids above the largest, in order of version. Changes of ids that
+    products has not, also of those that the inserts get, do nothing. All changes of an id meet in one aggregate, then the product: an id stays one row.
+    """
+    last = [F.max_by(f, F.when((F.col("op") == "update") & F.col(f).isNotNull(), F.col("version"))).alias(f"__{f}") for f in fields]
+    merged = changes.where("op IN ('update', 'delete')").groupBy("id").agg(F.max(F.col("op") == "delete").alias("__gone"), *last)
+    kept = products.join(merged, "id", "left").where(~F.coalesce("__gone", F.lit(False)))
     kept = kept.select("id", *[F.coalesce(f"__{f}", f).alias(f) for f in fields])
     top = products.agg(F.max("id").alias("top"))
-    added = numbered(changes.where("op = 'insert'"), "n", "id").join(F.broadcast(top), F.lit(True))
+    added = numbered(changes.where("op = 'insert'"), "n", "version").join(F.broadcast(top), F.lit(True))
     return kept.unionByName(added.select((F.coalesce("top", F.lit(0)) + F.col("n") + 1).alias("id"), *fields))
 
 

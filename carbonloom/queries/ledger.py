@@ -271,18 +271,18 @@ def a1_stats_by_scope(spark, d):
 @register(S.WITH_EMITTED + """ SELECT 'listed' AS state, scope, 2 * count(*) AS n, round(sum(emission_kg) * 2, 3) AS kg FROM emitted GROUP BY scope UNION ALL SELECT 'exported', scope, 2 * count(*), round(sum(emission_kg) * 2, 3) FROM emitted GROUP BY scope
  UNION ALL SELECT 'truncated', NULL, 2 * count(*), NULL FROM emitted UNION ALL SELECT 'left', NULL, 0, NULL""")
 def s20_s23_fact_table(spark, d):
-    """S20 two appended batches, S21 the listing, S23 its export with all fields quoted, S22 truncation."""
+    """S20 two appended batches, one of them sent twice (F15), S21 the listing, S23 its export with all fields quoted, S22 truncation."""
     path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
     rows = L.priced(emitted(spark, d)).select(F.col("invoice_id").cast("long").alias("id"), "name", "scope", "amount", "emission_kg")
-    for _ in range(2):
-        facts.append_facts(rows, path)
-    schema = "id long, name string, amount double, emission_kg double, created_at timestamp, scope string"
+    table = facts.fact_table(spark, path, "id long, name string, amount double, emission_kg double")
+    for key in ("morning", "noon", "morning"):
+        facts.append_facts(table, rows, key)
     by_scope = lambda df, state: df.groupBy(F.lit(state).alias("state"), "scope").agg(F.count("*").alias("n"), F.round(F.sum("emission_kg"), 3).alias("kg")).collect()
-    listing = facts.newest_first(facts.read_facts(spark, path, schema))
+    listing = facts.newest_first(table.read().drop("batch_key"))
     out = by_scope(listing, "listed")
     facts.write_csv(listing, f"{path}-csv")
     out += by_scope(spark.read.schema("id long, name string, amount double, emission_kg double, created_at string, scope string").csv(f"{path}-csv", header=True), "exported")
-    out += [("truncated", None, facts.truncate(spark, path, schema), None), ("left", None, facts.read_facts(spark, path, schema).count(), None)]
+    out += [("truncated", None, table.truncate(), None), ("left", None, table.read().count(), None)]
     return spark.createDataFrame([tuple(r) for r in out], "state string, scope string, n long, kg double")
 
 

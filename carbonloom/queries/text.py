@@ -371,15 +371,16 @@ def t3_sorted_products(spark, d):
     return tables.sorted_by_emission(p, "kg")
 
 
-_CHANGES = "SELECT CASE p_partkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' ELSE 'insert' END AS op, p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN concat('n', CAST(p_partkey AS STRING)) END AS p_name, p_retailprice + 1 AS p_retailprice FROM part WHERE p_partkey % 7 = 0"
+# Each line is a change of its part: many changes for each id, most of them of one field; some delete, some add a part.
+_CHANGES = "SELECT l_orderkey * 10 + l_linenumber AS version, CASE WHEN l_partkey % 11 = 0 AND l_linenumber = 3 THEN 'delete' WHEN l_linenumber = 5 THEN 'insert' ELSE 'update' END AS op, l_partkey AS id, CASE WHEN l_linenumber % 2 = 0 OR l_linenumber = 5 THEN concat('n', CAST(l_orderkey AS {s})) END AS p_name, CASE WHEN l_linenumber % 3 = 0 OR l_linenumber = 5 THEN l_extendedprice END AS p_retailprice FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_orderkey, l_linenumber) t"
 
 
-@register("""WITH c AS (SELECT p_partkey AS id, p_partkey % 3 AS op, CASE WHEN p_partkey % 2 = 0 THEN 'n' || p_partkey END AS nm, p_retailprice + 1 AS pr FROM part WHERE p_partkey % 7 = 0)
- SELECT p_partkey AS id, coalesce(nm, p_name) AS p_name, coalesce(pr, p_retailprice) AS p_retailprice FROM part LEFT JOIN c ON c.id = p_partkey AND op = 0 WHERE p_partkey NOT IN (SELECT id FROM c WHERE op = 1)
- UNION ALL SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id), nm, pr FROM c WHERE op = 2""")
+@register(f"""WITH c AS ({_CHANGES.format(s="VARCHAR")}), m AS (SELECT id, bool_or(op = 'delete') AS gone, arg_max(p_name, version) FILTER (op = 'update' AND p_name IS NOT NULL) AS nm, arg_max(p_retailprice, version) FILTER (op = 'update' AND p_retailprice IS NOT NULL) AS pr FROM c WHERE op <> 'insert' GROUP BY id)
+ SELECT p_partkey AS id, coalesce(nm, p_name) AS p_name, coalesce(pr, p_retailprice) AS p_retailprice FROM part LEFT JOIN m ON m.id = p_partkey WHERE NOT coalesce(gone, FALSE)
+ UNION ALL SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY version), p_name, p_retailprice FROM c WHERE op = 'insert'""")
 def s25_apply_changes(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), "p_name", "p_retailprice")
-    return tables.apply_changes(p, fixtures.sql(spark, d, _CHANGES), ["p_name", "p_retailprice"])
+    return tables.apply_changes(p, fixtures.sql(spark, d, _CHANGES.format(s="STRING")), ["p_name", "p_retailprice"])
 
 
 def _json(spark: SparkSession, d: str) -> DataFrame:

@@ -9,27 +9,21 @@ from pyspark.sql import types as T
 from carbonloom import dims
 from carbonloom.functions import text as X
 from carbonloom.operators import tables
+from carbonloom.sources.batches import BatchTable
 
 
-def append_facts(rows: DataFrame, path: str) -> None:
-    """Classified lines, appended by scope with their time."""
-    rows.withColumn("created_at", F.current_timestamp()).write.mode("append").partitionBy("scope").parquet(path)
+def fact_table(spark: SparkSession, path: str, schema: str) -> BatchTable:
+    """The fact table: classified lines by scope with their time, appended in batches that count once."""
+    return BatchTable(spark, path, f"{schema}, created_at timestamp, scope string", ("scope",))
 
 
-def newest_first(facts: DataFrame, key: str = "id") -> DataFrame:
-    return facts.orderBy(F.desc(key))
-
+def append_facts(table: BatchTable, rows: DataFrame, key: str) -> int:
+    """Classified lines as the batch `key` (the caller's idempotency key) with their time; the number of new rows."""
+    return table.append(rows.withColumn("created_at", F.current_timestamp()), key)
 
-def read_facts(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """The fact table, also where it has no rows (and so no file that would show its columns)."""
-    return spark.read.schema(schema).parquet(path)
 
-
-def truncate(spark: SparkSession, path: str, schema: str | T.StructType) -> int:
-    """Empty the fact table and leave it parted by scope; the number of rows that it had."""
-    n = read_facts(spark, path, schema).count()
-    spark.createDataFrame([], read_facts(spark, path, schema).schema).write.mode("overwrite").partitionBy("scope").parquet(path)
-    return n
+def newest_first(facts: DataFrame, key: str = "id") -> DataFrame:
+    return facts.orderBy(F.desc(key))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -3,12 +3,14 @@
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from carbonloom.operators import tables
 from carbonloom.plans import ledger as L
 from carbonloom.sources import facts
 from carbonloom.sources import invoices as I
+from carbonloom.sources.batches import BatchTable
 from carbonloom.streaming import lines as stream
 
 JSON = '{"invoiceNumber": "INV-1", "sellerName": " 某公司 ", "items": [{"name": "技术服务", "taxCode": "3040101010000000000", "amount": 1000, "quantity": 1, "unit": "项", "price": 1000}], "totalAmount": 1060}'
@@ -94,20 +96,67 @@ def test_files_of_many_invoices(spark, tmp_path):
 
 
 def test_facts(spark, tmp_path):
-    path = str(tmp_path / "facts")
+    table = facts.fact_table(spark, str(tmp_path / "facts"), "id long, amount double")
     rows = spark.createDataFrame([(1, "Scope 1", 2.0), (2, "Scope 3", 1.0)], "id long, scope string, amount double")
-    facts.append_facts(rows, path)
-    facts.append_facts(rows, path)
-    assert [r.id for r in facts.newest_first(spark.read.parquet(path)).collect()] == [2, 2, 1, 1]
-    schema = "id long, amount double, created_at timestamp, scope string"
-    assert facts.truncate(spark, path, schema) == 4
-    assert facts.read_facts(spark, path, schema).count() == 0
-    facts.append_facts(rows, path)
-    assert sorted((r.id, r.scope) for r in facts.read_facts(spark, path, schema).collect()) == [(1, "Scope 1"), (2, "Scope 3")]
+    assert table.read().count() == 0 and table.truncate() == 0
+    assert [facts.append_facts(table, rows, k) for k in ("a", "b", "a")] == [2, 2, 0]
+    assert [r.id for r in facts.newest_first(table.read()).collect()] == [2, 2, 1, 1]
+    assert sorted((r.id, r.batch_key) for r in table.read().collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    assert table.truncate() == 4 and table.read().count() == 0
+    assert facts.append_facts(table, rows, "b") == 0  # a key counts once for good
+    assert facts.append_facts(table, rows, "c") == 2
+    assert sorted((r.id, r.scope) for r in table.read().collect()) == [(1, "Scope 1"), (2, "Scope 3")]
+    assert table.vacuum() == 2 and table.read().count() == 2
     facts.write_csv(rows.limit(1), str(tmp_path / "csv"))
     assert '"id","scope","amount"' in spark.read.text(str(tmp_path / "csv")).first()[0]
 
 
+def test_a_batch_that_was_killed_is_repeated_once(spark, tmp_path, monkeypatch):
+    """Killed before its entry it shows nothing; repeated it stands once; two writers of one version both get through."""
+    table = BatchTable(spark, str(tmp_path / "t"), "id long")
+    rows = spark.range(5)
+    with monkeypatch.context() as m:
+        m.setattr(BatchTable, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            table.append(rows, "a")
+    assert table.read().count() == 0 and len(list((tmp_path / "t").glob("__batch=*"))) == 1
+    assert table.append(rows, "a") == 5 and table.append(rows, "a") == 0
+    # another writer takes the version between the look at the log and the entry
+    other, taken = BatchTable(spark, str(tmp_path / "t"), "id long"), []
+    look = BatchTable._next
+
+    def late(key):
+        def run(self):
+            version = look(self)
+            if not taken:
+                taken.append(version)
+                other.append(rows, key)
+            return version
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(BatchTable, "_next", late("b"))
+        assert table.append(rows, "c") == 5
+    assert sorted(r.batch_key for r in table.read().collect()) == ["a"] * 5 + ["b"] * 5 + ["c"] * 5
+    assert [r.version for r in table.log().orderBy("version").collect()] == [1, 2, 3]
+    taken.clear()
+    with monkeypatch.context() as m:
+        m.setattr(BatchTable, "_next", late("d"))
+        assert table.append(rows, "d") == 0  # the other writer's batch of the same key counts
+    assert table.read().count() == 20 and table.vacuum() == 1
+
+
+def test_a_stream_that_repeats_a_batch_adds_it_once(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), "id long")
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    for k in range(2):  # the second run has lost its checkpoint: it sends batch 0 again
+        query = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.foreachBatch(table.each_batch("lines")).option("checkpointLocation", str(tmp_path / f"c{k}")).start()
+        query.processAllAvailable()
+        query.stop()
+    assert table.read().count() == 7
+
+
 def test_catalogue_and_factor_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("产品ID,产品名称,碳足迹\nA,纸,1kgCO2e/件\nB,笔,2kgCO2e/件\n")
     out = facts.read_catalogue(spark, str(tmp_path / "c.csv")).orderBy("row_index").collect()
@@ -134,10 +183,33 @@ def test_numbers_over_stretches(spark):
     assert got == [(n, *w) for n, w in enumerate(want)]
 
 
-def test_changes_keep_ids(spark):
-    p = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
-    c = spark.createDataFrame([("update", 1, "x"), ("delete", 2, None), ("insert", 1, "n")], "op string, id long, name string")
-    assert sorted(map(tuple, tables.apply_changes(p, c, ["name"]).collect())) == [(1, "x"), (3, "n")]
+def plain_changes(products, changes, fields):
+    """Changes one after the other, by version; those of ids that only these changes make do nothing."""
+    there = {p[0] for p in products}
+    out, top = {p[0]: list(p[1:]) for p in products}, max([p[0] for p in products], default=0)
+    for _, op, i, *values in sorted(changes, key=lambda c: c[0]):
+        if op == "insert":
+            top += 1
+            out[top] = list(values)
+        elif i not in there:
+            continue
+        elif op == "delete":
+            out.pop(i, None)
+        elif i in out:
+            out[i] = [old if new is None else new for old, new in zip(out[i], values, strict=True)]
+    return sorted((i, *v) for i, v in out.items())
+
+
+def test_changes_in_order_of_version(spark):
+    """Several updates of one id, of other fields and of the same; updates before and behind a delete; ids that are not there."""
+    products = [(k, f"n{k}", float(k)) for k in range(1, 30)]
+    random.seed(9)
+    changes = [(v, random.choice(["update"] * 6 + ["delete", "insert"]), random.randint(0, 32), random.choice([None, f"v{v}"]), random.choice([None, v + 0.5])) for v in random.sample(range(500), 120)]
+    frame = spark.createDataFrame(changes, "version long, op string, id long, name string, kg double")
+    got = tables.apply_changes(spark.createDataFrame(products, "id long, name string, kg double"), frame, ["name", "kg"])
+    assert sorted(map(tuple, got.collect())) == plain_changes(products, changes, 2)
+    none = tables.apply_changes(spark.createDataFrame([], "id long, name string, kg double"), frame, ["name", "kg"])
+    assert sorted(map(tuple, none.collect())) == plain_changes([], [c for c in changes if c[1] == "insert"], 2)
 
 
 def test_stream_equals_batch(spark, tmp_path):
