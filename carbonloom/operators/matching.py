@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carbonloom import dims
@@ -18,7 +18,10 @@ def characters(text: Column) -> Column:
 
 
 def vectors(docs: DataFrame, key: str, text: str, tokens=characters) -> DataFrame:
-    """(key, token, tf): token counts."""
+    """(key, token, tf): token counts. tokens: a function of the text column, or a table (text, words) of different texts, as keywords.segmented() gives it."""
+    if isinstance(tokens, DataFrame):
+        rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(tokens, "text")
+        return rows.select(F.col("__key").alias(key), F.explode("words").alias("token")).groupBy(key, "token").agg(F.count("*").cast("double").alias("tf"))
     return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").cast("double").alias("tf"))
 
 
@@ -66,13 +69,46 @@ def candidates() -> list[tuple[int, str, str]]:
     return [(k, a, s) for k, (a, s) in enumerate(rows)]
 
 
-def fuzzy(words: DataFrame, word: str, least: float = 0.8) -> DataFrame:
-    """Distinct words with matched (standard name) and similarity: the candidate of least edit distance over length, the earliest of equals; null below `least`. The candidates are a fixed set."""
-    rows = candidates()
-    options = F.array(*[F.struct(X.similarity(F.trim(F.col(word)), F.lit(a)).alias("sim"), F.lit(-k).alias("pos"), F.lit(s).alias("standard")) for k, a, s in rows])
-    best = words.select(word).where(F.trim(word) != "").distinct().withColumn("__best", F.array_max(options))
-    good = F.col("__best.sim") >= least
-    return best.select(word, F.when(good, F.col("__best.standard")).alias("matched"), F.when(good, F.col("__best.sim")).alias("similarity"))
+def similar_pairs(words: DataFrame, word: str, candidates: DataFrame, alias: str, least: float) -> DataFrame:
+    """(word, alias, similarity) of different words and candidates whose edit distance over the greater length leaves at least `least`, above 0.5 or so.
+
+    A candidate of length l is cut into d + 1 segments, where d is the number of edits that `least` allows; a word within d
+    edits holds one of them whole, at most d places off. Segments and pieces of words meet in an equi join, by lengths
+    and the number of the segment; the distance is taken of those pairs only. Both tables may have any size.
+    """
+    edits = lambda a, b: F.floor(F.greatest(a, b) * (1.0 - least) + 1e-9).cast("int")
+    ends = lambda size, parts, k: F.floor(size * k / parts).cast("int")
+    own = words.select(F.trim(word).alias("word")).where("word <> ''").distinct().withColumn("m", F.char_length("word"))
+    known = candidates.select(F.col(alias).alias("alias")).where("alias <> ''").distinct().withColumn("l", F.char_length("alias"))
+    # lengths of the other side that can be near enough
+    own = own.select("word", "m", F.explode(F.sequence(F.ceil(F.col("m") * least - 1e-9).cast("int"), F.floor(F.col("m") / least + 1e-9).cast("int"))).alias("l"))
+    own = own.withColumn("d", edits(F.col("l"), F.col("m"))).where("abs(l - m) <= d AND l > 0")
+    wide = known.withColumn("d", F.explode(F.sequence(edits(F.col("l"), F.lit(0)), edits(F.col("l") / least, F.lit(0)))))
+    segment = wide.select("alias", "l", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
+    begin, end = ends(F.col("l"), F.col("d") + 1, F.col("k")), ends(F.col("l"), F.col("d") + 1, F.col("k") + 1)
+    segment = segment.select("alias", "l", "d", "k", F.substring("alias", begin + 1, end - begin).alias("piece"))
+    place = own.select("word", "m", "l", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k")).withColumns({"begin": begin, "size": end - begin})
+    low, high = F.greatest(F.lit(0), F.col("begin") - F.col("d")), F.least(F.col("m") - F.col("size"), F.col("begin") + F.col("d"))
+    place = place.withColumn("at", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
+    place = place.select("word", "l", "d", "k", F.substring("word", F.col("at") + 1, F.col("size")).alias("piece"))
+    met = place.join(segment, ["l", "d", "k", "piece"]).select("word", "alias").distinct()
+    return met.withColumn("similarity", X.similarity(F.col("word"), F.col("alias"))).where(F.col("similarity") >= least)
+
+
+def candidate_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(candidates(), "pos int, alias string, standard string")
+
+
+def fuzzy(words: DataFrame, word: str, least: float = 0.8, names: DataFrame | None = None) -> DataFrame:
+    """Distinct words with matched (standard name) and similarity: the candidate of least edit distance over length, the earliest of equals; null below `least`.
+
+    names: (pos, alias, standard), a table of any size; without it the standard names and their aliases.
+    """
+    names = candidate_rows(words.sparkSession) if names is None else names
+    own = words.select(word).where(F.trim(word) != "").distinct()
+    near = similar_pairs(own, word, names, "alias", least).withColumnRenamed("word", "__word").join(names, "alias")
+    best = near.groupBy("__word").agg(F.max_by(F.struct("standard", "similarity"), F.struct("similarity", -F.col("pos"))).alias("b"))
+    return own.join(best, F.trim(word) == F.col("__word"), "left").select(word, F.col("b.standard").alias("matched"), F.col("b.similarity").alias("similarity"))
 
 
 def category_of_words(matched: DataFrame, key: str, order: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from carbonloom import dims, fixtures
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
-from carbonloom.operators import airports, audit, matching, tables
+from carbonloom.operators import airports, audit, keywords, matching, tables
 from carbonloom.plans import ledger as L
 from carbonloom.plans import matcher as M
 from carbonloom.queries import sqltext as S
@@ -223,6 +223,48 @@ def x7_fuzzy(spark, d):
     return matching.fuzzy(words, "word", 0.6).join(n, "word").select("word", "matched", F.round("similarity", 6).alias("similarity"), "n")
 
 
+# Parts with words of the ledger's rules in turn, and their names once more in pieces.
+_RULED = "SELECT p_partkey, concat(p_name, ' ', coalesce(a.word, ''), '/', coalesce(b.word, '')) AS text FROM part LEFT JOIN {words} a ON a.k = p_partkey % {n} LEFT JOIN {words} b ON b.k = (p_partkey * 7) % {n}"
+_RULE_WORDS = [(k, w, False) for k, (_, _, words, _, _) in enumerate(dims.LEDGER_RULES) for w in words] + [(k, w, True) for k, (_, _, _, words, _) in enumerate(dims.LEDGER_RULES) for w in words]
+_WORD_ROWS = S.values([(n, w) for n, (_, w, _) in enumerate(_RULE_WORDS)], "k, word")
+_PART_RULES = "SELECT 1000 + min(p_size) AS rule, p_name AS word, false AS excludes FROM part GROUP BY p_name UNION ALL SELECT 1000 + p_size, p_brand, true FROM part"
+
+
+@register(f"""WITH t AS ({_RULED.format(words=_WORD_ROWS, n=len(_RULE_WORDS))}), d AS (SELECT DISTINCT text FROM t),
+ r AS (SELECT rule, word, excludes FROM {S.values([(r, w, int(x)) for r, w, x in _RULE_WORDS], "rule, word, e")} q, LATERAL (SELECT q.e = 1 AS excludes) UNION ALL {_PART_RULES}),
+ f AS (SELECT text, min(rule) AS rule FROM d JOIN r ON contains(text, word) AND NOT excludes GROUP BY text),
+ x AS (SELECT DISTINCT f.text FROM f JOIN r ON r.rule = f.rule AND r.excludes AND contains(f.text, r.word))
+ SELECT t.p_partkey, CAST(f.rule AS BIGINT) AS rule, x.text IS NOT NULL AS excluded FROM t LEFT JOIN f USING (text) LEFT JOIN x USING (text)""")
+def x1_rule_table(spark, d):
+    """X1 with the ordered rules of F1, J3 and C1 as a table, the ledger's and one for each part name: the first rule, and whether an excluding word stands beside it."""
+    fixtures.sql(spark, d, "SELECT * FROM part")
+    rules = spark.createDataFrame(_RULE_WORDS, "rule int, word string, excludes boolean").unionByName(spark.sql(_PART_RULES))
+    texts = spark.sql(_RULED.format(words=_WORD_ROWS, n=len(_RULE_WORDS)))
+    return keywords.first_rules(texts, "text", rules).select("p_partkey", "rule", "excluded")
+
+
+@register("SELECT p_partkey, list_filter(string_split(p_name, ' ') || [CAST(p_partkey AS VARCHAR) || 'x', '件'], lambda w: w <> '') AS words FROM part".replace("list_filter(", "array_to_string(list_filter(").replace("<> '')", "<> ''), '|')"))
+def x2_segmentation(spark, d):
+    """X2 words of unspaced names: the best path through the words of all names."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    texts = p.select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("")), "p_partkey", F.lit("x件")).alias("text"))
+    return texts.join(keywords.segmented(texts, "text", words), "text").select("p_partkey", F.array_join("words", "|").alias("words"))
+
+
+# Names of parts as candidates, in place of their least key; words are names with letters left out, put in or doubled.
+_FUZZY_NAMES = "SELECT min(p_partkey) AS pos, p_name AS alias, max(p_type) AS standard FROM part GROUP BY p_name"
+_FUZZY_WORDS = "SELECT DISTINCT concat(substr(p_name, 1, CAST(l_suppkey % 9 AS INT)), CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'x' WHEN 3 THEN 'el' WHEN 4 THEN ' ' WHEN 5 THEN 'zzz' ELSE substr(p_name, 2, 2) END, substr(p_name, CAST(2 + l_suppkey % 9 AS INT), 40)) AS word FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+@register(f"""WITH n AS ({_FUZZY_NAMES}), w AS (SELECT * FROM ({_FUZZY_WORDS}) WHERE trim(word) <> ''), s AS (SELECT word, standard, pos, 1 - levenshtein(trim(word), alias)::DOUBLE / greatest(length(trim(word)), length(alias)) AS sim FROM w, n),
+ b AS (SELECT word, arg_max({{'s': standard, 'v': sim}}, {{'v': sim, 'p': -pos}}) AS b FROM s WHERE sim >= 0.8 GROUP BY word) SELECT w.word, b.s AS matched, round(b.v, 6) AS similarity FROM w LEFT JOIN b USING (word)""")
+def x7_fuzzy_table(spark, d):
+    """X7, M2 with a table of candidates of any size: edit distance behind a join of segments."""
+    words, names = fixtures.sql(spark, d, _FUZZY_WORDS), fixtures.sql(spark, d, _FUZZY_NAMES)
+    return matching.fuzzy(words, "word", 0.8, names).select("word", "matched", F.round("similarity", 6).alias("similarity"))
+
+
 _TOKENS = "SELECT k, list_filter(string_split(lower(t), ''), lambda c: regexp_matches(c, '[\\w]')) AS ts FROM"
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carbonloom import dims
-from carbonloom.operators import airports, matching, search
+from carbonloom.operators import airports, keywords, matching, search
 from carbonloom.plans import ledger as L
 from carbonloom.plans import matcher as M
 from carbonloom.sources import facts
@@ -46,6 +46,71 @@ def test_fuzzy_words(spark):
         assert got[w][0] == (best[2] if best[0] >= 0.5 else None) and (got[w][0] is None or math.isclose(got[w][1], best[0]))
 
 
+@pytest.mark.parametrize("least", [0.6, 0.8, 0.95])
+def test_similar_pairs_equal_all_pairs(spark, least):
+    random.seed(10)
+    word = lambda: "".join(random.choice("abcd") for _ in range(random.randint(1, 12)))
+    names = sorted({word() for _ in range(150)})
+    words = sorted({word() for _ in range(100)} | {n[:k] + random.choice(["", "a", "xy"]) + n[k + 1 :] for n in names[::2] for k in (0, 2, 5)})
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in [*xs, None, ""]], f"{c} string")
+    got = {(r.word, r.alias): r.similarity for r in matching.similar_pairs(frame(words, "w"), "w", frame(names, "n"), "n", least).collect()}
+    want = {(w, n): 1 - plain_distance(w, n) / max(len(w), len(n)) for w in words for n in names if w}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v >= least}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_rules_of_a_table(spark, monkeypatch, most):
+    """With all words in every task, and dealt into shares."""
+    monkeypatch.setattr(keywords, "TEXT_BYTES", 300)
+    random.seed(13)
+    piece = lambda n: "".join(random.choice("ab钢é") for _ in range(random.randint(1, n)))
+    rules = [(random.randint(0, 25), piece(3), random.random() < 0.3) for _ in range(60)] + [(7, None, False), (8, "", False), (None, "a", False)]
+    texts = [(k, piece(9)) for k in range(80)] + [(k, "zz") for k in range(3)] + [(90, None), (91, ""), (92, "a"), (92, "a")]
+    got = keywords.first_rules(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(rules, "rule int, word string, excludes boolean"), most)
+    want = []
+    for i, t in texts:
+        first = min((r for r, w, x in rules if r is not None and w and not x and w in (t or "")), default=None)
+        want.append((i, t, first, first is not None and any(r == first and x and w and w in t for r, w, x in rules)))
+    assert sorted(map(str, (tuple(r[c] for c in ("id", "t", "rule", "excluded")) for r in got.collect()))) == sorted(map(str, want))
+    none = keywords.first_rules(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame([], "rule int, word string, excludes boolean"), most)
+    assert none.where("rule is not null or excluded").count() == 0 and none.count() == len(texts)
+
+
+def all_paths(text, freq, total):
+    """Every way through a text, with its weight."""
+    if not text:
+        return [(0.0, [])]
+    out = []
+    for n in range(1, len(text) + 1):
+        if text[:n] in freq or n == 1:
+            w = math.log(freq.get(text[:n], 1.0) / total)
+            out += [(w + rest, [text[:n], *words]) for rest, words in all_paths(text[n:], freq, total)]
+    return out
+
+
+def test_words_of_the_best_path(spark):
+    random.seed(14)
+    freq = {"南京": 50, "南京市": 30, "市长": 40, "长江": 45, "大桥": 35, "长江大桥": 20, "江": 5, "桥": 3, "ab": 9, "b1": 2, "steel": 7, "bolt": 6, "eel": 5}
+    texts = ["南京市长江大桥", "", " ", "abab1", "SteelBolt 42x9", "桥桥桥", "未知", "x", "a1b2c3", "南京 abc"] + ["".join(random.choice(["南京", "市", "长", "江", "大", "桥", "ab", "1"]) for _ in range(6)) for _ in range(20)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, texts[0], None]], "t string")
+    got = {r.text: r.words for r in keywords.segmented(frame, "t", spark.createDataFrame([*freq.items(), ("", 3), ("zz", 0)], "word string, freq long")).collect()}
+    assert set(got) == set(texts)
+    total = sum(freq.values())
+    for t in texts:
+        ways = all_paths(t.lower(), freq, total)
+        best = max(w for w, _ in ways)
+        merged = []
+        for _, way in [(w, p) for w, p in ways if w > best - 1e-9]:
+            out, loose = [], False
+            for x in way:
+                single = x not in freq and x.isascii() and x.isalnum()
+                out = [*out[:-1], out[-1] + x] if loose and single else [*out, x]
+                loose = single
+            merged.append([x for x in out if x.strip()])
+        assert got[t] in merged, t
+    assert got["南京市长江大桥"] == ["南京市", "长江大桥"] and got["未知"] == ["未", "知"] and got["SteelBolt 42x9"] == ["steel", "bolt", "42x9"]
+
+
 @pytest.mark.parametrize("top", [1, 3, 200])
 def test_catalogue_search_with_repeated_texts(spark, top):
     random.seed(7)
