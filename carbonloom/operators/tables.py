@@ -63,11 +63,55 @@ def answer_pairs(tokens: DataFrame) -> DataFrame:
     return pairs.unionByName(stars.select("doc_id", F.lit("").alias("question"), F.col("text").alias("answer"), last.alias("amount")).where("amount > 0"))
 
 
-def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """Rows of one page (from 1) with total, the number of all rows. The order must be total."""
-    total = rows.agg(F.count("*").alias("total"))
-    picked = rows.orderBy(*order).offset((number - 1) * size).limit(size)
-    return picked.join(F.broadcast(total), F.lit(True))
+#: Ranges that keys are counted in at once; rows of a range that are sorted to cut a page out.
+RANGES, FEW = 4096, 50_000
+
+
+def page(rows: DataFrame, key: str, number: int, size: int, descending: bool = True, ties: tuple[str, ...] = (), read: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """Rows of one page (from 1) with total, the number of all rows, in order of the whole number `key`, then of `ties`; null keys are lowest.
+
+    However deep the page, only the rows of its own range of keys are read in the end: keys are counted in at most RANGES
+    ranges, and the range in which the page begins again, until it holds FEW rows or one key. The counts (at most RANGES
+    numbers at a time) come to the driver, rows never do. If the page runs on beyond its range, the ranges that follow are read too.
+    read: gets the bounds of the range that is read, and how many of its rows stand before the page.
+    """
+    k = F.col(key).cast("long")
+    low, high, total, nulls = rows.agg(F.min(k), F.max(k), F.count("*"), F.count_if(k.isNull())).first()
+    skip = (number - 1) * size
+    order = [(F.desc if descending else F.asc)(key), *ties]
+    out = rows.withColumn("total", F.lit(total).cast("long"))
+    known = total - nulls
+    if skip >= total:
+        return out.limit(0)
+    # null keys stand at the low end
+    if low is None or (skip >= known if descending else skip + size <= nulls):
+        return out.where(k.isNull()).orderBy(*ties or [key]).offset(max(0, skip - known) if descending else skip).limit(size)
+    if not descending and skip < nulls or descending and skip + size > known:
+        return out.orderBy(*order).offset(skip).limit(size)  # the page with the last null key
+    before = skip if descending else skip - nulls
+    held = known
+    while held > FEW and low < high:
+        width = (high - low) // RANGES + 1
+        at = F.floor((k - F.lit(low)) / width) if width > 1 else k - F.lit(low)
+        counts = {r["at"]: r["n"] for r in rows.where(k.between(low, high)).groupBy(at.cast("long").alias("at")).agg(F.count("*").alias("n")).collect()}
+        # first the range with the page's first row, then on to that with its last
+        passed, begin, end, begun, seen = 0, None, None, 0, 0
+        for r in sorted(counts, reverse=descending):
+            if passed + counts[r] > before and begin is None:
+                begin, begun = r, passed
+            passed += counts[r]
+            if begin is not None:
+                end, seen = r, passed
+                if passed >= before + size or passed >= held:
+                    break
+        first, last = min(begin, end), max(begin, end)
+        shrunk = (low + first * width, min(high, low + (last + 1) * width - 1))
+        if shrunk == (low, high):
+            break
+        (low, high), before, held = shrunk, before - begun, seen - begun
+    if read is not None:
+        read.append((low, high, before))
+    return out.where(k.between(low, high)).orderBy(*order).offset(before).limit(size)
 
 
 def latest(rows: DataFrame, key: str, time: str, *ties: str) -> DataFrame:

@@ -399,7 +399,16 @@ def w4_answer_pairs(spark, d):
 def w5_page(spark, d):
     """W5 a page of a listing, T4 newest first."""
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
-    return tables.page(p, [F.desc("p_partkey")], 3, 20).select("p_partkey", "p_name", "total")
+    return tables.page(p, "p_partkey", 3, 20).select("p_partkey", "p_name", "total")
+
+
+@register("""WITH n AS (SELECT count(*) AS total FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey DESC, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, total FROM r, n WHERE k > (total * 9 // 10) // 100 * 100 AND k <= (total * 9 // 10) // 100 * 100 + 100""")
+def w5_deep_page(spark, d):
+    """W5 a page behind nine tenths of all lines: only its range of keys is read and sorted."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    number = rows.count() * 9 // 10 // 100 + 1
+    return tables.page(rows, "l_orderkey", number, 100, ties=("l_linenumber", "l_partkey", "l_suppkey"))
 
 
 @register("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM r WHERE k = 1")

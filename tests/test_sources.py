@@ -183,6 +183,32 @@ def test_numbers_over_stretches(spark):
     assert got == [(n, *w) for n, w in enumerate(want)]
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages(spark, monkeypatch, descending):
+    """Every page equals that of a sort over all rows: repeated, negative, far and null keys, one key with a third of all rows."""
+    monkeypatch.setattr(tables, "RANGES", 7)
+    monkeypatch.setattr(tables, "FEW", 12)
+    random.seed(21)
+    keys = [random.randint(-50, 400) for _ in range(60)] + [77] * 40 + [10**15, -(10**15), None, None, None]
+    rows = [(k, n) for n, k in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "k long, n int").repartition(3).cache()
+    lowest = lambda k: (k is not None, k or 0)
+    ordered = sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: lowest(r[0]), reverse=descending)
+    for number in (1, 2, 5, 6, 9, 10, 11, 12):
+        got = [tuple(r) for r in tables.page(frame, "k", number, 10, descending, ("n",)).collect()]
+        assert got == [(*r, len(rows)) for r in ordered[(number - 1) * 10 : number * 10]], number
+
+
+def test_a_deep_page_reads_one_range(spark, tmp_path):
+    spark.range(1_200_000).selectExpr("id * 3 as id").repartitionByRange(8, "id").write.parquet(str(tmp_path / "t"))
+    read = []
+    out = tables.page(spark.read.parquet(str(tmp_path / "t")), "id", 1_000_000, 1, read=read)
+    assert [r.id for r in out.collect()] == [3 * (1_200_000 - 1_000_000)]
+    (low, high, before), = read
+    assert high - low <= 3 * tables.FEW and before <= tables.FEW
+    assert f"GreaterThanOrEqual(id,{low})" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_changes(products, changes, fields):
     """Changes one after the other, by version; those of ids that only these changes make do nothing."""
     there = {p[0] for p in products}
