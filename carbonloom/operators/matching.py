@@ -125,21 +125,27 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("centroid"))
 
 
-#: Classes that a row is compared with, at most.
-MOST_CLASSES = 10_000
+#: Bytes of centroids that go to every task as one array.
+CLASS_BYTES = 8 << 20
 
 
 def nearest_centroid(rows: DataFrame, vector: str, means: DataFrame, label: str) -> DataFrame:
     """rows with nearest label and confidence: cosine to each centroid, cut to 0..1; ties go to the lower label.
 
-    The centroids, MOST_CLASSES at most, come to each row as one array: no shuffle, and repeated rows stay.
+    Up to CLASS_BYTES of centroids come to each row as one array: no shuffle. More are dealt into blocks of that size
+    by their label; each row meets each block, and the best of its blocks counts. Repeated rows stay.
     """
-    n = means.count()
-    if n > MOST_CLASSES:
-        raise ValueError(f"{n} classes are more than {MOST_CLASSES}")
-    classes = means.agg(F.collect_list(F.struct(F.col(label).alias("label"), "centroid")).alias("__classes"))
+    size = means.agg(F.coalesce(F.sum(8 * F.size("centroid")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // CLASS_BYTES))
+    packed = F.collect_list(F.struct(F.col(label).alias("label"), "centroid")).alias("__classes")
     by_class = F.transform("__classes", lambda c: F.struct(F.round(N.cosine(F.col(vector), c["centroid"]), 12).alias("sim"), (-c["label"]).alias("neg")))
-    best = rows.join(F.broadcast(classes), F.lit(True)).withColumn("__best", F.array_max(by_class))
+    if blocks == 1:
+        best = rows.join(F.broadcast(means.agg(packed)), F.lit(True)).withColumn("__best", F.array_max(by_class))
+    else:
+        placed = stored(rows.withColumn("__id", F.monotonically_increasing_id()), "centroid-rows")
+        classes = means.groupBy(F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("__block")).agg(packed)
+        met = placed.select("__id", vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")).join(classes, "__block")
+        best = placed.join(met.select("__id", F.array_max(by_class).alias("__best")).groupBy("__id").agg(F.max("__best").alias("__best")), "__id", "left")
     return best.select(*rows.columns, (-F.col("__best.neg")).alias("nearest"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__best.sim"))).alias("confidence"))
 
 

@@ -189,12 +189,12 @@ def c18_hotel(spark, d):
     return _stays(spark, d).select("invoice_id", M.hotel_kg().alias("kg"))
 
 
-@register(f"{_STAY_SQL} SELECT substr(seller, 1, 2) AS place, factor, CASE WHEN rate > 0 THEN CAST(greatest(1, floor(total / rate)) AS INT) ELSE 0 END AS nights, count(*) AS n FROM n WHERE total > 0 GROUP BY ALL")
+@register(f"{_STAY_SQL} SELECT substr(seller, 1, 2) AS place, factor, CASE WHEN rate > 0 AND total > 0 THEN CAST(greatest(1, floor(total / rate)) AS INT) ELSE -1 END AS nights, count(*) AS n FROM n GROUP BY ALL")
 def c19_hotel_nights(spark, d):
-    """J19 city and rate, J20 factor of the city, C19 nights."""
-    rows = _stays(spark, d).where("total_amount > 0")
+    """J19 city and rate, J20 factor of the city, C19 nights: none (-1) for a city without a rate or an invoice without an amount."""
+    rows = _stays(spark, d)
     nights = M.estimated_nights(F.col("total_amount"), F.col("city"))
-    return rows.groupBy(F.substring("seller_name", 1, 2).alias("place"), M.hotel_factor(F.col("city")).alias("factor"), F.coalesce(nights, F.lit(0)).alias("nights")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.substring("seller_name", 1, 2).alias("place"), M.hotel_factor(F.col("city")).alias("factor"), F.coalesce(nights, F.lit(-1)).alias("nights")).agg(F.count("*").alias("n"))
 
 
 _RIDES = """SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CASE l_partkey % 5 WHEN 0 THEN '出租车费' WHEN 1 THEN '滴滴 新能源' WHEN 2 THEN '地铁充值' WHEN 3 THEN '柴油' ELSE '打车 燃油' END AS name, CASE WHEN l_partkey % 5 = 3 THEN l_quantity END AS quantity, CASE WHEN l_partkey % 5 = 3 THEN '升' ELSE '' END AS unit, l_extendedprice AS amount, 's' AS seller_name, '' AS seller_address FROM lineitem"""

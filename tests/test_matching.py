@@ -250,6 +250,18 @@ def test_nearest_centroid_keeps_repeated_rows(spark):
     assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_centroids_in_blocks(spark, monkeypatch):
+    """More centroids than go to one task: each row meets all of them, in blocks."""
+    random.seed(15)
+    vector = lambda: [random.gauss(0, 1) for _ in range(4)]
+    rows = [(k // 2, vector()) for k in range(60)] + [(99, [0.0] * 4), (98, None)]
+    frame = spark.createDataFrame([*rows, rows[0]], "id long, v array<double>")
+    means = spark.createDataFrame([(k, vector()) for k in range(40)] + [(k + 40, [1.0, 0.0, 0.0, 0.0]) for k in range(3)], "label int, centroid array<double>")
+    whole = Counter(map(str, matching.nearest_centroid(frame, "v", means, "label").collect()))
+    monkeypatch.setattr(matching, "CLASS_BYTES", 200)
+    assert Counter(map(str, matching.nearest_centroid(frame, "v", means, "label").collect())) == whole
+
+
 def test_region_of_context(spark):
     rows = [(" 华东 ", "x", "y"), ("", "江苏省", "四川省"), (None, "", "四川省"), (None, None, None), ("", "elsewhere", "四川省")]
     frame = spark.createDataFrame(rows, "r string, s string, b string")
