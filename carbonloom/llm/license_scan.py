@@ -49,10 +49,12 @@ class Scanner:
                 times += count[cue]
         self.cue_bytes = [c.encode() for c in self.cues]
 
-    def reduction(self, block: str, name: str) -> float:
-        """The share of a block's compressed size that the template saves; block: words joined by spaces."""
-        raw = block.encode()
-        return 1 - len(self.with_dict[name].compress(raw)) / len(self.plain.compress(raw))
+    def saved(self, words: list[str], name: str) -> tuple[int, float]:
+        """The bytes by which the template as a dictionary reduces the compressed size of words, and their share of it."""
+        raw = " ".join(words).encode()
+        plain = len(self.plain.compress(raw))
+        fewer = plain - len(self.with_dict[name].compress(raw))
+        return fewer, fewer / plain
 
     def ends(self, seen: list[str], name: str) -> np.ndarray:
         """Places in `seen` where the template's wording may end: all words of it with at most the edits that it may have."""
@@ -99,14 +101,14 @@ class Scanner:
 
     def saves(self, block: list[str], name: str) -> bool:
         """Whether the template as a dictionary saves anything of a block. The shortest cannot, and are always looked for."""
-        return sum(map(len, self.words[name])) + len(self.words[name]) <= SHORT or self.reduction(" ".join(block), name) > 0
+        return sum(map(len, self.words[name])) + len(self.words[name]) <= SHORT or self.saved(block, name)[0] > 0
 
     def notices(self, words: list[str]) -> list[tuple[int, str, float, int, int]]:
         """(place of the first word, template, reduction, missing, added) of all notices in a text's words, in order.
 
         A block reaches a template's length to both sides of each of its cues. Blocks of which the template saves anything
-        are joined up where they overlap, and compared by wording. Of notices that overlap the one with most words in
-        common is taken, then the one with fewer edits, the greater reduction, the first name.
+        are joined up where they overlap, and confirmed by wording, at the place of fewest edits. Of notices that overlap the
+        one whose words its template reduces by most bytes is taken, then the one with most words in common, the first name.
         """
         spots: dict[str, list[int]] = {}
         for k, word in enumerate(words):
@@ -123,13 +125,21 @@ class Scanner:
                 elif self.saves(words[begin:end], name):
                     regions.append([begin, end])
             for begin, end in regions:
-                found |= {(begin + a, begin + b, name, missing, added) for a, b, missing, added in self.places(words[begin:end], name)}
-        ranked = sorted((missing - len(self.words[name]) + added, missing + added, -self.reduction(" ".join(words[a:b]), name), name, a, b, missing, added) for a, b, name, missing, added in found)
+                found |= {(missing + added, begin + a, begin + b, name, missing, added) for a, b, missing, added in self.places(words[begin:end], name)}
+        ranked, closest = [], {}
+        for _, a, b, name, missing, added in sorted(found):
+            # of one template's places that overlap the one with fewest edits
+            if not closest.setdefault(name, set()).isdisjoint(range(a, b)):
+                continue
+            closest[name].update(range(a, b))
+            fewer, share = self.saved(words[a:b], name)
+            ranked.append((-fewer, missing - len(self.words[name]) + added, missing + added, name, a, b, missing, added, share))
+        ranked.sort()
         out, taken = [], set()
-        for _, _, saved, name, a, b, missing, added in ranked:
+        for *_, name, a, b, missing, added, share in ranked:
             if taken.isdisjoint(range(a, b)):
                 taken.update(range(a, b))
-                out.append((a, name, -saved, missing, added))
+                out.append((a, name, share, missing, added))
         return sorted(out)
 
 

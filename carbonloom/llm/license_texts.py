@@ -62,6 +62,36 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 
-#: Identifiers of the SPDX list, for its one-line form.
-_SPDX = "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+#: Titles and names as they stand above full texts, in readme files and in mentions.
+TEMPLATES |= {
+    "AGPL-3.0-name": "GNU Affero General Public License Version 3",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "Artistic-2.0-name": "The Artistic License 2.0",
+    "BSD-2-Clause-name": "BSD 2-Clause License",
+    "BSD-3-Clause-name": "BSD 3-Clause License",
+    "CC-BY-3.0-bare": "CC BY 3.0",
+    "CC-BY-3.0-name": "Creative Commons Attribution 3.0",
+    "CC-BY-4.0-id": "CC-BY-4.0",
+    "CC-BY-SA-3.0-bare": "CC BY-SA 3.0",
+    "CC-BY-SA-3.0-name": "Creative Commons Attribution-ShareAlike 3.0",
+    "CC-BY-SA-4.0-id": "CC-BY-SA-4.0",
+    "EPL-1.0-name": "Eclipse Public License - v 1.0",
+    "EPL-2.0-name": "Eclipse Public License - v 2.0",
+    "GFDL-1.2-name": "GNU Free Documentation License, Version 1.2",
+    "GFDL-1.3-name": "GNU Free Documentation License, Version 1.3",
+    "GPL-2.0-name": "GNU General Public License Version 2",
+    "GPL-2.0-or-later-name": "GPLv2 or later",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-name": "GNU General Public License Version 3",
+    "GPL-3.0-or-later-name": "GPLv3 or later",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-name": "GNU Lesser General Public License Version 3",
+    "MIT-name": "MIT License",
+}
+
+#: Identifiers of the SPDX list, for its one-line form and for the further parts of an expression.
+_SPDX = "AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GFDL-1.3-only GFDL-1.3-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
 TEMPLATES |= {f"{x}-spdx": f"SPDX-License-Identifier: {x}" for x in _SPDX.split()}
+TEMPLATES |= {f"{x}-spdx-{w.lower()}": f"{w} {x}" for x in _SPDX.split() if any(c.isdigit() for c in x) for w in ("OR", "AND")}
+TEMPLATES["Apache-2.0-or-MIT-spdx"] = "SPDX-License-Identifier: Apache-2.0 OR MIT"

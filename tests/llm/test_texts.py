@@ -331,6 +331,13 @@ def test_license_notices(spark, odd):
         assert names(text) == name
     for text, name in [("it may be distributed under the terms of the GPL v3, or not", ["GPL-3.0-terms"]), ("# SPDX-License-Identifier: MIT", ["MIT-spdx"]), ("photo by someone, CC BY 4.0, cropped", ["CC-BY-4.0-bare"]), ("https://creativecommons.org/licenses/by/4.0/", ["CC-BY-4.0-page"])]:
         assert names(text) == name
+    for text, name in [
+        ("Apache License\nVersion 2.0, January 2004", ["Apache-2.0-title"]), ("GNU GENERAL PUBLIC LICENSE\n  Version 3", ["GPL-3.0-name"]), ("# MIT License\n\nCopyright", ["MIT-name"]), ("it is GPLv2 or later", ["GPL-2.0-or-later-name"]),
+        ("photo: CC-BY-4.0", ["CC-BY-4.0-id"]), ("Released under the BSD 3-Clause License", ["BSD-3-Clause-name"]), ("Creative Commons Attribution-ShareAlike 3.0 Unported", ["CC-BY-SA-3.0-name"]), ("Eclipse Public License - v 2.0", ["EPL-2.0-name"]),
+        ("the Artistic License 2.0", ["Artistic-2.0-name"]), ("GNU Free Documentation License, Version 1.3 or any later version", ["GFDL-1.3-name"]), ("// SPDX-License-Identifier: EPL-2.0", ["EPL-2.0-spdx"]), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["MIT-spdx", "Apache-2.0-spdx-or"]),
+        ("SPDX-License-Identifier: GPL-2.0-only AND (BSD-3-Clause OR MPL-2.0)", ["GPL-2.0-only-spdx", "BSD-3-Clause-spdx-and", "MPL-2.0-spdx-or"]),
+    ]:
+        assert names(text) == name, text
     header = license_scan.TEMPLATES["Apache-2.0-header"]
     assert names("\n".join(f"// {x}" for x in textwrap.wrap(header, 60)).replace("governing", "covering")) == ["Apache-2.0-header"]
     assert names("Copyright 2020 Someone\n\n" + textwrap.fill(license_scan.TEMPLATES["BSD-3-Clause-full"], 70).replace("COPYRIGHT HOLDERS", "REGENTS")) == ["BSD-3-Clause-full"]
