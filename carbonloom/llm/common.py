@@ -119,7 +119,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     There are as many tasks as edges ask for, EDGES_AT_ONCE to each. Each round joins up the edges that lie in one task, then
     takes a large-star and a small-star step over all; it is written out. Rounds end when each id hangs on one root,
     which one task alone reaches at once, and grow with the logarithm of the longest path. Hubs are split by
-    the adaptive skew join: no node's neighbours are gathered in one place. Null ends and loops are ignored.
+    the adaptive skew join: no node's neighbours are gathered in one place. Null ends and loops are ignored. What is returned reads a
+    table, which discard() deletes.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("v") > F.col("m")))
     tasks = max(1, -(-e.count() // EDGES_AT_ONCE))
@@ -142,4 +143,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before, e = e, joined(small.where("v > m").distinct())
         discard(before)
     roots = e.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()
-    return e.select(F.col("v").alias("id"), F.col("m").alias("component")).union(roots)
+    out = e.select(F.col("v").alias("id"), F.col("m").alias("component")).union(roots)
+    out.scratch = e.scratch
+    return out

@@ -12,7 +12,7 @@ from carbonloom.llm.common import binary_lists, components, discard, map_batches
 from carbonloom.llm.packed import PART_TEXT, bucket_count, edges_of, mixed, packed_rows, part_of, part_rows, part_texts, text_keys, unpack_shared
 
 #: 64-bit words of a text's bits; rounds in which n-grams pair their texts with one of them.
-WORDS_OF_BITS, PIVOT_ROUNDS = 32, 3
+WORDS_OF_BITS, PIVOT_ROUNDS = 32, 5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,7 +192,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         used.append(found)
         if found.where("good").isEmpty():
             break
-        groups = table(components(links.where("good").select("a", "b")), f"groups{k}")
+        old, groups = groups, components(links.where("good").select("a", "b"))
+        if old is not None:
+            discard(old)
 
     candidates = _open(prefix, groups, "prefixes-open")
     open_ = candidates.join(sets.select("id", "bits", "prefix"), "id")
@@ -207,12 +209,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     last = table(verified(rest, sets.select("id", "tokens"), percent).where("good"), "pairs-last")
     discard(candidates, sets, prefix)
     if groups is None or not last.isEmpty():
-        groups = components(links.where("good").unionByName(last).select("a", "b"))
+        old, groups = groups, components(links.where("good").unionByName(last).select("a", "b"))
+        if old is not None:
+            discard(old)
     linked = classes.join(groups, "id").select("id", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("first"))
     linked = linked.select("id", "component").join(least, "component").select("id", "first")
     of_class = table(classes.join(linked, "id", "left").select("k1", "k2", F.coalesce("first", "least").alias("component")), "shingle-groups")
-    discard(classes, last, *used)
+    discard(classes, last, groups, *used)
     out = sizes.join(of_class, ["k1", "k2"], "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

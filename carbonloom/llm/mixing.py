@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carbonloom.llm.common import WORD, table, without
+from carbonloom.llm.common import WORD, discard, table, without
 from carbonloom.sources.shared import shared_folder
 
-#: Slices of a source's documents for the rounding; each slice is numbered by itself.
-SLICES = 256
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -88,6 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0,
     slices = slices.withColumn("before", F.coalesce(F.sum("docs").over(order), F.lit(0)))
     slices = slices.join(by_source, F.col("source").eqNullSafe(F.col("of"))).select(F.col("of").alias("s"), F.col("mix_class").alias("c"), F.col("mix_slice").alias("p"), "before", "mix_source_size", "mix_target", "mix_rate")
     slices = table(slices, "mix-slices")
+    discard(stats)
     rank = F.row_number().over(Window.partitionBy("source", "mix_class", "mix_slice").orderBy("mix_hash", "doc_id", *carry))
     ranked = worded.withColumn("rank", rank).join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_class") == F.col("c")) & (F.col("mix_slice") == F.col("p")))
     i = F.col("before") + F.col("rank")
