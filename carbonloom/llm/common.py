@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,6 +49,13 @@ def binary_lists(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Hand freed memory back to the machine: Python workers live on from task to task, and what each keeps stands beside the JVM in later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str | None, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices with about `most` bytes of a string or binary column (None: `most` rows), one row at least."""
     size = np.arange(1, batch.num_rows + 1)
@@ -67,6 +76,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
             for part in slices(batch, by, most):
                 if (out := each(part)) is not None:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carbonloom.llm.common import binary_lists, slices
+from carbonloom.llm.common import binary_lists, slices, trim
 
 PACKED = "bucket int, keys binary, counts binary, hashes binary, places binary"
 #: Bytes of text whose hashes a bucket is meant for, and whose hashes a task packs at once.
@@ -113,6 +113,7 @@ def packed_rows(docs: DataFrame, each: Callable[[bytes], tuple[np.ndarray, np.nd
                 rows = list(pack(keys, counts, np.concatenate([h for h, _ in found]), places, buckets))
                 kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["bucket", "keys", "counts", "hashes", "places"])
+        trim()
 
     return docs.select(*text_keys(docs["text"]), "text").mapInArrow(run, PACKED)
 

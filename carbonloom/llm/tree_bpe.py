@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from carbonloom.llm.common import binary_lists, map_batches, slices
+from carbonloom.llm.common import binary_lists, map_batches, slices, trim
 
 #: Characters of a leaf of the tree, of a unit that is encoded at once, and of a part that is a row of its own.
 LEAF, UNIT, PART = 4096, 256, 32768
@@ -242,6 +242,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
                     yield each(own, some)
         finally:
             own.clear()  # a worker may go on to tasks of another kind
+            trim()
 
     def whole(own: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [b"".join(units) for units in own.nodes(binary_lists(batch, "text"))]
