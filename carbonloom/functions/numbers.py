@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from carbonloom import dims
-from carbonloom.functions.rules import lookup
+from carbonloom.functions.rules import let, lookup
 from carbonloom.functions.text import group
 
 _PLAIN = r"^-?(\d+\.?\d*|\.\d+)$"
@@ -14,7 +14,7 @@ _PLAIN = r"^-?(\d+\.?\d*|\.\d+)$"
 
 def number(text: Column) -> Column:
     """A plain decimal number, else null."""
-    return F.when(text.rlike(_PLAIN), text.try_cast("double"))
+    return let(text, lambda t: F.when(t.rlike(_PLAIN), t.try_cast("double")))
 
 
 def _money(text: Column) -> Column:
@@ -29,9 +29,8 @@ def amount_cny(text: Column) -> Column:
     """CNY from an amount string. Rates (13%) give null; a comma before exactly three last digits parts thousands, else it is the decimal sign."""
     s = F.trim(F.regexp_replace(_money(text), r"元\s*$", ""))
     s = F.replace(F.replace(F.replace(s, F.lit("，"), F.lit(",")), F.lit("。"), F.lit(".")), F.lit("　"), F.lit(" "))
-    comma, point = s.contains(","), s.contains(".")
-    s = F.when(comma & (point | s.rlike(r",\d{3}$")), F.regexp_replace(s, ",", "")).when(comma, F.regexp_replace(s, ",", ".")).otherwise(s)
-    return _no_rate(text, number(F.regexp_replace(s, r"[^\d.\-]", "")))
+    plain = lambda s: F.when(s.contains(",") & (s.contains(".") | s.rlike(r",\d{3}$")), F.replace(s, F.lit(","), F.lit(""))).when(s.contains(","), F.replace(s, F.lit(","), F.lit("."))).otherwise(s)
+    return _no_rate(text, number(F.regexp_replace(let(s, plain), r"[^\d.\-]", "")))
 
 
 def cell_number(text: Column) -> Column:
@@ -55,7 +54,7 @@ def label_number(text: Column) -> Column:
 
 
 def safe_float(text: Column) -> Column:
-    return F.when(F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(text).try_cast("double"))
+    return let(F.trim(text), lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double")))
 
 
 def cn_date(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,20 @@ def first_match(branches: Iterable[tuple[Column, Column]], default: Column | Non
     return (out if out is not None else F.lit(None)) if default is None else out.otherwise(default)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def apart(value: Column) -> Column:
+    """value, kept out of the code that Spark generates for a whole stage.
+
+    A long chain of rules makes that one method larger than the JVM compiles (8,000 bytes): it is then interpreted for each row,
+    with all else in the stage. Behind a lambda the chain is evaluated node by node, and the rest of the stage stays small.
+    """
+    return let(value, lambda x: x)
+
+
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     """A literal map of a fixed table."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from carbonloom import dims
-from carbonloom.functions.rules import contains_any, first_match, lookup
+from carbonloom.functions.rules import contains_any, first_match, let, lookup
 
 
 def text_of(*parts: Column) -> Column:
@@ -71,12 +71,16 @@ def clean_name(name: Column) -> Column:
 
 def iata_pair(text: Column) -> Column:
     """struct(from_code, to_code) or null: departure to arrival in Chinese, FROM to TO, AAA-BBB, then the first two different codes."""
-    t = F.upper(text)
     cn, en, dash = dims.AIRPORT_PAIRS
-    pair = lambda p: F.struct(F.regexp_extract(t, p, 1).alias("from_code"), F.regexp_extract(t, p, 2).alias("to_code"))
-    codes = F.array_distinct(F.regexp_extract_all(t, F.lit(dims.AIRPORT_CODE), 1))
-    two = F.struct(F.get(codes, 0).alias("from_code"), F.get(codes, 1).alias("to_code"))
-    return first_match([(t.rlike(cn), pair(cn)), (t.rlike(en), pair(en)), (t.rlike(dash) & (F.regexp_extract(t, dash, 1) != F.regexp_extract(t, dash, 2)), pair(dash)), (F.size(codes) >= 2, two)])
+    pair = lambda t, p: F.struct(F.regexp_extract(t, p, 1).alias("from_code"), F.regexp_extract(t, p, 2).alias("to_code"))
+    apart = lambda v: F.when(v["from_code"] != v["to_code"], v)
+    two = lambda codes: F.when(F.size(codes) >= 2, F.struct(F.get(codes, 0).alias("from_code"), F.get(codes, 1).alias("to_code")))
+
+    def found(t: Column) -> Column:
+        rest = F.coalesce(let(F.when(t.rlike(dash), pair(t, dash)), apart), let(F.array_distinct(F.regexp_extract_all(t, F.lit(dims.AIRPORT_CODE), 1)), two))
+        return first_match([(t.rlike(cn), pair(t, cn)), (t.rlike(en), pair(t, en))], rest)
+
+    return let(F.upper(text), found)
 
 
 def cabin(text: Column) -> Column:
@@ -87,7 +91,7 @@ def cabin(text: Column) -> Column:
 def bracket_region(text: Column) -> Column:
     """The first text in full-width brackets, else in plain ones; blank counts as none."""
     wide, plain = group(text, "（([^）]+)）"), group(text, r"\(([^)]+)\)")
-    return F.nullif(F.trim(F.coalesce(wide, plain)), F.lit(""))
+    return let(F.trim(F.coalesce(wide, plain)), lambda v: F.nullif(v, F.lit("")))
 
 
 def product_id(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
-from carbonloom.functions.rules import contains_any, first_match, lookup, prefixes_first
+from carbonloom.functions.rules import apart, contains_any, first_match, lookup, prefixes_first
 from carbonloom.operators.matching import contained_in
 
 _DEFAULT = ("Scope 3", "scope3_default")
@@ -97,9 +97,9 @@ def classify(lines: DataFrame, known_region: Column | None = None, flight: Colum
     ]
     if flight is not None:
         rules.insert(0, (X.is_flight_ticket(name) & F.coalesce(flight, F.lit(False)), make(three, F.lit("flight_ticket"), F.lit("cpcd_flight"))))
-    staged = lines.withColumn("__code", F.when(F.coalesce("tax_code", F.lit("")) != "", code)).withColumn("__kw", keyword)
+    staged = lines.withColumn("__code", apart(F.when(F.coalesce("tax_code", F.lit("")) != "", code))).withColumn("__kw", apart(keyword))
     result = first_match(rules, make(three, F.lit("default"), F.lit("scope3_default")))
-    return staged.withColumn("__out", result).select(*lines.columns, "__out.scope", "__out.match_type", "__out.factor_id")
+    return staged.withColumn("__out", apart(result)).select(*lines.columns, "__out.scope", "__out.match_type", "__out.factor_id")
 
 
 def _result(quantity: Column, unit: Column, kg: Column, method: str, factor: Column) -> Column:
@@ -134,7 +134,7 @@ def line_emission() -> Column:
 
 def emissions(classified: DataFrame) -> DataFrame:
     """Classified lines with emission_kg (0 where none), emission_quantity, emission_unit, method and factor_used. Flights, hotels abroad and waste have their own functions."""
-    e = classified.withColumn("__e", line_emission())
+    e = classified.withColumn("__e", apart(line_emission()))
     names = {"emission_quantity": "quantity", "emission_unit": "unit", "method": "method", "factor_used": "factor_used"}
     return e.select(*classified.columns, F.coalesce("__e.emission_kg", F.lit(0.0)).alias("emission_kg"), *[F.col(f"__e.{f}").alias(n) for n, f in names.items()])
 
@@ -162,12 +162,12 @@ def footprint_of_keyword(words: DataFrame, word: str, catalogue: DataFrame) -> D
 def hotel_abroad_emissions(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Hotel lines with a bracketed region: footprint of the region, else of any hotel, for each night; nights from quantity, else amount / 300 and at least 1."""
     with_region = lines.withColumn("region", X.bracket_region(F.col("name")))
-    found = footprint_of_keyword(with_region, "region", catalogue).withColumnRenamed("footprint", "own")
-    any_hotel = footprint_of_keyword(lines.sparkSession.createDataFrame([("酒店住宿",)], "word string"), "word", catalogue).select(F.col("footprint").alias("general"))
+    # footprints are read once for each region, not for each line
+    found = footprint_of_keyword(with_region, "region", catalogue).select("region", N.footprint_strict(F.col("footprint")).alias("own"))
+    any_hotel = footprint_of_keyword(lines.sparkSession.createDataFrame([("酒店住宿",)], "word string"), "word", catalogue).select(N.footprint_strict(F.col("footprint")).alias("general"))
     joined = with_region.join(found, "region", "left").join(any_hotel, F.lit(True), "left")
-    f = N.footprint_strict(F.coalesce("own", "general"))
     nights = F.when(F.col("quantity") > 0, F.col("quantity")).when(F.col("amount") > 0, F.greatest(F.lit(1.0), F.col("amount") / 300)).otherwise(1.0)
-    out = joined.withColumn("__f", f).where("__f.value > 0").withColumn("nights", nights)
+    out = joined.withColumn("__f", F.coalesce("own", "general")).where("__f.value > 0").withColumn("nights", nights)
     return out.select(*lines.columns, "region", "nights", F.coalesce(F.nullif("__f.unit", F.lit("")), F.lit("房·晚")).alias("emission_unit"), F.col("__f.value").alias("factor_used"), (F.col("__f.value") * F.col("nights")).alias("emission_kg"))
 
 

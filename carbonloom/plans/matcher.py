@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
-from carbonloom.functions.rules import contains_any, first_match, lookup, prefixes_first
+from carbonloom.functions.rules import apart, contains_any, first_match, let, lookup, prefixes_first
 from carbonloom.operators.matching import contained_in
 
 FACTOR_SCHEMA = "id string, name string, category string, value double, unit string, region string, year int, factor_type string, list_pos int"
@@ -38,7 +38,7 @@ def classify_scope(code: Column, name: Column) -> Column:
 def region_of(address: Column) -> Column:
     """Grid region of an address: provinces in order, then names of regions, else the whole country."""
     t = F.coalesce(address, F.lit(""))
-    return first_match([*[(t.contains(p), F.lit(r)) for p, r in dims.PROVINCE_GRIDS.items()], *[(contains_any(t, ws), F.lit(r)) for ws, r in dims.REGION_NAMES]], F.lit("全国"))
+    return apart(first_match([*[(t.contains(p), F.lit(r)) for p, r in dims.PROVINCE_GRIDS.items()], *[(contains_any(t, ws), F.lit(r)) for ws, r in dims.REGION_NAMES]], F.lit("全国")))
 
 
 def region_of_context(region: Column, seller: Column, buyer: Column) -> Column:
@@ -118,10 +118,10 @@ def match_factors(lines: DataFrame, all_factors: DataFrame) -> DataFrame:
     results = [r for _, r in rules] + [("eeio_default", "默认因子", "默认")]
     number = first_match([(c, F.lit(k)) for k, (c, _) in enumerate(rules)], F.lit(len(rules)))
     value = F.element_at(F.array(*[F.struct(F.lit(f).alias("factor_key"), F.lit(m).alias("match_type"), F.lit(r).alias("reason")) for f, m, r in results]), F.col("__k") + 1)
-    matched = lines.withColumn("__k", number).withColumn("__m", value)
+    matched = lines.withColumn("__k", apart(number)).withColumn("__m", apart(value))
     material = contains_any(name, [w for ws, *_ in dims.PHYSICAL_MATERIALS for w in ws] + [w for ws, _ in dims.EEIO_NAMES for w in ws])
     fuzzy = F.col("__m.match_type") == "默认因子"
-    confidence = confidence_score(has_quantity(), material, code != "", F.col("__m.match_type"), fuzzy)
+    confidence = let(material, lambda m: confidence_score(has_quantity(), m, code != "", F.col("__m.match_type"), fuzzy))
     keys = factor_keys(all_factors)
     national = keys.where("factor_key = 'grid:全国'").select(*[F.col(c).alias(f"__n_{c}") for c in keys.columns])
     wanted = F.when(F.col("__m.factor_key") == "grid", F.concat(F.lit("grid:"), "region")).otherwise(F.col("__m.factor_key"))

@@ -273,3 +273,22 @@ def test_factor_keys_and_waste_predicate(spark):
     assert keys["grid:华东"] == dims.GRID_IDS["华东"] and keys["fuel_coal"] == "fuel_coal" and keys["grid:全国"] == "electricity_national"
     frame = spark.createDataFrame([("waste_cat1_msw",), ("waste_cat1",), (None,)], "f string")
     assert [x[0] for x in frame.select(L.is_waste_factor(M.F.col("f"))).collect()] == [True, False, False]
+
+
+def _largest_method(frame):
+    """Bytes of the largest method that Spark generates for a frame; the JVM compiles none over 8,000."""
+    jvm = frame.sparkSession._jvm
+    stages = getattr(jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenStringSeq(frame._jdf.queryExecution().executedPlan())
+    return max([stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())], default=0)
+
+
+def test_chains_of_rules_stay_out_of_whole_stage_code(spark):
+    from pyspark.sql import functions as F
+
+    from carbonloom.plans import ledger as L
+    from carbonloom.plans import matcher as M
+
+    text = lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+    lines = spark.range(3).select(text("i").alias("invoice_id"), text("汽油").alias("name"), text("107").alias("tax_code"), text("s").alias("seller_name"), text("北京").alias("seller_address"), F.col("id").cast("double").alias("quantity"), F.col("id").cast("double").alias("amount"), text("升").alias("unit"))
+    assert 0 < _largest_method(L.emissions(L.classify(L.without_junk(lines)))) < 8000
+    assert 0 < _largest_method(lines.withColumn("region", M.region_of(F.col("seller_address")))) < 8000
