@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import lzma
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -71,6 +72,11 @@ def _schema(fields: dict[str, list[str]]) -> str:
     return ", ".join(f"`{n}` string" for names in fields.values() for n in names)
 
 
+def _holding(raw: Column, names: list[str], *more: str) -> Column:
+    """raw where it holds one of some names (or patterns) at all, else null: a schema of these names alone would find nothing in it."""
+    return F.when(raw.rlike("|".join([*more, *(re.escape(n) for n in names)])), raw)
+
+
 def harvested_codes(raw: Column) -> Column:
     """All 19-digit strings of a JSON text, in order: the k-th is the default code of the k-th line."""
     return F.regexp_extract_all(raw, F.lit(r'"\s*(\d{19})\s*"'), 1)
@@ -103,7 +109,7 @@ def from_json(texts: DataFrame, raw: str = "raw") -> DataFrame:
     rows = "array<struct<" + ", ".join(f"`{n}`: string" for ns in LINE.values() for n in ns) + ">>"
     layers = _layers(*HEADER.values(), LISTS)
     schema = lambda x: ", ".join([_schema(_within(HEADER, x)), *[f"`{n}` {rows}" for n in LISTS if n in x]]).strip(", ")
-    parsed = texts.withColumn("__codes", harvested_codes(F.col(raw))).withColumns({f"__j{k}": F.from_json(F.col(raw), schema(x)) for k, x in enumerate(layers)})
+    parsed = texts.withColumn("__codes", harvested_codes(F.col(raw))).withColumns({f"__j{k}": F.from_json(_holding(F.col(raw), sorted(x), r"\\") if k else F.col(raw), schema(x)) for k, x in enumerate(layers)})  # a backslash may spell a name
     field = lambda n: next(F.col(f"__j{k}")[n] for k, x in enumerate(layers) if n in x)
     items = F.coalesce(*[F.when(F.size(field(n)) > 0, field(n)) for n in LISTS], F.array().cast(rows))
     out = parsed.select(*texts.columns, *[first_filled(field, names).alias(f) for f, names in HEADER.items()], _lines(items, LINE, F.col("__codes")).alias("lines"))
@@ -132,8 +138,14 @@ def from_xml(texts: DataFrame, raw: str = "raw", codes: str | None = None, total
                 continue
             rows = "array<struct<" + ", ".join(f"`{n}`: string" for ns in fields.values() for n in ns) + ">>"
             schema = ", ".join([_schema(_within(header, outer)), *[f"`{n}` struct<" + ", ".join(f"`{r}`: {rows}" for r in kinds) + ">" for n in lists]])
+            # what the first set finds is found already: another one can only add what its own names bring
+            own = F.col(raw)
+            if k:
+                own = _holding(own, [*lists, *(n for names in _within(header, outer).values() for n in names)])
+            if j:
+                own = _holding(own, [n for names in fields.values() for n in names])
             x = f"__x{k}{j}"
-            parsed = parsed.withColumn(x, F.from_xml(F.col(raw), schema, {"mode": "PERMISSIVE"}))
+            parsed = parsed.withColumn(x, F.from_xml(own, schema, {"mode": "PERMISSIVE"}))
             found = F.coalesce(*[F.when(F.size(F.col(x)[n][r]) > 0, F.col(x)[n][r]) for n in lists for r in kinds])
             lines.append(_lines(found, fields, F.col("__codes")))
             for f, names in _within(header, outer).items():
@@ -321,7 +333,8 @@ def read_zipped(spark: SparkSession, path: str) -> DataFrame:
 def explode_lines(invoices: DataFrame) -> DataFrame:
     """A row for each line, with line_no from 0 and the invoice's own columns."""
     keep = [c for c in invoices.columns if c not in ("lines", "raw")]
-    return invoices.select(*keep, F.posexplode("lines").alias("line_no", "line")).select(*keep, "line_no", "line.*")
+    # posexplode() would let Spark ask for size(lines) > 0 below the parsing, which parses each text again for every mention of a field
+    return invoices.select(*keep, F.posexplode_outer("lines").alias("line_no", "line")).where("line_no IS NOT NULL").select(*keep, "line_no", "line.*")
 
 
 def header_fields(text: Column) -> Column:

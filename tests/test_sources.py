@@ -260,3 +260,20 @@ def test_stream_by_hour_leaves_out_late_lines(spark, tmp_path):
     query.stop()
     got = {(r.window.start.hour, r.scope): r.emission_kg for r in spark.table("hours").collect()}
     assert got == {(10, "Scope 1"): 3.0, (13, "Scope 2"): 20.0}  # the 8 kg of 10:30 come two batches after 13:30, too late
+
+
+def test_texts_are_parsed_once_for_each_set_of_names(spark):
+    texts = spark.range(2).select(F.concat(F.lit("<Invoice/>"), "id").alias("raw"))
+    for parse, name, n in ((I.from_xml, "from_xml", 4), (I.from_json, "from_json", 2)):
+        plan = I.explode_lines(parse(texts)).groupBy("invoice_number").count()._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert 0 < max(plan.count(name), plan.count("jsontostructs") if name == "from_json" else 0) <= n, name
+
+
+def test_spellings_of_any_set_are_found(spark):
+    """Escaped names, and lists and fields that differ from others by case alone, alone and together."""
+    line = lambda name: f"<{name}>x</{name}><Amount>2</Amount>"
+    xml = [f"<Invoice><FPDM>{k}</FPDM><{outer}><Item>{line(name)}</Item></{outer}></Invoice>" for k, (outer, name) in enumerate((o, n) for o in ("Items", "items", "FPDetail", "fpDetail", "FPMX", "fpmx") for n in ("name", "Name", "XMMC", "xmmc"))]
+    rows = I.from_xml(spark.createDataFrame([(x,) for x in xml], "raw string")).collect()
+    assert [(r.invoice_number, r.lines[0].name) for r in sorted(rows, key=lambda r: int(r.invoice_number))] == [(str(k), "x") for k in range(len(xml))]
+    json = [(r'{"fpdm": "1", "\u0066pDetail": [{"name": "x"}]}',), ('{"fpdm": "1", "FPDetail": [{"name": "x"}]}',), ('{"fpdm": "1", "fpDetail": [{"name": "x"}]}',)]
+    assert [r.lines[0].name for r in I.from_json(spark.createDataFrame(json, "raw string")).collect()] == ["x"] * 3
