@@ -292,3 +292,18 @@ def test_chains_of_rules_stay_out_of_whole_stage_code(spark):
     lines = spark.range(3).select(text("i").alias("invoice_id"), text("汽油").alias("name"), text("107").alias("tax_code"), text("s").alias("seller_name"), text("北京").alias("seller_address"), F.col("id").cast("double").alias("quantity"), F.col("id").cast("double").alias("amount"), text("升").alias("unit"))
     assert 0 < _largest_method(L.emissions(L.classify(L.without_junk(lines)))) < 8000
     assert 0 < _largest_method(lines.withColumn("region", M.region_of(F.col("seller_address")))) < 8000
+
+
+def test_small_fixed_tables_do_not_gather_their_lines(spark):
+    """The grid factors are broadcast: a join by level and name would take all lines of the country to one task."""
+    from carbonloom.queries import text as Q
+
+    plan = Q.s12_grid_factors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_amounts_are_read_once_for_each_text(spark):
+    from carbonloom.queries import text as Q
+
+    plan = Q.o1_o2_amounts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate [s#") and "]" in plan[: plan.index(",")]  # s alone is the key
