@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False)) if pattern else F.lit(False)
 
 
+def holds_any(text: Column, words: Iterable[str]) -> Column:
+    """contains_any() as comparisons of bytes, without a pattern: several times as fast and much more code. For chains that stand apart()."""
+    return reduce(Column.__or__, [text.contains(w) for w in words], F.lit(False))
+
+
 def first_match(branches: Iterable[tuple[Column, Column]], default: Column | None = None) -> Column:
     """The value of the first branch whose condition holds, else default (null)."""
     out = None
@@ -32,9 +38,10 @@ def apart(value: Column) -> Column:
     """value, kept out of the code that Spark generates for a whole stage.
 
     A long chain of rules makes that one method larger than the JVM compiles (8,000 bytes): it is then interpreted for each row,
-    with all else in the stage. Behind a lambda the chain is evaluated node by node, and the rest of the stage stays small.
+    with all else in the stage. A lambda beside the chain keeps its projection out of that method; Spark then cuts the chain into
+    small methods, which are compiled, where a chain within a lambda would be evaluated node by node.
     """
-    return let(value, lambda x: x)
+    return F.when(let(F.lit(True), lambda x: x), value)
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:

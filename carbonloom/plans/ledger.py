@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
-from carbonloom.functions.rules import apart, contains_any, first_match, lookup, prefixes_first
+from carbonloom.functions.rules import apart, contains_any, first_match, holds_any, lookup, prefixes_first
 from carbonloom.operators.matching import contained_in
 
 _DEFAULT = ("Scope 3", "scope3_default")
@@ -67,7 +67,7 @@ def by_keywords(text: Column) -> Column:
     rules = []
     for scope, _, words, excluded, factor in dims.LEDGER_RULES:
         value = make(scope, factor)
-        rules.append((contains_any(text, words), F.when(contains_any(text, excluded), make(*_DEFAULT)).otherwise(value) if excluded else value))
+        rules.append((holds_any(text, words), F.when(holds_any(text, excluded), make(*_DEFAULT)).otherwise(value) if excluded else value))
     return first_match(rules, make(*_DEFAULT))
 
 
