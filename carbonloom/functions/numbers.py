@@ -140,8 +140,9 @@ def activity_unit(unit: Column) -> Column:
 
 def factor_quantity(quantity: Column, unit: Column, factor_unit: Column) -> Column:
     """A quantity in the factor's unit; only MWh and kWh convert, other units pass as they are."""
-    own, to = activity_unit(unit), F.regexp_extract(factor_unit, "/(.+)$", 1)
-    return F.when((own == "MWh") & (to == "kWh"), quantity * 1000).when((own == "kWh") & (to == "MWh"), quantity / 1000).otherwise(quantity)
+    into = lambda to: let(activity_unit(unit), lambda own: F.when((own == "MWh") & (to == "kWh"), quantity * 1000).when((own == "kWh") & (to == "MWh"), quantity / 1000).otherwise(quantity))
+    # the unit is read only where it can matter
+    return let(F.regexp_extract(factor_unit, "/(.+)$", 1), lambda to: F.when(to.isin("kWh", "MWh"), into(to)).otherwise(quantity))
 
 
 def positional_amounts(nums: Column) -> Column:

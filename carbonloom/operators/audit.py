@@ -19,14 +19,18 @@ def source_trace(source: Column, year: Column, unit: Column) -> Column:
 
 def trails(items: DataFrame, run_id: str) -> DataFrame:
     """One trail for each invoice of calculated items: steps with input, output, rule and confidence, the result as JSON, distinct sources, and an id that is the same at each run of run_id."""
+    # lines are gathered with each value once, in the order that their steps would have; the steps are made from the sorted lines
+    line = F.struct("name", F.col("factor_scope").cast("string").alias("scope"), "confidence", "factor_id", "reason", F.round("emissions", 4).cast("string").alias("kg"), "method", "category")
     step = lambda name, put, out, rule, conf: F.struct(F.lit(name).alias("step"), put.alias("input"), out.alias("output"), rule.alias("rules"), conf.alias("confidence"))
-    line = F.array(
-        step("classify", F.col("name"), F.col("factor_scope").cast("string"), F.lit("税号前缀"), F.col("confidence")),
-        step("match", F.col("name"), F.col("factor_id"), F.col("reason"), F.col("confidence")),
-        step("calculate", F.col("factor_id"), F.round("emissions", 4).cast("string"), F.col("method"), F.col("confidence")),
+    steps = lambda x: F.array(
+        step("classify", x["name"], x["scope"], F.lit("税号前缀"), x["confidence"]),
+        step("match", x["name"], x["factor_id"], x["reason"], x["confidence"]),
+        step("calculate", x["factor_id"], x["kg"], x["method"], x["confidence"]),
     )
-    source = factor_provenance(F.col("category"), F.col("factor_id"), F.lit("内置/未知"), F.col("factor_id"))
-    grouped = items.groupBy("invoice_id").agg(F.flatten(F.array_sort(F.collect_list(line))).alias("steps"), F.sum("emissions").alias("total"), F.array_sort(F.collect_set(source)).alias("data_sources"))
+    source = lambda x: factor_provenance(x["category"], x["factor_id"], F.lit("内置/未知"), x["factor_id"])
+    gathered = items.groupBy("invoice_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum("emissions").alias("total"))
+    factors = F.array_distinct(F.transform("lines", lambda x: F.struct(x["category"].alias("category"), x["factor_id"].alias("factor_id"))))
+    grouped = gathered.select("invoice_id", F.flatten(F.transform("lines", steps)).alias("steps"), "total", F.array_sort(F.array_distinct(F.transform(factors, source))).alias("data_sources"))
     result = F.to_json(F.struct(F.round("total", 2).alias("total")))
     return grouped.select(F.sha2(F.concat_ws("|", "invoice_id", F.lit(run_id)), 256).alias("id"), "invoice_id", "steps", result.alias("final_result"), "data_sources")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carbonloom import dims
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
-from carbonloom.functions.rules import apart, contains_any, first_match, let, lookup, prefixes_first
+from carbonloom.functions.rules import apart, contains_any, first_match, holds_any, lookup, prefixes_first
 from carbonloom.operators.matching import contained_in
 
 FACTOR_SCHEMA = "id string, name string, category string, value double, unit string, region string, year int, factor_type string, list_pos int"
@@ -38,7 +38,7 @@ def classify_scope(code: Column, name: Column) -> Column:
 def region_of(address: Column) -> Column:
     """Grid region of an address: provinces in order, then names of regions, else the whole country."""
     t = F.coalesce(address, F.lit(""))
-    return apart(first_match([*[(t.contains(p), F.lit(r)) for p, r in dims.PROVINCE_GRIDS.items()], *[(contains_any(t, ws), F.lit(r)) for ws, r in dims.REGION_NAMES]], F.lit("全国")))
+    return apart(first_match([*[(t.contains(p), F.lit(r)) for p, r in dims.PROVINCE_GRIDS.items()], *[(holds_any(t, ws), F.lit(r)) for ws, r in dims.REGION_NAMES]], F.lit("全国")))
 
 
 def region_of_context(region: Column, seller: Column, buyer: Column) -> Column:
@@ -107,25 +107,25 @@ def match_factors(lines: DataFrame, all_factors: DataFrame) -> DataFrame:
     rules = []
     for words, material, category, units in dims.PHYSICAL_MATERIALS:
         key = "grid" if category == "电力" else _MATERIAL_FACTOR[material]
-        rules.append((has_quantity() & contains_any(name, words) & contains_any(unit, [u.lower() for u in units]), (key, "物理因子", f"物料 {words[0]}")))
+        rules.append((has_quantity() & holds_any(name, words) & holds_any(unit, [u.lower() for u in units]), (key, "物理因子", f"物料 {words[0]}")))
     rules += [
         ((code != "") & code.rlike("^[1-4]"), ("fuel_coal", "物理因子", "税号 燃料")),
         ((code != "") & code.startswith("5"), ("grid", "物理因子", "税号 电力")),
         (code != "", ("eeio_paper", "EEIO因子", "税号 行业")),
     ]
-    rules += [((F.col("amount") > 0) & contains_any(name, words), (dims.EEIO_INDUSTRIES[industry], "EEIO因子", f"关键词 {words[0]}")) for words, industry in dims.EEIO_NAMES]
+    rules += [((F.col("amount") > 0) & holds_any(name, words), (dims.EEIO_INDUSTRIES[industry], "EEIO因子", f"关键词 {words[0]}")) for words, industry in dims.EEIO_NAMES]
     # the number of the rule first, then its values by that number: each condition stands in the plan once
     results = [r for _, r in rules] + [("eeio_default", "默认因子", "默认")]
     number = first_match([(c, F.lit(k)) for k, (c, _) in enumerate(rules)], F.lit(len(rules)))
     value = F.element_at(F.array(*[F.struct(F.lit(f).alias("factor_key"), F.lit(m).alias("match_type"), F.lit(r).alias("reason")) for f, m, r in results]), F.col("__k") + 1)
-    matched = lines.withColumn("__k", apart(number)).withColumn("__m", apart(value))
-    material = contains_any(name, [w for ws, *_ in dims.PHYSICAL_MATERIALS for w in ws] + [w for ws, _ in dims.EEIO_NAMES for w in ws])
+    material = holds_any(name, dict.fromkeys(w for ws, *_ in (*dims.PHYSICAL_MATERIALS, *dims.EEIO_NAMES) for w in ws))
+    matched = lines.withColumns({"__k": apart(number), "__known": apart(material)}).withColumn("__m", apart(value))
     fuzzy = F.col("__m.match_type") == "默认因子"
-    confidence = let(material, lambda m: confidence_score(has_quantity(), m, code != "", F.col("__m.match_type"), fuzzy))
+    confidence = confidence_score(has_quantity(), F.col("__known"), code != "", F.col("__m.match_type"), fuzzy)
     keys = factor_keys(all_factors)
     national = keys.where("factor_key = 'grid:全国'").select(*[F.col(c).alias(f"__n_{c}") for c in keys.columns])
     wanted = F.when(F.col("__m.factor_key") == "grid", F.concat(F.lit("grid:"), "region")).otherwise(F.col("__m.factor_key"))
-    out = matched.withColumn("confidence", confidence).withColumn("factor_key", wanted).join(keys, "factor_key", "left").join(F.broadcast(national), F.lit(True), "left")
+    out = matched.withColumn("confidence", confidence).withColumn("factor_key", wanted).join(F.broadcast(keys), "factor_key", "left").join(F.broadcast(national), F.lit(True), "left")
     pick = lambda c: F.coalesce(c, F.when(F.startswith("factor_key", F.lit("grid:")), F.col(f"__n_{c}"))).alias(c)
     return out.select(*lines.columns, *[pick(c) for c in ("factor_id", "value", "factor_unit", "category", "factor_type")], "__m.match_type", "confidence", "__m.reason")
 
