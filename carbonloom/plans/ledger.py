@@ -10,6 +10,7 @@ from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
 from carbonloom.functions.rules import apart, contains_any, first_match, holds_any, lookup, prefixes_first
 from carbonloom.operators.matching import contained_in
+from carbonloom.sources.shared import stored
 
 _DEFAULT = ("Scope 3", "scope3_default")
 
@@ -194,8 +195,9 @@ def is_waste_factor(factor_id: Column) -> Column:
 def waste_emissions(lines: DataFrame, products: DataFrame, intensity: DataFrame) -> DataFrame:
     """The lines with a waste factor: mass by the product's unit weight times the blended intensity, else the amount times the waste factor; else null."""
     lines = lines.where(is_waste_factor(F.col("factor_id")))
-    weight = products_by_name(lines, "name", products).select("name", F.col("product.unit_weight_kg").alias("unit_weight_kg"))
-    joined = lines.join(weight, "name", "left").join(intensity, "factor_id", "left")
+    # both sides have few different keys: once their sizes are known, small tables are broadcast and lines stay where they are
+    weight = stored(products_by_name(lines, "name", products).select("name", F.col("product.unit_weight_kg").alias("unit_weight_kg")), "waste-weights")
+    joined = lines.join(weight, "name", "left").join(stored(intensity, "waste-intensity"), "factor_id", "left")
     mass = F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(1.0) * F.col("unit_weight_kg") / 1000
     rate = dims.scene_factor("waste")
     kg = F.when(F.col("unit_weight_kg") > 0, mass * F.coalesce("kg_per_tonne", F.lit(0.0))).when(F.col("amount") > 0, F.col("amount") * rate)
