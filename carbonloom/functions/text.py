@@ -73,12 +73,14 @@ def iata_pair(text: Column) -> Column:
     """struct(from_code, to_code) or null: departure to arrival in Chinese, FROM to TO, AAA-BBB, then the first two different codes."""
     cn, en, dash = dims.AIRPORT_PAIRS
     pair = lambda t, p: F.struct(F.regexp_extract(t, p, 1).alias("from_code"), F.regexp_extract(t, p, 2).alias("to_code"))
-    apart = lambda v: F.when(v["from_code"] != v["to_code"], v)
+    # a match of `dash` begins with one code and ends with the other
+    ends = lambda m: F.when((m != "") & (F.left(m, F.lit(3)) != F.right(m, F.lit(3))), F.struct(F.left(m, F.lit(3)).alias("from_code"), F.right(m, F.lit(3)).alias("to_code")))
     two = lambda codes: F.when(F.size(codes) >= 2, F.struct(F.get(codes, 0).alias("from_code"), F.get(codes, 1).alias("to_code")))
 
     def found(t: Column) -> Column:
-        rest = F.coalesce(let(F.when(t.rlike(dash), pair(t, dash)), apart), let(F.array_distinct(F.regexp_extract_all(t, F.lit(dims.AIRPORT_CODE), 1)), two))
-        return first_match([(t.rlike(cn), pair(t, cn)), (t.rlike(en), pair(t, en))], rest)
+        rest = F.coalesce(let(F.regexp_extract(t, dash, 0), ends), let(F.array_distinct(F.regexp_extract_all(t, F.lit(dims.AIRPORT_CODE), 1)), two))
+        # the words that a pattern needs are looked for first
+        return first_match([((t.contains("出发") | t.contains("起飞")) & t.rlike(cn), pair(t, cn)), (t.contains("FROM") & t.rlike(en), pair(t, en))], rest)
 
     return let(F.upper(text), found)
 
