@@ -63,10 +63,11 @@ def is_certificate(name: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """One line; cut at a certificate mark after the sixth character; unit and spec tokens dropped unless nothing is left."""
-    s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
-    cut = first_match([(F.instr(s, sep) > 6, F.trim(F.substring(s, F.lit(1), F.instr(s, sep) - 1))) for sep in dims.CERTIFICATE_CUTS], s)
-    kept = F.array_join(F.filter(F.split(cut, " "), lambda p: ~(is_unit_only(p) | is_spec(p))), " ")
-    return F.coalesce(F.nullif(kept, F.lit("")), cut)
+    cut = lambda s: first_match([(F.instr(s, sep) > 6, F.trim(F.substring(s, F.lit(1), F.instr(s, sep) - 1))) for sep in dims.CERTIFICATE_CUTS], s)
+    kept = lambda c: F.array_join(F.filter(F.split(c, " "), lambda p: ~(is_unit_only(p) | is_spec(p))), " ")
+    # a single token stays, whatever it is
+    tidy = lambda c: F.when(c.contains(" "), F.coalesce(let(kept(c), lambda k: F.nullif(k, F.lit(""))), c)).otherwise(c)
+    return let(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), lambda s: let(cut(s), tidy))
 
 
 def iata_pair(text: Column) -> Column:
