@@ -20,23 +20,37 @@ SURE, SURE_SPELLED = 0.55, 0.42
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    """Characters of a that b lacks match nothing, whichever they are: what is alike but for them is rated once in a batch."""
+    matchers, known, out = {y: (difflib.SequenceMatcher(None, "", y), set(y)) for y in b.unique()}, {}, []
+    for x, y in zip(a, b, strict=True):
+        matcher, own = matchers[y]
+        form = "".join([c if c in own else "\0" for c in x])
+        if (form, y) not in known:
+            matcher.set_seq1(x)
+            known[form, y] = matcher.ratio()
+        out.append(known[form, y])
+    return pd.Series(out, dtype="float64")
 
 
 def letters(key: Column) -> Column:
-    """The characters of a key, each with the number of its occurrence: what two keys share of them bounds what they can match."""
+    """The characters of a key as numbers, each with the number of its occurrence: what two keys share of them bounds what they can match."""
     ordered = F.array(F.array_sort(F.filter(F.split(key, ""), lambda c: c != "")))
-    return F.flatten(F.transform(ordered, lambda s: F.transform(s, lambda c, k: F.concat(c, (k - F.array_position(s, c) + 1).cast("string")))))
+    return F.flatten(F.transform(ordered, lambda s: F.transform(s, lambda c, k: F.ascii(c) * F.lit(1 << 31) + k - F.array_position(s, c) + 1)))
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """The greatest ratio of matching characters that keys a and b can have: twice their common letters over both lengths."""
-    return 2.0 * F.size(F.array_intersect(letters(a), letters(b))) / (F.char_length(a) + F.char_length(b))
+def lettered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with the letters of a key beside it, taken once for each row and not for each pair."""
+    return rows.withColumn(f"{key}_letters", letters(F.col(key)))
+
+
+def ratio_bound(a: str, b: str) -> Column:
+    """The greatest ratio of matching characters that keys of lettered() columns a and b can have: twice their common letters over both lengths."""
+    return 2.0 * F.size(F.array_intersect(f"{a}_letters", f"{b}_letters")) / (F.char_length(a) + F.char_length(b))
 
 
 def _rated(pairs: DataFrame, top: int) -> DataFrame:
-    """(key, name_key, score): of pairs (key, name_key) at least those with the `top` best ratios of a key. The pairs of greatest bound are rated first; of the others only those whose bound reaches the last of these."""
-    bounded = stored(pairs.select("key", "name_key", ratio_bound(F.col("key"), F.col("name_key")).alias("bound")), "airport-bounds")
+    """(key, name_key, score): of pairs (key, name_key, bound) at least those with the `top` best ratios of a key. The pairs of greatest bound are rated first; of the others only those whose bound reaches the last of these."""
+    bounded = stored(pairs.select("key", "name_key", "bound"), "airport-bounds")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("bound"), "name_key"))
     placed = bounded.withColumn("place", place)
     first = stored(placed.where(F.col("place") <= top).withColumn("score", _ratio("key", "name_key")).select("key", "name_key", "score"), "airport-first")
@@ -52,22 +66,23 @@ def most_similar(keys: DataFrame, names: DataFrame, top: int, met: list[int] | N
     ratio: with the ratios of a few names first, the index gives all names that can still get among the best.
     met: gets the number of pairs that are rated.
     """
-    tokens = lambda rows, key, by: rows.select(by, F.explode(letters(F.col(key))).alias("token")).withColumn("tf", F.lit(1.0))
-    names = stored(names.where("name_key <> ''").select("name_key").distinct().withColumn("id", F.monotonically_increasing_id()), "airport-names")
-    index = search.built(tokens(names, "name_key", "id"))
-    queries = search.asked(tokens(keys.where("key <> ''").select(F.col("key").alias("query")).distinct(), "query", "query"), index)
-    named = lambda pairs: pairs.join(names, "id").select(F.col("query").alias("key"), "name_key")
+    tokens = lambda rows, by, key: rows.select(by, F.explode(f"{key}_letters").alias("token"), F.lit(1.0).alias("tf"))
+    names = stored(lettered(names.where("name_key <> ''").select("name_key").distinct(), "name_key").withColumn("id", F.monotonically_increasing_id()), "airport-names")
+    keys = stored(lettered(keys.where("key <> ''").select("key").distinct(), "key"), "airport-keys")
+    index = search.built(tokens(names, "id", "name_key"))
+    queries = search.asked(tokens(keys.withColumn("query", F.col("key")), "query", "key"), index)
+    named = lambda pairs: pairs.withColumnRenamed("query", "key").join(names, "id").join(keys, "key").select("key", "name_key", ratio_bound("key", "name_key").alias("bound"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))
     floors = _rated(named(search.first_pairs(queries, index)), top).withColumn("place", place).where(F.col("place") == top)
     floors = queries.terms.select("query").join(floors.select(F.col("key").alias("query"), F.col("score").alias("floor")), "query", "left").select("query", F.coalesce("floor", F.lit(0.0)).alias("floor"))
     floors = stored(floors, "airport-floors")
-    pairs = named(search.reaching(queries, index, floors)).join(floors.withColumnRenamed("query", "key"), "key").where(ratio_bound(F.col("key"), F.col("name_key")) >= F.col("floor") - search.SLACK)
+    pairs = named(search.reaching(queries, index, floors)).join(floors.withColumnRenamed("query", "key"), "key").where(F.col("bound") >= F.col("floor") - search.SLACK)
     if met is not None:
         met.append(pairs.count())
-    found = stored(_rated(pairs.select("key", "name_key"), top), "airport-rated")
+    found = stored(_rated(pairs, top), "airport-rated")
     index.delete()
     queries.delete()
-    forget(floors, names)
+    forget(floors, names, keys)
     return found
 
 
@@ -78,11 +93,13 @@ def suggestions(keys: DataFrame, airports: DataFrame, top: int) -> DataFrame:
     those without a letter in common, whose score is 0.
     """
     ports = airports.where("name_key <> ''").select("pos", "iata_code", "name_key", "muni_key")
-    keys = keys.where("key <> ''").select("key").distinct()
-    near = contained_in(keys, F.substring("key", 1, 4), ports.select("name_key", "muni_key"), F.col("muni_key")).select("key", "name_key").distinct()
-    near = stored(near, "airport-near")
+    keys = stored(keys.where("key <> ''").select("key").distinct(), "airport-keys")
+    near = contained_in(lettered(keys, "key"), F.substring("key", 1, 4), lettered(ports.select("name_key", "muni_key"), "name_key"), F.col("muni_key"))
+    near = stored(near.select("key", "name_key", ratio_bound("key", "name_key").alias("bound")).distinct(), "airport-near")
     alone = keys.join(near.select("key").distinct(), "key", "left_anti")
-    rated = stored(_rated(near, top).unionByName(most_similar(alone, ports, top)), "airport-all")
+    best = most_similar(alone, ports, top)
+    rated = stored(_rated(near, top).unionByName(best), "airport-all")
+    forget(best)
     # only names in the same town are compared; those of equal names elsewhere are not
     local = contained_in(keys, F.substring("key", 1, 4), ports, F.col("muni_key")).join(rated, ["key", "name_key"]).select("key", "pos", "iata_code", "score")
     far = rated.join(alone, "key").join(ports, "name_key").select("key", "pos", "iata_code", "score")
@@ -94,7 +111,7 @@ def suggestions(keys: DataFrame, airports: DataFrame, top: int) -> DataFrame:
 
 def suggest(inputs: DataFrame, name: str, airports: DataFrame, top: int = 3, sure: float = SURE_SPELLED) -> DataFrame:
     """(name, iata_code, rank, score, answered) of each distinct name: the most similar airports, at any score. answered says whether the best one reaches `sure`; otherwise they are suggestions with an error."""
-    names = inputs.select(name).distinct().withColumn("key", X.match_key(F.col(name)))
+    names = stored(inputs.select(name).distinct().withColumn("key", X.match_key(F.col(name))), "airport-asked")
     found = suggestions(names, airports, top).withColumn("answered", F.max("score").over(Window.partitionBy("key")) >= sure)
     return names.join(found, "key").select(name, "iata_code", "rank", "score", "answered")
 
@@ -119,9 +136,9 @@ def resolve(inputs: DataFrame, name: str, airports: DataFrame, aliases: DataFram
     found = names.join(iata, "__upper", "left").join(ident, "__upper", "left").join(alias, "__alias", "left")
     found = stored(found.select(name, "key", "__spelled", "by_iata", "by_ident", "by_alias"), "airport-asked")
     open_ = found.where(F.coalesce("by_iata", "by_ident", "by_alias").isNull())
-    near = contained_in(open_.where("key <> ''").select("key").distinct(), F.substring("key", 1, 6), ports.where("name_key <> ''"), F.col("muni_key"))
-    near = stored(near.select("key", "pos", "iata_code", "name_key"), "airport-near")
-    rated = near.join(_rated(near.select("key", "name_key").distinct(), 1), ["key", "name_key"])
+    near = contained_in(lettered(open_.where("key <> ''").select("key").distinct(), "key"), F.substring("key", 1, 6), lettered(ports.where("name_key <> ''"), "name_key"), F.col("muni_key"))
+    near = stored(near.select("key", "pos", "iata_code", "name_key", ratio_bound("key", "name_key").alias("bound")), "airport-near")
+    rated = near.join(_rated(near.select("key", "name_key", "bound").distinct(), 1), ["key", "name_key"])
     best = rated.groupBy("key").agg(F.max_by(F.struct("iata_code", "score"), F.struct("score", -F.col("pos"))).alias("near"))
     tried = found.join(stored(best, "airport-best"), "key", "left")
     by_name = F.when(F.col("near.score") >= least, F.col("near.iata_code"))

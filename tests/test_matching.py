@@ -224,6 +224,28 @@ def test_airports_by_similarity(spark, seed):
     assert suggested == want
 
 
+def test_suggestions_read_inputs_once(spark):
+    """Inputs are read once, however often their keys are used, with the suggestions of the plain version, also for keys that differ in characters of no airport only."""
+    ports = [("AAA", "Z1", "Norway City", "Norway", "US", 1.0, 2.0, 0), ("BBB", "Z2", "Gate 7 Airport", "Gate 7", "US", 1.0, 2.0, 1), ("CCC", "Z3", "Lima Field", "Lima 5", "US", 1.0, 2.0, 2), ("DDD", "Z4", "é Town", "Arno", "US", 1.0, 2.0, 3), ("EEE", "Z5", "Norway City", "Oslo", "US", 1.0, 2.0, 4), ("FFF", "Z6", "Norway " + "a1 b" * 60, "Far", "US", 1.0, 2.0, 5)]
+    frame, plain, key = port_frame(spark, ports)
+    asked = [f"Nowhere {k}" for k in range(100, 160)] + [f"lima{k}" for k in range(8)] + [f"9{k} norway" for k in range(5)] + ["norw q1", "norw q2", "5", "88", "zz", "ima5", "777 gate", "faraway a1ba1b"]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        read.add(1)
+        return name
+
+    rows = spark.createDataFrame([(n,) for n in asked], "raw string").select(counted("raw").alias("name"))
+    got = {(r.name, r.iata_code, r["rank"], r.score, r.answered) for r in airports.suggest(rows, "name", frame).collect()}
+    want = set()
+    for n in asked:
+        top = plain_suggestions(key(n), plain, 3)
+        want |= {(n, code, k, s, top[0][1] >= 0.42) for k, (code, s) in enumerate(top, 1)}
+    assert got == want
+    assert read.value == len(asked)
+
+
 def test_similar_names_are_found_without_rating_all_pairs(spark, monkeypatch):
     """The best ratios over all names, from a small part of the pairs."""
     monkeypatch.setattr(search, "FIRST_READ", 32)
