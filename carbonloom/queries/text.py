@@ -485,6 +485,10 @@ def _zip(batches):
     for batch in batches:
         paths, contents = [], []
         for key, raw in zip(batch.column("o_orderkey").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            paths.append(str(key))
+            if key % 7 == 0:
+                contents.append(b"no zip")
+                continue
             head, lines = raw.split("<FPDetail>")
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w") as z:
@@ -500,8 +504,7 @@ def _zip(batches):
             data = buffer.getvalue()
             if key % 3 == 0:
                 data = data.replace(b"<Invoice><sellerName>broken", b"<Invoice><sellerName>BROKEN", 1)  # its checksum is wrong now
-            paths.append(str(key))
-            contents.append(b"no zip" if key % 7 == 0 else data)
+            contents.append(data)
         yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
 
 

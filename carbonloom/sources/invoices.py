@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from carbonloom.functions import numbers as N
 from carbonloom.functions import text as X
+from carbonloom.functions.rules import let
 
 # Spellings of each field, the first that is filled counts.
 HEADER = {
@@ -129,6 +130,8 @@ def from_xml(texts: DataFrame, raw: str = "raw", codes: str | None = None, total
     """
     header = {f: list(dict.fromkeys(names + [n.upper() for n in names if n.isascii()])) for f, names in HEADER.items()}
     layers = _layers(*header.values(), *XML_LINE.values(), XML_LISTS, XML_ROWS)
+    if texts.sparkSession.conf.get("spark.sql.caseSensitive") == "false":
+        layers = layers[:1]  # names are found whatever their case: the first set has all of them
     parsed, lines, heads = texts.withColumn("__codes", F.col(codes) if codes else xml_codes(F.col(raw))), [], {f: [] for f in header}
     # list elements of each set meet the line fields of each set
     for k, outer in enumerate(layers):
@@ -151,9 +154,8 @@ def from_xml(texts: DataFrame, raw: str = "raw", codes: str | None = None, total
             for f, names in _within(header, outer).items():
                 heads[f] += [F.col(x)[n] for n in names]
     named = lambda a: F.exists(a, lambda v: v["name"].isNotNull() | (v["amount"] != 0))
-    best = F.coalesce(*[F.when(named(a), a) for a in lines], *lines)
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    best = F.transform(best, lambda v: v.withField("tax_code", F.when(F.char_length(digits(v["tax_code"])) == 19, digits(v["tax_code"]))))
+    best = F.coalesce(*[F.when(named(a), a) for a in lines], *lines) if len(lines) > 1 else lines[0]
+    best = F.transform(best, lambda v: v.withField("tax_code", let(F.regexp_replace(v["tax_code"], r"\D", ""), lambda c: F.when(F.char_length(c) == 19, c))))
     picked = [F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs], F.lit(None).cast("string")).alias(f) for f, cs in heads.items()]
     out = parsed.select(*texts.columns, *picked, best.alias("lines"))
     return _with_total(out) if total else out
@@ -204,8 +206,42 @@ def from_erp(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     return good, staged.where(F.col("lines").isNull()).select(*texts.columns, reason.alias("reject_reason"))
 
 
-#: Bytes of XML that are handed on at once.
-MEMBER_BYTES = 4 << 20
+#: Bytes of XML that are handed on at once, and for how many of them the rest of a row counts.
+MEMBER_BYTES, ROW_BYTES = 4 << 20, 200
+
+
+def _members(path: str, data: bytes | None) -> Iterator[tuple]:
+    try:
+        package = zipfile.ZipFile(io.BytesIO(data or b""))
+    except (zipfile.BadZipFile, ValueError, OSError) as e:
+        yield path, -1, None, None, f"no zip: {e}"
+        return
+    names = [n for n in package.namelist() if n.lower().endswith(".xml") and "__MACOSX" not in n]
+    if not names:
+        yield path, -1, None, None, "no XML member"
+    for at, name in enumerate(names):
+        try:
+            yield path, at, name, package.read(name).decode("utf-8", "replace"), None
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, RuntimeError, NotImplementedError) as e:
+            yield path, at, name, None, f"{type(e).__name__}: {e}"
+
+
+def member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of xml_members() of batches (path, content), some MEMBER_BYTES at once."""
+    rows: list[tuple] = []
+    size = 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c == 1 else pa.string()) for c in range(5)], ["path", "at", "member", "raw", "reject"])
+    for batch in batches:
+        for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+            for row in _members(path.as_py(), data.as_py()):
+                rows.append(row)
+                size += len(row[3] or "") + ROW_BYTES
+            if size > MEMBER_BYTES:
+                yield out()
+                rows.clear()
+                size = 0
+    if rows:
+        yield out()
 
 
 def xml_members(files: DataFrame, content: str = "content") -> DataFrame:
@@ -214,35 +250,7 @@ def xml_members(files: DataFrame, content: str = "content") -> DataFrame:
     What cannot be read is a row with the reason in `reject` and no raw: a file that is no zip or has no XML member (at -1), a
     member that is corrupt, locked or packed in an unknown way. Members of __MACOSX are no documents.
     """
-
-    def members(path: str, data: bytes | None) -> Iterator[tuple]:
-        try:
-            package = zipfile.ZipFile(io.BytesIO(data or b""))
-        except (zipfile.BadZipFile, ValueError, OSError) as e:
-            yield path, -1, None, None, f"no zip: {e}"
-            return
-        names = [n for n in package.namelist() if n.lower().endswith(".xml") and "__MACOSX" not in n]
-        if not names:
-            yield path, -1, None, None, "no XML member"
-        for at, name in enumerate(names):
-            try:
-                yield path, at, name, package.read(name).decode("utf-8", "replace"), None
-            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, RuntimeError, NotImplementedError) as e:
-                yield path, at, name, None, f"{type(e).__name__}: {e}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c == 1 else pa.string()) for c in range(5)], ["path", "at", "member", "raw", "reject"])
-        for batch in batches:
-            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows += members(path.as_py(), data.as_py())
-                if sum(len(r[3] or "") for r in rows) > MEMBER_BYTES:
-                    yield out()
-                    rows.clear()
-        if rows:
-            yield out()
-
-    return files.select("path", F.col(content).alias("content")).mapInArrow(run, "path string, at int, member string, raw string, reject string")
+    return files.select("path", F.col(content).alias("content")).mapInArrow(member_batches, "path string, at int, member string, raw string, reject string")
 
 
 def from_packages(files: DataFrame, content: str = "content") -> DataFrame:
@@ -306,6 +314,7 @@ def rejected(records: DataFrame) -> DataFrame:
     return records.where("reject IS NOT NULL")
 
 
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """One invoice for each file."""
     return from_json(spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw"))

@@ -3,6 +3,7 @@
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,29 @@ def test_texts_are_parsed_once_for_each_set_of_names(spark):
         assert 0 < max(plan.count(name), plan.count("jsontostructs") if name == "from_json" else 0) <= n, name
 
 
+def test_one_set_of_names_is_enough_without_case(spark):
+    """One parser where names are found whatever their case; where case counts, every set is tried."""
+    xml = "<Invoice><fpdm>1</fpdm><fpDetail><Item><Name>x</Name><JE>2</JE></Item><Item><name>y</name><Amount>3</Amount></Item></fpDetail></Invoice>"
+    frame = spark.createDataFrame([(xml,)], "raw string")
+    out = I.from_xml(frame)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert [(x.name, x.amount) for x in out.first().lines] == [("x", 2.0), ("y", 3.0)] and out.first().total_amount == 5.0
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        row = I.from_xml(frame).first()
+        assert row.invoice_number == "1" and len(row.lines) == 2
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_packages_are_handed_on_in_small_batches():
+    """Also those that hold no text; the rows so far are not counted again for each package."""
+    n = 60_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)).cast(pa.string()), pa.array([b"no zip"] * n)], ["path", "content"])
+    sizes = [out.num_rows for out in I.member_batches([batch])]
+    assert sum(sizes) == n and max(sizes) <= I.MEMBER_BYTES // I.ROW_BYTES + 1
+
+
 def test_spellings_of_any_set_are_found(spark):
     """Escaped names, and lists and fields that differ from others by case alone, alone and together."""
     line = lambda name: f"<{name}>x</{name}><Amount>2</Amount>"
