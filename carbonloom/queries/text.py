@@ -527,9 +527,8 @@ def s1_s3_invoice_files(spark, d):
     kinds = {"json": (I.json_records(spark.read, f"{base}/json"), I.from_json), "xml": (I.xml_records(spark.read, f"{base}/xml"), I.from_xml)}
     out = None
     for kind, (records, parse) in kinds.items():
-        good = _by_invoice(parse(I.accepted(records))).select(F.lit(kind).alias("file"), "*")
-        bad = I.rejected(records).agg(F.count("*").alias("n")).select(F.lit(f"{kind} rejects").alias("file"), "n")
-        both = good.unionByName(bad, allowMissingColumns=True)
+        lines = I.explode_lines(parse(I.with_rejects(records)), rejects=True).withColumn("file", F.when(F.col("reject").isNull(), kind).otherwise(f"{kind} rejects"))
+        both = lines.groupBy("file", "invoice_number", "seller_name", F.when(F.col("reject").isNull(), F.col("total_amount")).alias("total_amount")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"), F.min("tax_code").alias("code"))
         out = both if out is None else out.unionByName(both)
     return out
 

@@ -314,6 +314,10 @@ def rejected(records: DataFrame) -> DataFrame:
     return records.where("reject IS NOT NULL")
 
 
+def with_rejects(records: DataFrame) -> DataFrame:
+    """All records, without the texts of the rejected ones: for a parser that takes both channels in one reading."""
+    return records.withColumn("raw", F.when(F.col("reject").isNull(), F.col("raw")))
+
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """One invoice for each file."""
@@ -339,11 +343,11 @@ def read_zipped(spark: SparkSession, path: str) -> DataFrame:
     return from_packages(spark.read.format("binaryFile").load(path))
 
 
-def explode_lines(invoices: DataFrame) -> DataFrame:
-    """A row for each line, with line_no from 0 and the invoice's own columns."""
+def explode_lines(invoices: DataFrame, rejects: bool = False) -> DataFrame:
+    """A row for each line, with line_no from 0 and the invoice's own columns. With `rejects` also one, of no line, for each row with the reason in `reject`."""
     keep = [c for c in invoices.columns if c not in ("lines", "raw")]
     # posexplode() would let Spark ask for size(lines) > 0 below the parsing, which parses each text again for every mention of a field
-    return invoices.select(*keep, F.posexplode_outer("lines").alias("line_no", "line")).where("line_no IS NOT NULL").select(*keep, "line_no", "line.*")
+    return invoices.select(*keep, F.posexplode_outer("lines").alias("line_no", "line")).where("line_no IS NOT NULL" + " OR reject IS NOT NULL" * rejects).select(*keep, "line_no", "line.*")
 
 
 def header_fields(text: Column) -> Column:

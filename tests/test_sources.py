@@ -5,10 +5,12 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from carbonloom.operators import tables
 from carbonloom.plans import ledger as L
+from carbonloom.queries import text
 from carbonloom.sources import facts
 from carbonloom.sources import invoices as I
 from carbonloom.sources.batches import BatchTable
@@ -293,6 +295,11 @@ def test_packages_are_handed_on_in_small_batches():
     assert sum(sizes) == n and max(sizes) <= I.MEMBER_BYTES // I.ROW_BYTES + 1
 
 
+def test_files_of_both_channels_are_read_once(spark):
+    plan = text.s1_s3_invoice_files(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") == 2
+
+
 def test_spellings_of_any_set_are_found(spark):
     """Escaped names, and lists and fields that differ from others by case alone, alone and together."""
     line = lambda name: f"<{name}>x</{name}><Amount>2</Amount>"
