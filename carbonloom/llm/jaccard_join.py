@@ -17,20 +17,57 @@ WORDS_OF_BITS, PIVOT_ROUNDS = 32, 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a UTF-8 text, A-Z lower-cased; fewer words: of the whole sequence."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) < words:
-        return mixed(np.array([xxhash.xxh3_64_intdigest(b" ".join(found), 1)], np.uint64))
-    of = {w: xxhash.xxh3_64_intdigest(w) for w in set(found)}
-    h = np.fromiter(map(of.__getitem__, found), np.uint64, len(found))
-    n = len(h) - words + 1
-    out = h[:n].copy()
-    for k in range(1, words):
-        out = mixed(out * _STEP + h[k : k + n])
-    return np.unique(out)
+#: A random value for each byte, the same for a letter of either case; bytes that part words. Base of the hash of a word and its inverse modulo 2^64.
+_VALUE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, np.uint64)
+_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are hashed at once.
+HASHED = 1 << 19
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, in order, and where the words of each text begin, and the end.
+
+    The bytes of a word are digits of a number, which is the difference of two prefix sums over all texts.
+    """
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # a blank behind each text
+    turns = np.diff(_BLANK[raw].view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), dtype=np.uint64)])
+    hashes = mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts])
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    return hashes, np.searchsorted(starts, begins)
+
+
+def shingles_of(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each UTF-8 text the sorted distinct 64-bit hashes of its word n-grams, A-Z lower-cased; fewer words: of the whole sequence."""
+    out: list[np.ndarray] = []
+    size = np.cumsum([len(x) for x in texts])
+    while len(out) < len(texts):
+        first = len(out)
+        some = texts[first : max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + HASHED, side="right")))]
+        h, begins = _word_hashes(some)
+        n = max(0, len(h) - words + 1)
+        grams = h[:n].copy()
+        for k in range(1, words):
+            grams = mixed(grams * _STEP + h[k : k + n])
+        for text, a, b in zip(some, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            if b - a >= words:
+                own = np.sort(grams[a : b - words + 1])
+                out.append(own[edges_of(own)[:-1]])
+            elif b > a:
+                out.append(mixed(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), 1)], np.uint64)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def required(total: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -53,7 +90,7 @@ def overlap_at_least(a: np.ndarray, b: np.ndarray, need: int) -> bool:
 
 def shared_shingles(docs: DataFrame, words: int, total: int, parts: int) -> DataFrame:
     """part_rows() of the n-grams (tokens) that stand in two different texts or more, with the number of texts (dfs)."""
-    packed = packed_rows(docs, lambda x: (shingles(x, words), None), bucket_count(total))
+    packed = packed_rows(docs, lambda texts: [(x, None) for x in shingles_of(texts, words)], bucket_count(total))
 
     def share(group: pa.Table) -> pa.Table:
         keys, h, o, _ = unpack_shared(group)
@@ -158,7 +195,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(shingles(x, words)) for x in binary_lists(batch, "text")]
+        n = [len(x) for x in shingles_of(binary_lists(batch, "text"), words)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64())], ["doc_id", "k1", "k2", "n"])
 
     sizes = table(map_batches(rows.select("doc_id", *text_keys(F.col("text")), "text"), count, "doc_id long, k1 long, k2 long, n long", by="text"), "shingle-counts")

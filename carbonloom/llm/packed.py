@@ -98,13 +98,13 @@ def unpack_shared(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return keys, hashes[order], owner[order], None if places is None else places[order]
 
 
-def packed_rows(docs: DataFrame, each: Callable[[bytes], tuple[np.ndarray, np.ndarray | None]], buckets: int) -> DataFrame:
-    """PACKED rows of docs (text): each(text) gives the hashes of a text and their places or None."""
+def packed_rows(docs: DataFrame, each: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray | None]]], buckets: int) -> DataFrame:
+    """PACKED rows of docs (text): each(texts) gives the hashes of each text and their places or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", AT_ONCE):
-                found = [each(x) for x in binary_lists(part, "text")]
+                found = each(binary_lists(part, "text"))
                 keys = np.stack([part.column("k1").to_numpy(), part.column("k2").to_numpy()], axis=1)
                 counts = np.array([len(h) for h, _ in found])
                 if not counts.sum():

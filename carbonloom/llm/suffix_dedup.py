@@ -202,7 +202,7 @@ def shared_segments(docs: DataFrame, most: int) -> DataFrame:
         own = keys[owner[once[cut[:-1]]]]
         return pa.table([*(pa.array(np.ascontiguousarray(own[:, k])) for k in (0, 1)), *packs, pa.array([b - a for a, b in spans], pa.int64())], ["k1", "k2", "places", "parts", "found"])
 
-    packed = packed_rows(docs, each, bucket_count(total)).groupBy("bucket").applyInArrow(share, "part int, keys binary, counts binary, places binary, parts binary")
+    packed = packed_rows(docs, lambda texts: [each(x) for x in texts], bucket_count(total)).groupBy("bucket").applyInArrow(share, "part int, keys binary, counts binary, places binary, parts binary")
     return packed.groupBy("part").applyInArrow(gather, "k1 long, k2 long, places binary, parts binary, found long")
 
 

@@ -153,6 +153,28 @@ def plain_jaccard(rows, percent=75):
     return sorted((str(i), len(s), str(of[component[order[k]]] if k in order else i)) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
+def test_shingles_of_many_texts_at_once(monkeypatch):
+    """As sets of word n-grams, wherever a text stands among others; words are not hashed one by one."""
+    random.seed(11)
+    texts = [" ".join(random.choice(["a", "B", "b", "ab", "ba", "é", "\x85", "x" * 40, "c\x00", "c"]) for _ in range(random.choice([0, 1, 3, 4, 5, 6, 40, 300]))) for _ in range(300)]
+    texts = [x.replace(" ", random.choice(" \t\n\v\f\r") * random.randint(1, 3)).encode() for x in texts] + [b" ", b" a B\n", b"\tA b c D e "]
+    plain = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    calls, digest = [], jaccard_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda *a: calls.append(a) or digest(*a))
+    monkeypatch.setattr(jaccard_join, "HASHED", 2000)
+    got = jaccard_join.shingles_of(texts, 5)
+    assert len(calls) <= sum(0 < len(x.split()) < 5 for x in texts)
+    of = {}
+    for text, found in zip(texts, got, strict=True):
+        want = plain(text.lower().split())
+        assert len(found) == len(want) and (np.diff(found.astype(object)) > 0).all()
+        of.setdefault(frozenset(want), set()).add(found.tobytes())
+        assert jaccard_join.shingles_of([text], 5)[0].tobytes() == found.tobytes()
+    assert all(len(x) == 1 for x in of.values())
+    grams = {g for want in of for g in want}
+    assert len(np.unique(np.concatenate(got))) == len(grams)
+
+
 def test_near_duplicates_of_texts_that_share_a_doc_id(spark):
     a, b, c = (text_of(k, 80) for k in (1, 2, 3))
     rows = [(5, a), (5, b), (5, b), (7, b + " end"), (9, a + " end"), (9, c), (3, c + " more")]
